@@ -14,6 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name -> module that defines a function of that name.
 _MODULES = {
     "op1_byte_bpe": "bpe_codec",
+    "op2_language_id": "language_id",
+    "op3_near_dups": "near_dups",
+    "op5_media": "media",
+    "op6_secret_scan": "secrets",
+    "op7_packing": "packing",
+    "op8_pii": "pii",
+    "op9_chat_format": "chat_format",
+    "op10_token_counts": "token_counts",
 }
 
 

@@ -102,10 +102,13 @@ def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
-def grouped(batches: Iterable[pa.RecordBatch], keep: list[str]) -> Iterator[Group]:
-    """Bounded groups of the rows of ``batches``. A null text counts as empty."""
+def grouped(batches: Iterable[pa.RecordBatch], keep: list[str], at: str = "blank") -> Iterator[Group]:
+    """Bounded groups of the rows of ``batches``, cut at each blank, or at runs of ASCII white space.
+
+    A null text counts as empty.
+    """
     for batch in bounded(batches):
         texts = pc.fill_null(column(batch, "text"), "")
-        split = pc.split_pattern(texts, " ")
+        split = pc.split_pattern(texts, " ") if at == "blank" else pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         yield Group([column(batch, k) for k in keep], texts, split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py(), coded.indices.to_numpy(), coded.dictionary.to_pylist())
