@@ -16,6 +16,7 @@ _MODULES = {
     "op1_byte_bpe": "bpe_codec",
     "op2_language_id": "language_id",
     "op3_near_dups": "near_dups",
+    "op4_ann": "ann",
     "op5_media": "media",
     "op6_secret_scan": "secrets",
     "op7_packing": "packing",
