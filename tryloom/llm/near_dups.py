@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tryloom.llm.chunks import bounded, column
-from tryloom.llm.shared import cut, table, written
+from tryloom.llm.shared import cut, fresh, table, written
 
 #: Keys in each of the two collections, and minhashes in a key.
 KEYS, ROWS = 8, 2
@@ -168,9 +168,9 @@ def labelled(nodes: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every document."""
+    """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` and ``n_rows`` of every document."""
     signed = written(signatures(docs, words), "signatures")
-    rows = signed.groupBy("doc_id").agg(F.min(F.struct("digest", "n_shingles", "keys")).alias("s")).select("doc_id", "s.*")
+    rows = signed.groupBy("doc_id").agg(F.min(F.struct("digest", "n_shingles", "keys")).alias("s"), F.count("*").alias("n_rows")).select("doc_id", "n_rows", "s.*")
     node = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "keys")).alias("s")).select("digest", F.col("s.doc_id").alias("node"), F.col("s.keys").alias("keys"))
     classes = written(node, "classes")
 
@@ -200,19 +200,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     parts = components(star.unionByName(more))
 
     by_digest = labelled(classes.select("digest", "node"), parts).select("digest", "component")
-    linked = rows.select("doc_id", "n_shingles", "digest").join(by_digest, "digest", "left")
+    linked = rows.select("doc_id", "n_rows", "n_shingles", "digest").join(by_digest, "digest", "left")
     component = F.coalesce("component", "doc_id")
-    return linked.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return linked.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), "n_rows")
 
 
 def first_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row for each component; rows without an id stay."""
-    found = near_duplicates(docs, words, percent).where("kept").select("doc_id")
+    found = written(near_duplicates(docs, words, percent).where("kept").select("doc_id", "n_rows"), "kept")
+    chosen = lambda how: docs.join(found.where(how).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+    n = fresh(docs, "n")
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    kept = docs.join(found, "doc_id", "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    repeated = chosen("n_rows > 1").withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).drop(n)
+    return chosen("n_rows = 1").unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates among all ``documents``, on shingles of two words."""
-    return near_duplicates(table(spark, sf_dir, "documents"), words=2)
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2).drop("n_rows")

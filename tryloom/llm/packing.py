@@ -91,22 +91,24 @@ def packed(docs: DataFrame, vocabulary: str, length: int = 4096, end_id: int = 2
     names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, out = [], [[] for _ in names[1:]]
-            begins, sizes, ids = (batch.column(i) for i in (1, 2, 3))
-            for row, (begin, size, data) in enumerate(zip(begins.to_pylist(), sizes.to_pylist(), ids.to_pylist(), strict=True)):
-                wide = np.frombuffer(data, "<u2").astype("<u4")
-                at = 0
-                while at < size:
-                    sequence, offset = divmod(begin + at, length)
-                    take = min(length - offset, size - at)
-                    piece = wide[at : at + take].tobytes()
-                    rows.append(row)
-                    for values, value in zip(out, [at, take, zlib.crc32(piece), size, sequence, offset] + [np.frombuffer(piece, "<i4")] * with_ids, strict=True):
-                        values.append(value)
-                    at += take
-            arrays = [batch.column(0).take(pa.array(rows, pa.int64()))] + [pa.array(v, pa.int64()) for v in out[:6]] + [pa.array(v, pa.list_(pa.int32())) for v in out[6:]]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+        for whole in batches:
+            for first in range(0, whole.num_rows, 512):
+                batch = whole.slice(first, 512)
+                rows, out = [], [[] for _ in names[1:]]
+                begins, sizes, ids = (batch.column(i) for i in (1, 2, 3))
+                for row, (begin, size, data) in enumerate(zip(begins.to_pylist(), sizes.to_pylist(), ids.to_pylist(), strict=True)):
+                    wide = np.frombuffer(data, "<u2").astype("<u4")
+                    at = 0
+                    while at < size:
+                        sequence, offset = divmod(begin + at, length)
+                        take = min(length - offset, size - at)
+                        piece = wide[at : at + take].tobytes()
+                        rows.append(row)
+                        for values, value in zip(out, [at, take, zlib.crc32(piece), size, sequence, offset] + [np.frombuffer(piece, "<i4")] * with_ids, strict=True):
+                            values.append(value)
+                        at += take
+                arrays = [batch.column(0).take(pa.array(rows, pa.int64()))] + [pa.array(v, pa.int64()) for v in out[:6]] + [pa.array(v, pa.list_(pa.int32())) for v in out[6:]]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids

@@ -24,7 +24,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tryloom.llm.shared import table
+from tryloom.llm.shared import fresh, table
 from tryloom.llm.textspans import joined, matches, no_matches, placed
 
 _KEY = r"(password|passwd|secret|token|api_?key)"
@@ -157,17 +157,20 @@ def _long_enough(rule: Rule):
 
 
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``secrets``: for each rule, in order, the array of its verified spans."""
-    texts = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    found = candidates(texts.select("text"), rules).withColumnsRenamed({"key": "_key", "rules": "_rules"})
+    """``docs`` with ``secrets``: for each rule the array of its verified spans.
+
+    A column of that name in ``docs`` is replaced.
+    """
+    docs = docs.drop("secrets").withColumn("text", F.coalesce("text", F.lit("")))
+    key, numbers = fresh(docs, "text_key"), fresh(docs, "rules")
+    found = candidates(docs.select("text"), rules).withColumnsRenamed({"key": key, "rules": numbers})
     # The index's side is small for each text, so it is the one to be hashed;
     # partitions of a text that many rows share are split at run time.
-    with_rules = texts.withColumn("_key", text_key(F.col("text"))).join(found.hint("shuffle_hash"), "_key", "left")
+    with_rules = docs.withColumn(key, text_key(F.col("text"))).join(found.hint("shuffle_hash"), key, "left")
     out = []
     for i, rule in enumerate(rules):
-        text = F.col("text")
-        guard = F.array_contains("_rules", i) if trigram_query(rule.pattern) else None
-        spans = matches(text, rule.pattern, guard)
+        guard = F.array_contains(numbers, i) if trigram_query(rule.pattern) else None
+        spans = matches(F.col("text"), rule.pattern, guard)
         if rule.least:
             spans = F.filter(spans, _long_enough(rule))
         out.append(F.coalesce(spans, no_matches()).alias(rule.kind))
