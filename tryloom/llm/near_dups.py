@@ -9,8 +9,9 @@ probability 0.9994, more similar ones nearly always.
 
 In a table, a bucket of many classes is not expanded into its pairs. First each
 class is compared with the bucket's smallest class; confirmed links give
-components. Only classes of one bucket that are still in different components
-are then compared with each other, which loses no link between components.
+components. Members of a bucket that are then still outside of its largest
+component are joined exactly, by prefixes of their shingles in order of rarity,
+so no link between components is lost and what differs costs no comparison.
 Every link is confirmed on the full sets. Components come from a contraction of
 the link graph that stays in tables.
 
@@ -139,6 +140,28 @@ def confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     return both.where(fits).select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def prefix_pairs(nodes: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of ``nodes`` (``node``, ``component``, ``minor``) that may be similar enough; none that is gets lost.
+
+    Sets of ``na`` and ``nb`` shingles need a certain overlap. With all
+    shingles in one order, the rarest first, both sets then share one among
+    their first, as many as each may miss and one more. So what a set has to
+    itself excludes it without a comparison. One of a pair is minor, and
+    components differ.
+    """
+    rows = nodes.join(shingles, "node").select("node", "component", "minor", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    counts = rows.groupBy("s").agg(F.count("*").alias("df"))
+    ranked = rows.join(counts, "s").groupBy("node", "component", "minor", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("order"))
+    # the most that a set can miss: with a partner that is a subset of it
+    first = F.slice("order", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    heads = cut(ranked.select("node", "component", "minor", "n", F.posexplode(first).alias("at", "x")).where("x.df > 1").select("node", "component", "minor", "n", "at", "x.s"))
+    side = lambda x: heads.select("s", F.col("node").alias(x), *[F.col(c).alias(c[0] + x) for c in ("component", "minor", "n")], F.col("at").alias(f"p{x}"))
+    need = F.ceil(percent * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
+    fits = (F.col("ca") != F.col("cb")) & (~F.col("mb") | (F.col("a") < F.col("b"))) & (F.col("pa") <= F.col("na") - need) & (F.col("pb") <= F.col("nb") - need)
+    pairs = side("a").where("ma").join(side("b"), "s").where(fits)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest node) of the nodes of ``links`` (``a``, ``b``).
 
@@ -185,17 +208,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     first = cut(confirmed(stars, shingles, percent))
     parts = components(first)
 
-    # Buckets that still hold several components: compare across them. The
-    # members of a bucket's largest component meet only those outside of it.
+    # Buckets that still hold several components: their members are joined
+    # exactly, each that is outside of its bucket's largest component with all
+    # that could still be linked with it.
     open_rows = labelled(shared.select("key", "node"), parts)
     sizes = open_rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     several = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("most")).where("parts > 1").select("key", F.col("most.component").alias("main"))
-    mixed = cut(open_rows.join(several, "key").select("key", "node", "component", (F.col("component") != F.col("main")).alias("minor")))
-    left = mixed.where("minor").select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
-    right = mixed.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("minor").alias("minor_b"))
-    across = left.join(right, "key").where("ca <> cb AND (NOT minor_b OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    untested = across.join(stars, ["a", "b"], "left_anti")
-    more = confirmed(untested, shingles, percent)
+    mixed = open_rows.join(several, "key").groupBy("node").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("main")).alias("minor"))
+    across = cut(prefix_pairs(cut(mixed), shingles, percent))
+    more = confirmed(across, shingles, percent)
     star = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
     parts = components(star.unionByName(more))
 
