@@ -162,7 +162,7 @@ def fit(reps: DataFrame, n: int, norm: float, sample: int = SAMPLE, list_size: i
 
 
 def routed(rows: DataFrame, centroids: Centroids, queries: bool, ratio: float, copies: int | None = None, least: int = 1) -> DataFrame:
-    """``list``, ``rep`` and ``v``: each vector with the lists within ``ratio`` of its nearest centroid's distance.
+    """``list``, ``near`` (its place among the row's lists), ``rep`` and ``v``: each vector with the lists within ``ratio`` of its nearest centroid's distance.
 
     At most the nearest ``copies`` of them, if that is given, and the nearest ``least`` in any case.
     """
@@ -172,31 +172,37 @@ def routed(rows: DataFrame, centroids: Centroids, queries: bool, ratio: float, c
             for begin in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(begin, BLOCK)
                 row, at, reach = centroids.within(centroids.extended(matrix(column(part, "v")), queries), ratio, least)
+                order = np.lexsort((reach, row))
+                row, at = row[order], at[order]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
                 if copies:
-                    order = np.lexsort((reach, row))
-                    row, at = row[order], at[order]
-                    first = np.arange(len(row)) - np.searchsorted(row, row) < copies
-                    row, at = row[first], at[first]
+                    row, at, place = row[place < copies], at[place < copies], place[place < copies]
                 taken = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), column(taken, "rep"), column(taken, "v")], names=["list", "rep", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(place.astype(np.int32)), column(taken, "rep"), column(taken, "v")], names=["list", "near", "rep", "v"])
 
-    return rows.select("rep", "v").mapInArrow(route, f"list int, rep long, v {rows.schema['v'].dataType.simpleString()}")
+    return rows.select("rep", "v").mapInArrow(route, f"list int, near int, rep long, v {rows.schema['v'].dataType.simpleString()}")
 
 
 def answers(lists: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``q``, ``rep`` and ``score``: the ``k`` best of each query within each shard of each of its lists."""
+    """``q``, ``rep`` and ``score``: the ``k`` best of each query within each shard of each of its lists.
+
+    Where a query has a ``bound``, only what scores as much is given.
+    """
 
     def search(posted: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"q": [], "rep": [], "score": []}).astype({"q": "int64", "rep": "int64", "score": "float64"})
         if not len(posted) or not len(asked):
-            return pd.DataFrame({"q": [], "rep": [], "score": []}).astype({"q": "int64", "rep": "int64", "score": "float64"})
+            return empty
         posted = posted.sort_values("rep")
         reps = posted["rep"].to_numpy()
         vectors = np.stack(posted["v"].to_numpy()).astype(np.float64)
-        out = []
+        out = [empty]
         for begin in range(0, len(asked), BLOCK):
             part = asked.iloc[begin : begin + BLOCK]
             scores = np.stack(part["v"].to_numpy()).astype(np.float64) @ vectors.T
             least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+            # a little below the bound, for sums that differ in their last digits
+            least = np.maximum(least, part["bound"].to_numpy() - 1e-9)
             row, at = np.nonzero(scores >= least[:, None])
             order = np.lexsort((at, -scores[row, at], row))
             row, at = row[order], at[order]
@@ -223,19 +229,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, copies: int = 4
         return vectors.sparkSession.createDataFrame([], schema)
     centroids = fit(reps, whole["n"], math.sqrt(whole["most"]))
 
-    posted = written(routed(reps, centroids, False, boundary, copies), "postings")
+    posted = written(routed(reps, centroids, False, boundary, copies).drop("near"), "postings")
     largest = posted.groupBy("list").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     shards = -(-largest // SHARD_SIZE)
     dealt = posted.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
 
     asked = usable(queries).join(reps, "v").select(F.col("vec_id").alias("query_id"), "rep").distinct()
     wanted = reps.join(asked.select("rep").distinct(), "rep", "left_semi")
-    sent = routed(wanted, centroids, True, prune, least=LEAST_LISTS).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    sent = written(routed(wanted, centroids, True, prune, least=LEAST_LISTS), "routes").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     # One more than k: the query's own id is among them.
     best = lambda df, by, *order: df.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_n") <= k + 1).drop("_n")
-    found = answers(dealt, sent, k + 1).groupBy("q", "rep").agg(F.max("score").alias("score"))
-    found = best(found, "q", F.desc("score"), "rep")
+    once = lambda df: df.groupBy("q", "rep").agg(F.max("score").alias("score"))
+    # The nearest lists give a bound for each query; the others answer only with what reaches it.
+    none = F.lit(float("-inf"))
+    first = written(best(once(answers(dealt, sent.where(F.col("near") < LEAST_LISTS).withColumn("bound", none), k + 1)), "q", F.desc("score"), "rep"), "nearest-first")
+    bounds = first.groupBy(F.col("q").alias("rep")).agg(F.count("*").alias("n"), F.min("score").alias("least")).select("rep", F.when(F.col("n") > k, F.col("least")).otherwise(none).alias("bound"))
+    others = answers(dealt, sent.where(F.col("near") >= LEAST_LISTS).join(bounds, "rep"), k + 1)
+    found = best(once(first.unionByName(others)), "q", F.desc("score"), "rep")
     # The smallest ids of each vector; the limit also holds within each task, before the shuffle.
     members = best(good.select("v", "vec_id").distinct(), "v", "vec_id").join(reps, "v").select("rep", "vec_id")
     each = best(found.join(members, "rep").select("q", "vec_id", "score"), "q", F.desc("score"), "vec_id")
