@@ -102,12 +102,12 @@ def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
-def grouped(batches: Iterable[pa.RecordBatch], keep: list[str], at: str = "blank") -> Iterator[Group]:
+def grouped(batches: Iterable[pa.RecordBatch], keep: list[str], at: str = "blank", most: int = GROUP_BYTES) -> Iterator[Group]:
     """Bounded groups of the rows of ``batches``, cut at each blank, or at runs of ASCII white space.
 
     A null text counts as empty.
     """
-    for batch in bounded(batches):
+    for batch in bounded(batches, most):
         texts = pc.fill_null(column(batch, "text"), "")
         split = pc.split_pattern(texts, " ") if at == "blank" else pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()

@@ -29,13 +29,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tryloom.llm.chunks import Group, column, grouped
+from tryloom.llm.chunks import Group, bounded, column, grouped
 from tryloom.llm.shared import table
 
 #: Rows of the hashed n-gram table.
 BUCKETS = 1 << 16
 #: Words times languages that one Viterbi block may hold.
-BLOCK_CELLS = 16 << 20
+BLOCK_CELLS = 4 << 20
+#: Bytes of text in a group, and words whose n-grams are held at once.
+TEXT_BYTES, WORDS_HELD = 12 << 20, 40_000
 #: First code points of the script ranges (fixed values) and their numbers:
 #: 0 Latin, 1 Greek, 2 Cyrillic, 3 Armenian, 4 Hebrew, 5 Arabic, 6 Indic,
 #: 7 Thai and Lao, 8 Hangul, 9 Kana, 10 Han, 11 other.
@@ -104,6 +106,13 @@ class Model:
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Scores by word and language, the best at 0, and the letters of each word."""
+        scores, counts = np.zeros((len(words), len(self.languages)), np.float32), np.zeros(len(words), np.int64)
+        for begin in range(0, len(words), WORDS_HELD):
+            end = begin + WORDS_HELD
+            scores[begin:end], counts[begin:end] = self._scored(words[begin:end])
+        return scores, counts
+
+    def _scored(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = grams(words)
         n = len(self.languages)
         scores = np.zeros((len(words), n), np.float32)
@@ -114,7 +123,7 @@ class Model:
         narrowed = fits.any(axis=1) & ~fits.all(axis=1)
         scores[narrowed] = np.where(fits[narrowed], scores[narrowed], scores[narrowed].min(axis=1, initial=0)[:, None] - 30)
         scores[found.letters == 0] = 0
-        return scores - scores.max(axis=1, initial=-np.inf)[:, None] if n else scores, found.letters
+        return scores - scores.max(axis=1, initial=-np.inf)[:, None], found.letters
 
 
 def fit(docs: DataFrame, sample_texts: int = 1500, smoothing: float = 0.5) -> Model:
@@ -135,19 +144,19 @@ def fit(docs: DataFrame, sample_texts: int = 1500, smoothing: float = 0.5) -> Mo
     drawn = drawn.groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, TEXT_BYTES):
             langs = np.array(column(batch, "lang").to_pylist(), object)
             for name in sorted(set(langs)):
                 chosen = column(batch, "text").filter(pa.array(langs == name))
                 words = " ".join(chosen.to_pylist()).split()
-                if not words:
-                    continue
-                found = grams(words)
-                sums = np.bincount(np.concatenate(found.bucket), minlength=BUCKETS)
+                sums, scripts = np.zeros(BUCKETS, np.int64), np.zeros(N_SCRIPTS, np.int64)
+                for begin in range(0, len(words), WORDS_HELD):
+                    found = grams(words[begin : begin + WORDS_HELD])
+                    sums += np.bincount(np.concatenate(found.bucket), minlength=BUCKETS)
+                    scripts += (found.scripts * found.letters[:, None]).sum(axis=0)
                 used = np.flatnonzero(sums)
-                scripts = (found.scripts * found.letters[:, None]).sum(axis=0)
                 bucket = np.concatenate([used, -1 - np.arange(N_SCRIPTS)])
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(bucket), pa.string()), pa.array(bucket), pa.array(np.concatenate([sums[used], scripts]).astype(np.int64))], names=["lang", "bucket", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(bucket), pa.string()), pa.array(bucket), pa.array(np.concatenate([sums[used], scripts]))], names=["lang", "bucket", "n"])
 
     # At most BUCKETS + N_SCRIPTS rows for each language.
     rows = drawn.select("lang", "text").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
@@ -232,7 +241,7 @@ def language_id(docs: DataFrame, model: Model, keep: list[str], penalty: float =
     kind = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())]))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped(batches, keep, "white"):
+        for group in grouped(batches, keep, "white", TEXT_BYTES):
             predicted, shares, paths = [], [], []
             if not model.languages:
                 predicted, shares, paths = ["und"] * len(group), [0.0] * len(group), [[]] * len(group)
