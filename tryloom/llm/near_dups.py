@@ -3,9 +3,9 @@
 A document's set holds the hashes of its distinct word shingles. Documents of
 equal sets form a class at once. For each class two small collections of keys
 are made from few minhashes each, and every pair of one key from either
-collection keys a table: 2 x 8 keys of two minhashes give 64 tables of four,
-from 32 minhashes instead of 256. A pair at similarity 0.8 shares a table with
-probability 0.9994, more similar ones nearly always.
+collection keys a table: 2 x 11 keys of two minhashes give 121 tables of four,
+from 44 minhashes instead of 484. A pair at similarity 0.8 shares no table with
+a probability of 0.00003, more similar ones nearly never.
 
 In a table, a bucket of many classes is not expanded into its pairs. First each
 class is compared with the bucket's smallest class; confirmed links give
@@ -37,10 +37,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tryloom.llm.chunks import bounded, column
-from tryloom.llm.shared import cut, fresh, table, written
+from tryloom.llm.shared import cut, fresh, id_side, table, written
 
 #: Keys in each of the two collections, and minhashes in a key.
-KEYS, ROWS = 8, 2
+KEYS, ROWS = 11, 2
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _FACTORS = _RANDOM.integers(1, 1 << 63, 2 * KEYS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS = _RANDOM.integers(0, 1 << 63, 2 * KEYS * ROWS, dtype=np.uint64)
@@ -110,7 +110,7 @@ def sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             digests = [hashlib.sha256(s.tobytes()).digest()[:16] for s in found]
             yield pa.RecordBatch.from_arrays([column(batch, "node"), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["node", "digest", "shingles"])
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(ids.hint("shuffle_hash"), "node", "left_semi")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(id_side(ids), "node", "left_semi")
     return chosen.mapInArrow(make, "node long, digest binary, shingles array<long>")
 
 
@@ -198,9 +198,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = written(node, "classes")
 
     keyed = table_keys(classes)
-    heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
-    shared = written(keyed.join(heads, "key").select("key", "node", "head"), "buckets")
-    involved = shared.select("node").distinct()
+    # Most keys are one class's alone; only the others travel with more than the key.
+    common = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    members = written(keyed.join(common, "key", "left_semi"), "members")
+    heads = members.groupBy("key").agg(F.min("node").alias("head"))
+    shared = written(members.join(heads, "key"), "buckets")
+    involved = written(shared.select("node").distinct(), "involved")
     # A repeated id may have several texts; only the one whose set stands for it counts.
     shingles = written(sets(docs, involved, words).dropDuplicates(["node", "digest"]).join(classes.select("node", "digest"), ["node", "digest"], "left_semi").select("node", "shingles"), "sets")
 
@@ -228,12 +231,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 def first_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row for each component; rows without an id stay."""
-    found = written(near_duplicates(docs, words, percent).where("kept").select("doc_id", "n_rows"), "kept")
-    chosen = lambda how: docs.join(found.where(how).select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+    found = written(near_duplicates(docs, words, percent).select("doc_id", "kept", "n_rows"), "kept")
+    ids = found.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "kept", "n_rows")
+    rest = docs.join(id_side(ids.where("NOT kept").select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    repeated = ids.where("kept AND n_rows > 1").select("doc_id")
+    if repeated.limit(1).count() == 0:
+        return rest
+    # Ids of several rows: one row each, by a fixed order.
     n = fresh(docs, "n")
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    repeated = chosen("n_rows > 1").withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).drop(n)
-    return chosen("n_rows = 1").unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))
+    firsts = docs.join(id_side(repeated), "doc_id", "left_semi").select(*docs.columns).withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).drop(n)
+    return rest.join(id_side(repeated), "doc_id", "left_anti").select(*docs.columns).unionByName(firsts)
 
 
 def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

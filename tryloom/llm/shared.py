@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -46,6 +47,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Up to so many rows of 64-bit ids (8 MB) are broadcast.
+IDS_BROADCAST = 1_000_000
+
+
+def id_side(ids: DataFrame, most: int = IDS_BROADCAST) -> DataFrame:
+    """``ids`` marked for the inner side of a join: broadcast if their counted number is at most ``most``, else hashed by partition."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids.hint("shuffle_hash")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}
