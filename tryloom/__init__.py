@@ -1,0 +1 @@
+"""Build-attempt analytics as Spark jobs."""
