@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The sections of a note and how one begins.
 KEYS = ("diagnosis", "change", "expect", "ref")
@@ -47,7 +48,6 @@ def predicted(fields: Column) -> Column:
     return F.lower(F.nullif(F.regexp_extract(F.element_at(fields, "expect"), _OUTCOME, 1), F.lit("")))
 
 
-@F.pandas_udf("string")
 def _nearest(words: pd.Series) -> pd.Series:
     return words.map(lambda w: next(iter(difflib.get_close_matches(w, KEYS, 1, 0.6)), None))
 
@@ -59,7 +59,7 @@ def near_misses(notes: DataFrame) -> DataFrame:
     """
     words = notes.select(F.explode(F.transform(note_lines(F.col("note")), lambda ln: F.lower(F.regexp_extract(ln, _KEY, 1)))).alias("word"))
     unknown = words.where((F.col("word") != "") & ~F.col("word").isin(*KEYS)).distinct()
-    return unknown.withColumn("meant", _nearest("word")).where("meant IS NOT NULL")
+    return unknown.withColumn("meant", F.pandas_udf(_nearest, StringType())("word")).where("meant IS NOT NULL")
 
 
 def lint(note: Column) -> Column:

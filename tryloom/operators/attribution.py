@@ -18,6 +18,7 @@ from tryloom.functions.argv import load_dirs, targets
 from tryloom.functions.scalars import root_sessions
 from tryloom.operators.diffs import KEY, file_verdicts, files, lines, parent, theory_moves
 from tryloom.operators.episodes import EPISODE
+from tryloom.sources.shared import settled
 
 #: How many times as often a target must go with one directory as with any other (a fixed value).
 DOMINANCE = 3
@@ -108,17 +109,19 @@ def load_overrides(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 def fit(attempts: DataFrame, overrides: tuple[DataFrame, DataFrame] | None = None) -> Attribution:
     found = files(attempts)
-    first = session_dirs(found)
-    clash = collisions(first)
-    moves = theory_moves(found)
-    dirs = first.unionByName(moves.select(F.explode(F.array("old_dir", "new_dir")).alias("dir"))).distinct()
+    first = settled(session_dirs(found))
+    clash = settled(collisions(first))
+    moves = settled(theory_moves(found))
+    dirs = settled(first.unionByName(moves.select(F.explode(F.array("old_dir", "new_dir")).alias("dir"))).distinct())
     aliases = move_aliases(moves)
-    declared = declared_targets(found, dirs)
+    declared = settled(declared_targets(found, dirs))
     named = declared.unionByName(co_occurring_targets(attempts, found, dirs).join(declared, "target", "left_anti"))
     if overrides:
         aliases = overrides[0].unionByName(aliases.join(overrides[0], "short", "left_anti"))
         named = overrides[1].unionByName(named.join(overrides[1], "target", "left_anti"))
-    return Attribution(dirs, labels(dirs, clash, aliases), named, aliases, clash)
+    aliases = settled(aliases)
+    # The tables have a row a directory or target: settled, so that what joins them plans and runs once.
+    return Attribution(dirs, settled(labels(dirs, clash, aliases)), settled(named), aliases, clash)
 
 
 def labels(dirs: DataFrame, clash: DataFrame, aliases: DataFrame) -> DataFrame:

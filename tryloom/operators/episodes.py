@@ -168,7 +168,7 @@ def export(attempts: DataFrame) -> DataFrame:
     """
     own = F.struct("seq", *[c for c in attempts.columns if c not in (*EPISODE, "seq")])
     rows = attempts.groupBy(*EPISODE).agg(
-        F.array_sort(F.collect_list(own)).alias("attempts"),
+        F.array_sort(F.collect_list(own), lambda a, b: F.signum(a["seq"] - b["seq"]).cast("int")).alias("attempts"),
         F.max_by("instance_id", "seq").alias("instance_id"),
         F.min_by("build_id", "seq").alias("_first"),
         F.max_by("build_id", F.when(F.col("outcome") == "ok", F.col("seq"))).alias("closed_by"),

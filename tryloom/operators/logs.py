@@ -211,7 +211,7 @@ def cumulative_cpu(samples: DataFrame) -> DataFrame:
 
 def duty_cycles(cpu: DataFrame, window: float = CPU_WINDOW_S, least_span: float = 5.0) -> DataFrame:
     """``duty``: cores used over a trailing window; null with one sample, a short span or a falling count."""
-    w = Window.partitionBy("build_id").orderBy("t_s").rangeBetween(-window, 0)
+    w = Window.partitionBy("build_id").orderBy("t_s").rangeBetween(-int(window), 0)
     c0, t0, n = F.first("cpu_s").over(w), F.first("t_s").over(w), F.count("*").over(w)
     rows = cpu.withColumns({"_c0": c0, "_t0": t0, "_n": n})
     span = F.col("t_s") - F.col("_t0")

@@ -596,7 +596,7 @@ def error_heads(spark, sf_dir):
     return logs.error_heads(logs.events(mapping.build_log(spark, sf_dir)))
 
 
-@query("log_error_loci", _EVENTS + ", d AS (SELECT build_id, regexp_extract(text, 'of \"([^\"]+)\"', 1) AS t, regexp_extract(text, 'line ([0-9]+) of', 1) AS l, min(line_no) AS at FROM v WHERE kind = 'locus' GROUP BY 1, 2, 3) SELECT build_id, string_agg(concat(t, ':', l), ',' ORDER BY at, t, l) AS loci, count(*) AS n_loci FROM d GROUP BY 1")
+@query("log_error_loci", _EVENTS + ", d AS (SELECT build_id, regexp_extract(text, 'of \"([^\"]+)\"', 1) AS t, regexp_extract(text, 'line ([0-9]+) of', 1) AS l, min(line_no) AS fst FROM v WHERE kind = 'locus' GROUP BY 1, 2, 3) SELECT build_id, string_agg(concat(t, ':', l), ',' ORDER BY fst, t, l) AS loci, count(*) AS n_loci FROM d GROUP BY 1")
 def log_error_loci(spark, sf_dir):
     found = logs.error_loci(logs.events(mapping.build_log(spark, sf_dir)))
     return found.select("build_id", F.array_join(F.transform("error_loci", lambda x: F.concat_ws(":", x)), ",").alias("loci"), "n_loci")
@@ -610,7 +610,7 @@ def failure_blocks(spark, sf_dir):
 _SESSIONS = "CASE l_linenumber % 3 WHEN 0 THEN concat('Building D', l_suppkey % 3, ' ...') WHEN 1 THEN concat('Running R', l_suppkey % 2, ' ...') ELSE 'Session X/Y' END"
 
 
-@query("session_timeline", f"WITH log AS (SELECT build_id, line_no, t_s, x AS text FROM (SELECT l.*, {_SESSIONS} AS x FROM ({mapping.BUILD_LOG}) l JOIN (SELECT l_orderkey, row_number() OVER ({mapping._LINE_ORDER}) AS k, l_linenumber, l_suppkey FROM lineitem) i ON i.l_orderkey = l.build_id AND i.k = l.line_no)), s AS (SELECT build_id, regexp_extract(text, '^(Building|Running) ([A-Z0-9]+)', 2) AS n, min(line_no) AS at, arg_min(CASE WHEN text LIKE 'Building%' THEN 'dependency' ELSE 'target' END, line_no) AS role FROM log WHERE text NOT LIKE 'Session%' GROUP BY 1, 2) SELECT build_id, string_agg(concat(n, ':', role), ',' ORDER BY at) AS sessions FROM s GROUP BY 1")
+@query("session_timeline", f"WITH log AS (SELECT build_id, line_no, t_s, x AS text FROM (SELECT l.*, {_SESSIONS} AS x FROM ({mapping.BUILD_LOG}) l JOIN (SELECT l_orderkey, row_number() OVER ({mapping._LINE_ORDER}) AS k, l_linenumber, l_suppkey FROM lineitem) i ON i.l_orderkey = l.build_id AND i.k = l.line_no)), s AS (SELECT build_id, regexp_extract(text, '^(Building|Running) ([A-Z0-9]+)', 2) AS n, min(line_no) AS fst, arg_min(CASE WHEN text LIKE 'Building%' THEN 'dependency' ELSE 'target' END, line_no) AS role FROM log WHERE text NOT LIKE 'Session%' GROUP BY 1, 2) SELECT build_id, string_agg(concat(n, ':', role), ',' ORDER BY fst) AS sessions FROM s GROUP BY 1")
 def session_timeline(spark, sf_dir):
     items = spark.sql(f"SELECT l_orderkey AS build_id, CAST(ROW_NUMBER() OVER ({mapping._LINE_ORDER}) AS BIGINT) AS line_no, {_SESSIONS} AS text FROM {{lineitem}}", lineitem=mapping._read(spark, sf_dir, "lineitem"))
     rows = mapping.build_log(spark, sf_dir).drop("text").join(items, ["build_id", "line_no"])
