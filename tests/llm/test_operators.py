@@ -130,6 +130,17 @@ def test_nearest(spark):
     assert ann.nearest(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_nearest_measures_recall(spark):
+    """Lists that are too few at first are raised until true neighbours are found."""
+    v = np.random.default_rng(4).normal(size=(6000, 32)).astype("f4")
+    vectors = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<float>")
+    got = ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=10, copies=1, boundary=1.0, prune=1.0).collect()
+    scores = v[::20].astype("f8") @ v.astype("f8").T
+    scores[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    best = np.argpartition(-scores, 9, axis=1)[:, :10]
+    assert len(got) == 3000 and sum(r["vec_id"] in best[r["query_id"] // 20] for r in got) / 3000 >= 0.9
+
+
 def test_language_id(spark):
     sample = {"en": "the house and the garden with water", "fr": "la maison et le jardin avec de l'eau", "ru": "дом и сад с водой"}
     rows = [(i, (t + " ") * 5, k) for i, (k, t) in enumerate(sample.items())]

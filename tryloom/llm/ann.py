@@ -6,12 +6,16 @@ bounded sample give the centroids; every vector goes to its nearest centroid's
 posting list and, near a boundary, also to those of others. A query finds its
 lists by a best-first search of the centroids' neighbour graph, keeps those
 whose distance is within a ratio of the nearest one's, and is compared with
-every vector of these lists in double precision.
+every vector of these lists in double precision. How many lists a query reads
+is settled at every fit: a bounded number of the queries is compared with all
+vectors, and the ratio, or the number of lists, is raised until the lists that
+these queries read hold enough of their true neighbours.
 
 Equal vectors stand in a list once, by their smallest id, with as many ids as a
 result can hold. Lists that outgrow a bound are dealt into shards, which all
-answer. Nothing but the sample, the centroids and their graph, all bounded by
-parameters, is held by the driver or broadcast.
+answer. Nothing but the sample, the centroids and their graph, and the queries
+that recall is measured on with their neighbours, all bounded by parameters, is
+held by the driver or broadcast.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take
 no part, nor do those of another length than most have; ties go to the smaller
@@ -41,6 +45,8 @@ SAMPLE = 20_000
 LIST_SIZE, SHARD_SIZE = 200, 4096
 #: Lists that every query reads.
 LEAST_LISTS = 8
+#: Queries that recall is measured on, at most, and the recall that they must have.
+PROBES, RECALL = 200, 0.95
 #: Vectors searched for together.
 BLOCK = 1024
 
@@ -158,6 +164,8 @@ def fit(reps: DataFrame, n: int, norm: float, sample: int = SAMPLE, list_size: i
     found.graph = np.argsort(reach, axis=1, kind="stable")[:, 1 : 1 + min(degree, len(squares) - 1)]
     if not found.graph.shape[1]:
         found.graph = np.zeros((len(squares), 1), int)
+    else:  # a ring, so that a search can reach every list
+        found.graph[:, -1] = np.roll(np.arange(len(squares)), -1)
     return found
 
 
@@ -214,11 +222,61 @@ def answers(lists: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return lists.groupBy("list", "shard").cogroup(queries.groupBy("list", "shard")).applyInPandas(search, "q long, rep long, score double")
 
 
+def true_nearest(reps: DataFrame, probes: np.ndarray, points: np.ndarray, k: int) -> DataFrame:
+    """``q``, ``rep`` and ``score``: of each probe, by its id and vector, the ``k`` best others of all vectors."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reps, scores = np.empty((len(probes), 0), np.int64), np.empty((len(probes), 0))
+        for batch in batches:
+            for begin in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(begin, BLOCK)
+                ids = column(part, "rep").to_numpy()
+                found = np.where(ids == probes[:, None], -np.inf, points @ matrix(column(part, "v")).T)
+                reps, scores = np.hstack([reps, np.broadcast_to(ids, found.shape)]), np.hstack([scores, found])
+                if scores.shape[1] > k:
+                    kept = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+                    reps, scores = np.take_along_axis(reps, kept, 1), np.take_along_axis(scores, kept, 1)
+        row, at = np.nonzero(np.isfinite(scores))
+        yield pa.RecordBatch.from_arrays([pa.array(probes[row]), pa.array(reps[row, at]), pa.array(scores[row, at])], names=["q", "rep", "score"])
+
+    found = reps.select("rep", "v").mapInArrow(search, "q long, rep long, score double")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep"))
+    return found.withColumn("_n", place).where(F.col("_n") <= k).drop("_n")
+
+
+def reading(centroids: Centroids, points: np.ndarray, held: pd.DataFrame, ratio: float, recall: float = RECALL, least: int = LEAST_LISTS) -> tuple[float, int]:
+    """The ratio and the number of nearest lists, at least those given, with which ``points`` find a share ``recall`` of their neighbours.
+
+    ``held`` has ``q`` (a row of ``points``), ``rep`` and ``list`` of each
+    neighbour's postings. Of a higher ratio and more nearest lists, that is
+    taken which reads fewer lists; then a search of the graph confirms it.
+    """
+    many = len(centroids.points)
+    reach = np.sqrt(np.maximum((points**2).sum(axis=1)[:, None] + (centroids.points**2).sum(axis=1) - 2 * points @ centroids.points.T, 0))
+    ratios = reach / np.maximum(reach.min(axis=1), 1e-9)[:, None]
+    ranks = reach.argsort(axis=1, kind="stable").argsort(axis=1)
+    q, at = held["q"].to_numpy(), held["list"].to_numpy()
+    far, rank = ratios[q, at], ranks[q, at]
+    enough = lambda needs: needs.groupby([held["q"], held["rep"]]).min().quantile(recall, "higher")
+    wider = max(ratio, enough(pd.Series(np.where(rank < least, 0.0, far), held.index)))
+    more = max(least, enough(pd.Series(np.where(far <= ratio, 0, rank + 1), held.index)))
+    reads = lambda r, n: ((ratios <= r) | (ranks < n)).sum()
+    ratio, least = (wider, least) if reads(wider, least) <= reads(ratio, more) else (ratio, int(more))
+    while least < many:
+        read = np.zeros(reach.shape, bool)
+        read[centroids.within(points, ratio, least)[:2]] = True
+        if pd.Series(read[q, at]).groupby([q, held["rep"].to_numpy()]).max().mean() >= recall:
+            break
+        ratio, least = ratio * 1.02, min(many, least + -(-least // 4))
+    return float(ratio), least
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, copies: int = 4, boundary: float = 1.05, prune: float = 1.15) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of the ``k`` nearest of each of ``queries`` among ``vectors``.
 
     ``boundary`` and ``copies`` govern the replication into further lists,
-    ``prune`` the choice of the lists that a query reads.
+    ``prune`` the least choice of the lists that a query reads, which is widened
+    until the measured recall is at least ``RECALL``.
     """
     good = written(usable(vectors), "vectors")
     reps = written(good.groupBy("v").agg(F.min("vec_id").alias("rep")), "vector-reps")
@@ -236,7 +294,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, copies: int = 4
 
     asked = usable(queries).join(reps, "v").select(F.col("vec_id").alias("query_id"), "rep").distinct()
     wanted = reps.join(asked.select("rep").distinct(), "rep", "left_semi")
-    sent = written(routed(wanted, centroids, True, prune, least=LEAST_LISTS), "routes").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    probes = wanted.orderBy(F.xxhash64("rep"), "rep").limit(PROBES).toArrow()
+    least = LEAST_LISTS
+    if probes.num_rows:
+        ids, points = probes.column("rep").to_numpy(), matrix(probes.column("v"))
+        held = F.broadcast(true_nearest(reps, ids, points, k)).join(posted.select("rep", "list"), "rep").select("q", "rep", "list").toPandas()
+        if len(held):
+            held["q"] = pd.Index(ids).get_indexer(held["q"])
+            prune, least = reading(centroids, centroids.extended(points, True), held, prune)
+    sent = written(routed(wanted, centroids, True, prune, least=least), "routes").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     # One more than k: the query's own id is among them.
     best = lambda df, by, *order: df.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_n") <= k + 1).drop("_n")
