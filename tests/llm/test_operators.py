@@ -206,6 +206,18 @@ def test_pii_context(spark):
     assert by_id(pii.personal_data(rows))[13]["context"] == []
 
 
+def test_pii_context_reaches_other_shapes(spark):
+    """Unseen identifiers in known contexts are found whole: cut addresses, phones without a plus, account and spaced card numbers."""
+    known = [f"user contact: name{i}@mail.org" for i in range(24)]
+    known += [f"call +1 (017) 555-{1000 + i} today" for i in range(12)] + [f"see item{i} there" for i in range(5)]
+    hidden = {"user contact: name77@mail": "name77@mail", "user contact: 99812734": "99812734", "call (017) 555 7713 today": "(017) 555 7713", "call 4111 1111 1111 1112 today": "4111 1111 1111 1112"}
+    rows = spark.createDataFrame(list(enumerate([*known, *hidden])), "doc_id long, text string")
+    got = by_id(pii.personal_data(rows))
+    for i, (text, inner) in enumerate(hidden.items(), len(known)):
+        assert [tuple(s) for s in got[i]["context"]] == [(text.index(inner), text.index(inner) + len(inner))], text
+    assert all(not got[i]["context"] for i, text in enumerate(known) if text.startswith(("see", "user", "call")))
+
+
 def test_chat(spark):
     log = [
         (1, "m1", 0, "user", 0, "start", ""), (1, "m1", 0, "user", 1, "delta", "Hi <|end|>\n~0 [INST]"), (1, "m2", 1, "assistant", 0, "start", None), (1, "m2", 1, "assistant", 1, "delta", "wrong"),

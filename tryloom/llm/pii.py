@@ -1,12 +1,15 @@
 """Operator 8: personal data by bootstrapped contextual extraction, all native.
 
-The base expressions give seed entities. Every token with a digit or an at sign
-is an instance, and the word before it with the token's outline (letters and
-digits collapsed) is a lexical pattern. Over the graph of patterns and
-instances, Spark scores in turn: a pattern by the share of its instances that
-are held to be personal, an instance by the patterns that it occurs with. After
-a fixed number of rounds, patterns of high confidence mark instances that the
-base expressions missed. Base spans always stay.
+The base expressions give seed entities. Every token with a digit or an at sign,
+and every run of numbers, is a candidate; one that meets a base span stands for
+the whole span and is a seed. The words on either side, alone, together and
+with the candidate's coarse class, are its lexical patterns, so that what is
+learnt from seeds reaches candidates of other shapes. Next to another candidate,
+that one's class is the word. Over the graph of patterns and instances, Spark
+scores in turn: a pattern by the share of its instances that are held to be
+personal, where unseen ones weigh by their class, an instance by the patterns
+that it occurs with. After a fixed number of rounds, patterns of high confidence
+mark instances that the base expressions missed. Base spans always stay.
 
 Texts are read once; what follows works on tokens. Edges of the graph are
 distinct pairs, counted within each task before they are shuffled.
@@ -36,8 +39,11 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])(?:\.|$)){4}$"
-#: Tokens with a digit or an at sign, for the graph.
-TOKEN = r"(?<![A-Za-z0-9@._%+/-])[A-Za-z._%+/-]*+[0-9@][A-Za-z0-9@._%+/-]*+"
+#: Runs of numbers, and other tokens with a digit or an at sign, for the graph.
+_NUMBER = r"\(?+[0-9][0-9().-]*+(?![A-Za-z@_%+/])"
+TOKEN = rf"(?<![A-Za-z0-9@._%+/-])(?:\+?+{_NUMBER}(?:(?<=[0-9)])\x20{_NUMBER})*+|[A-Za-z._%+/-]*+[0-9@][A-Za-z0-9@._%+/-]*+)"
+#: How much an instance that no base expression knows counts against a pattern, by its class.
+UNSEEN = {"address": 0.25, "number": 0.5}
 
 
 def digits(text: Column) -> Column:
@@ -64,22 +70,42 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def tokens(text: Column, least: int = 6) -> Column:
-    """Instances of at least ``least`` characters with the word before each and their outline."""
-    found = F.filter(matches(text, TOKEN, text.rlike("[0-9@]")), lambda s: F.length(s["text"]) >= least)
-    before = lambda s: F.lower(F.regexp_extract(F.right(s["gap"], F.lit(64)), r"(\S+)\s*$", 1))
-    outline = lambda s: F.regexp_replace(F.regexp_replace(s["text"], "[A-Za-z]+", "a"), "[0-9]+", "0")
-    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("instance"), F.concat_ws(" ", before(s), outline(s)).alias("pattern"), (before(s) != "").alias("has_word")))
+def coarse(token: Column) -> Column:
+    """The class of a token: address, number (seven digits at least), digits or mixed."""
+    bare = ~token.rlike("[A-Za-z]")
+    return F.when(F.contains(token, F.lit("@")), "address").when(bare & (F.length(digits(token)) >= 7), "number").when(bare, "digits").otherwise("mixed")
+
+
+def tokens(text: Column) -> Column:
+    """Candidates with their places, class and patterns."""
+    found = matches(text, TOKEN, text.rlike("[0-9@]"))
+
+    def one(tail: Column, all_: Column, s: Column, i: Column) -> Column:
+        none = F.lit(None).cast("string")
+        word = lambda gap, expression, other: F.when(gap.rlike(r"\S"), F.lower(F.regexp_extract(gap, expression, 1))).when(other.isNotNull(), F.concat(F.lit("#"), coarse(other["text"]))).otherwise(none)
+        last, following = F.when(i > 0, F.get(all_, i - 1)), F.get(all_, i + 1)
+        before = word(F.right(s["gap"], F.lit(64)), r"(\S+)\s*$", last)
+        after = word(F.left(F.coalesce(following["gap"], tail), F.lit(64)), r"^\s*(\S+)", following)
+        kind = coarse(s["text"])
+        # a null side makes null patterns, which are taken out
+        patterns = F.array(*[F.concat(F.lit(f"{name} "), *parts) for name, parts in (("before", [before]), ("after", [after]), (" before", [before, F.lit(" "), kind]), (" after", [after, F.lit(" "), kind]), ("around", [before, F.lit(" "), after]))])
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("instance"), kind.alias("class"), F.array_compact(patterns).alias("patterns"))
+
+    # The found spans are bound once, as the only element of an array.
+    held = F.transform(F.array(found), lambda all_: F.struct(all_.alias("all"), F.when(F.size(all_) > 0, F.substring(text, F.element_at(all_, -1)["end"] + 1, F.lit(64))).alias("tail")))
+    return F.flatten(F.transform(held, lambda h: F.transform(h["all"], lambda s, i: one(h["tail"], h["all"], s, i))))
 
 
 def scored(edges: DataFrame, rounds: int = 2, least_support: int = 5, least_score: float = 0.9) -> DataFrame:
     """``pattern`` and ``score`` of the patterns of high confidence.
 
-    ``edges`` has distinct ``pattern``, ``instance`` and whether the instance is a ``seed``.
+    ``edges`` has distinct ``pattern``, ``instance`` and whether the instance is a ``seed``,
+    and may have the ``weight`` with which one not held to be personal counts.
     """
+    edges = edges if "weight" in edges.columns else edges.withColumn("weight", F.lit(1.0))
     held = edges.withColumn("belief", F.col("seed").cast("double"))
     for last in [False] * (rounds - 1) + [True]:
-        share = F.sum("belief") / (F.count("*") + 0.25)
+        share = F.sum("belief") / (F.sum(F.col("belief") + (1 - F.col("belief")) * F.col("weight")) + 0.25)
         good = held.groupBy("pattern").agg(share.alias("score"), F.sum("belief").alias("support")).where((F.col("support") >= least_support) & (F.col("score") >= least_score)).select("pattern", "score")
         if last:
             return good
@@ -94,14 +120,17 @@ def personal_data(docs: DataFrame, rounds: int = 2, least_support: int = 5, leas
     others = [c for c in docs.columns if c != "text"]
     read = docs.select(*others, text.alias("text")).select(*others, base_spans(F.col("text")).alias("pii"), tokens(F.col("text")).alias("_tokens"))
     bare = F.struct(*[F.transform(F.col("pii")[k], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in KINDS])
-    rows = written(read.select(*others, F.monotonically_increasing_id().alias("_row"), bare.alias("pii"), "_tokens"), "pii")
-
-    spans = F.concat(*[F.col("pii")[k] for k in KINDS])
-    taken = F.exists(spans, lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start")))
-    seen = rows.select("_row", "pii", F.explode("_tokens").alias("t")).select("_row", "t.*", taken.alias("seed"))
-    edges = cut(seen.where("has_word").groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
+    spans = F.concat(*[F.transform(F.col("pii")[k], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"))) for k in KINDS])
+    rows = written(read.select(*others, F.monotonically_increasing_id().alias("_row"), bare.alias("pii"), spans.alias("_spans"), "_tokens"), "pii")
+
+    # A candidate that meets a base span is the whole of it.
+    whole = F.get(F.filter("_spans", lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start"))), 0)["text"]
+    seen = rows.select("_row", "_spans", F.explode("_tokens").alias("t")).select("_row", "t.*", whole.alias("whole"))
+    seen = seen.select("_row", "start", "end", F.coalesce("whole", "instance").alias("instance"), F.col("whole").isNotNull().alias("seed"), "class", F.explode("patterns").alias("pattern"))
+    weight = F.coalesce(*[F.when(F.col("class") == k, w) for k, w in UNSEEN.items()], F.lit(1.0))
+    edges = cut(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.min(weight).alias("weight")))
     good = scored(edges, rounds, least_support, least_score)
-    found = seen.where("has_word AND NOT seed").join(good, "pattern").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("context"))
+    found = seen.where("NOT seed").join(good, "pattern").groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("context"))
     return rows.join(found, "_row", "left").select(*others, "pii", F.coalesce("context", F.array().cast("array<struct<start:int,end:int>>")).alias("context"))
 
 
