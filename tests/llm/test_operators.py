@@ -153,6 +153,14 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in language_id.language_id(spark.createDataFrame(tests, "doc_id long, text string"), empty, ["doc_id"]).collect()} == {"und"}
 
 
+def test_language_sample_counts_distinct_texts(spark):
+    """Copies of one text take nothing from a language's sample."""
+    rows = [("en", f"house garden water number{chr(97 + i % 26) * (1 + i // 26)}") for i in range(60)] + [("fr", f"maison jardin mot{chr(97 + i % 26) * (1 + i // 26)}") for i in range(60)]
+    plain = language_id.fit(spark.createDataFrame(rows, "lang string, text string"), sample_texts=100)
+    copies = language_id.fit(spark.createDataFrame(rows + rows[60:61] * 3000, "lang string, text string"), sample_texts=100)
+    assert np.array_equal(plain.scores, copies.scores)
+
+
 def spans(text, kinds):
     out = [(m.start(), rank, f"{kind}:{m.start()}:{m.end()}") for rank, (kind, pattern, ok) in enumerate(kinds) for m in re.finditer(pattern, text) if ok(m)]
     return [s for _, _, s in sorted(out)]

@@ -130,17 +130,18 @@ def fit(docs: DataFrame, sample_texts: int = 1500, smoothing: float = 0.5) -> Mo
     """A model of the labelled texts (columns ``text`` and ``lang``).
 
     About ``sample_texts`` distinct texts of each language are used: those
-    whose hash falls below a threshold that follows from the language's count.
+    whose hash falls below a threshold that follows from the language's count of
+    distinct texts.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
+    counts = {r["lang"]: r["n"] for r in labelled.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((N_SCRIPTS, 0), bool))
     share = F.lit(1.0)
     for name in languages:
         share = F.when(F.col("lang") == name, F.lit(min(1.0, sample_texts / counts[name]))).otherwise(share)
-    drawn = labelled.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
+    drawn = labelled.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
     drawn = drawn.groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
