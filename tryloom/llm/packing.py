@@ -15,7 +15,6 @@ input are ignored.
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterator
 
@@ -25,59 +24,49 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from tryloom.llm.chunks import Ragged, grouped
+from tryloom.llm.chunks import grouped
 from tryloom.llm.shared import table, written
+from tryloom.llm.word_bpe import encoder
 
-#: Fields handed to the tokenizer at once; bounds its memory.
-FIELDS_A_CALL = 20_000
+#: Documents whose ids stand in one batch.
+DOCS_A_BATCH = 512
+#: Bytes of text in a group.
+TEXT_BYTES = 32 << 20
 #: Up to so many tasks, their offsets (24 bytes each) are broadcast.
 PARTS_BROADCAST = 200_000
 
 
-@functools.lru_cache(maxsize=2)
-def tokenizer(vocabulary: str) -> Tokenizer:
-    return Tokenizer.from_file(vocabulary)
-
-
-def encode_fields(tool: Tokenizer, fields: list[str]) -> Ragged:
-    """Ids of each field as the library gives them, without added special tokens."""
-    lengths, flat = [], []
-    for begin in range(0, len(fields), FIELDS_A_CALL):
-        ids = [e.ids for e in tool.encode_batch_fast(fields[begin : begin + FIELDS_A_CALL], add_special_tokens=False)]
-        lengths.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-        flat.append(np.fromiter((x for i in ids for x in i), np.uint16, int(lengths[-1].sum())))
-    if not fields:
-        return Ragged(np.empty(0, np.uint16), np.empty(0, np.int64))
-    return Ragged(np.concatenate(flat), np.concatenate(lengths))
-
-
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int, key: str) -> DataFrame:
     """Each document's ids, and where they begin among those of its task.
 
-    Columns: ``key``, ``part`` (the task), ``part_start``, ``doc_tokens``, ``ids`` (unsigned 16-bit).
+    Columns: ``_key``, ``part`` (the task), ``part_start``, ``doc_tokens``, ``ids`` (unsigned 16-bit).
     """
-    names = [key, "part", "part_start", "doc_tokens", "ids"]
+    names = ["_key", "part", "part_start", "doc_tokens", "ids"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = tokenizer(vocabulary)
-        if tool.get_vocab_size() > 1 << 16:
-            raise ValueError("ids over 65535 are not supported")
+        tool = encoder(vocabulary)
         part, total = TaskContext.get().partitionId(), 0
-        for group in grouped(batches, [key], "white"):
-            encoded = encode_fields(tool, group.fields)
-            for begin in range(0, len(group), 512):
-                end = min(len(group), begin + 512)
-                ids = [encoded.gather(group.of(i)) for i in range(begin, end)]
-                tokens = np.fromiter(map(len, ids), np.int64, len(ids)) + 1
-                starts = total + np.cumsum(tokens) - tokens
-                total += int(tokens.sum())
-                packed = [np.append(i, np.uint16(end_id)).astype("<u2").tobytes() for i in ids]
-                yield pa.RecordBatch.from_arrays([group.kept[0].slice(begin, end - begin), pa.array([part] * len(ids), pa.int32()), pa.array(starts), pa.array(tokens), pa.array(packed, pa.binary())], names=names)
+        for group in grouped(batches, ["_key"], "white", TEXT_BYTES):
+            encoded = tool.fields(group.fields)
+            for begin in range(0, len(group), DOCS_A_BATCH):
+                end = min(len(group), begin + DOCS_A_BATCH)
+                codes = group.codes[group.offsets[begin] : group.offsets[end]]
+                sums = np.concatenate([[0], np.cumsum(encoded.lengths[codes])])
+                # one more id for each document, behind its own
+                ends = sums[group.offsets[begin + 1 : end + 1] - group.offsets[begin]] + np.arange(1, end - begin + 1)
+                ids = np.empty(ends[-1], "<u2")
+                own = np.ones(len(ids), bool)
+                own[ends - 1] = False
+                ids[own], ids[ends - 1] = encoded.gather(codes), end_id
+                tokens = np.diff(ends, prepend=0)
+                offsets = np.concatenate([[0], 2 * ends]).astype(np.int64)
+                packed = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([group.kept[0].slice(begin, end - begin), pa.array(np.full(len(ends), part, np.int32)), pa.array(total + ends - tokens), pa.array(tokens), packed], names=names)
+                total += int(ends[-1])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(encode, f"{key} {kind}, part int, part_start long, doc_tokens long, ids binary")
+    return docs.select(F.col(f"`{key}`").alias("_key"), "text").mapInArrow(encode, f"_key {kind}, part int, part_start long, doc_tokens long, ids binary")
 
 
 def packed(docs: DataFrame, vocabulary: str, length: int = 4096, end_id: int = 2, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
@@ -88,12 +77,12 @@ def packed(docs: DataFrame, vocabulary: str, length: int = 4096, end_id: int = 2
     bases = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     if runs.rdd.getNumPartitions() <= PARTS_BROADCAST:
         bases = F.broadcast(bases)
-    names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
+    names = ["_key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for first in range(0, whole.num_rows, 512):
-                batch = whole.slice(first, 512)
+            for first in range(0, whole.num_rows, DOCS_A_BATCH):
+                batch = whole.slice(first, DOCS_A_BATCH)
                 rows, out = [], [[] for _ in names[1:]]
                 begins, sizes, ids = (batch.column(i) for i in (1, 2, 3))
                 for row, (begin, size, data) in enumerate(zip(begins.to_pylist(), sizes.to_pylist(), ids.to_pylist(), strict=True)):
@@ -111,9 +100,9 @@ def packed(docs: DataFrame, vocabulary: str, length: int = 4096, end_id: int = 2
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    placed = runs.join(bases, "part").select(key, (F.col("part_start") + F.col("base")).alias("begin"), "doc_tokens", "ids")
-    return placed.mapInArrow(cut, schema)
+    schema = f"_key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
+    placed = runs.join(bases, "part").select("_key", (F.col("part_start") + F.col("base")).alias("begin"), "doc_tokens", "ids")
+    return placed.mapInArrow(cut, schema).withColumnRenamed("_key", key)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

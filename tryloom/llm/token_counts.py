@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import functools
 import json
-import unicodedata
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -25,21 +24,16 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tryloom.llm.chunks import grouped
 from tryloom.llm.shared import table
+from tryloom.llm.word_bpe import byte_characters, lowered
 
 #: Words whose counts a worker remembers between groups before it starts anew.
 WORDS_KEPT = 500_000
 
 
-def byte_characters() -> list[str]:
-    """The printable stand-in for each byte that byte-level vocabularies use."""
-    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    other = iter(range(0x100, 0x200))
-    return [chr(b if b in plain else next(other)) for b in range(256)]
-
-
 class WordCounter:
     """Counts tokens of words and fields for a lower-casing word-end BPE file."""
 
@@ -95,9 +89,8 @@ class WordCounter:
         return count
 
     def _plain(self, text: str) -> int:
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # no final sigma
         total = 0
-        for word in self.words(text):
+        for word in self.words(lowered(text)):
             count = self.known.get(word)
             if count is None:
                 count = self.known[word] = self.merged(word)
@@ -124,17 +117,18 @@ def counter(vocabulary: str) -> WordCounter:
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, keep: str = "doc_id") -> DataFrame:
     """``keep``, ``n_bytes``, ``n_tokens`` and ``over_limit`` of every text."""
-    names = [keep, "n_bytes", "n_tokens", "over_limit"]
+    names = ["_key", "n_bytes", "n_tokens", "over_limit"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = counter(vocabulary)
-        for group in grouped(batches, [keep], "white"):
+        for group in grouped(batches, ["_key"], "white"):
             sums = np.concatenate([[0], np.cumsum(tool.fields(group.fields)[group.codes])])
             tokens = sums[group.offsets[1:]] - sums[group.offsets[:-1]]
             yield pa.RecordBatch.from_arrays([group.kept[0], pa.array(group.sizes()), pa.array(tokens), pa.array(tokens > limit)], names=names)
 
     kind = docs.schema[keep].dataType.simpleString()
-    return docs.select(keep, "text").mapInArrow(count, f"{keep} {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    counted = docs.select(F.col(f"`{keep}`").alias("_key"), "text").mapInArrow(count, f"_key {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return counted.withColumnRenamed("_key", keep)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
