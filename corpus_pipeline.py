@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tryloom.llm import language_id, near_dups, packing, secrets
 from tryloom.llm.shared import table, written
+from tryloom.llm.textspans import replaced
 
 #: A text stays if this share of its letters is in one language.
 LEAST_SHARE = 0.5
@@ -31,7 +32,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces each secret by its kind in brackets and corrects the length."""
-    found = secrets.secret_spans(docs).withColumn("text", secrets.redacted(F.col("text"), secrets.all_spans()))
+    found = secrets.secret_spans(docs).withColumn("text", replaced(F.col("text"), secrets.all_spans()))
     length = F.length("text").cast(docs.schema["n_chars"].dataType)
     return found.withColumn("n_chars", length).select(*docs.columns)
 

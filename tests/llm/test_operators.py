@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from tryloom.llm import ann, bpe_codec, chat_format, language_id, media, near_dups, packing, pii, secrets, token_counts  # noqa: E402
+from tryloom.llm import ann, bpe_codec, chat_format, language_id, media, near_dups, packing, pii, secrets, textspans, token_counts  # noqa: E402
 
 TEXTS = [
     None, "", " ", "a", "Hello  world\n\n it's 42 ½ ñandú", "\x1c a\x1fb", "a" * 3000, "ab" * 500 + " <|endoftext|> x", "word " * 3000, "Ünï ΣΑΣ ̈é 日本 ｶﾅ", "x", "x",
@@ -175,7 +175,7 @@ def test_secrets(spark):
     got = by_id(secrets.secret_spans(rows).select("doc_id", secrets.joined(secrets.all_spans(last=3)).alias("s")))
     for i, t in [*enumerate(SECRET_TEXTS), (50, SECRET_TEXTS[3])]:
         assert got[i]["s"] == ",".join(spans(t or "", kinds)), t
-    clean = by_id(secrets.secret_spans(rows).withColumn("text", secrets.redacted(F.col("text"), secrets.all_spans())).select("doc_id", "text"))
+    clean = by_id(secrets.secret_spans(rows).withColumn("text", textspans.replaced(F.col("text"), secrets.all_spans())).select("doc_id", "text"))
     assert clean[3]["text"] == 'ñ password = "abc"; [assign]' and clean[2]["text"] == "no secret"
 
 

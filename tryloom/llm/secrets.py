@@ -19,12 +19,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from itertools import product
-from re import _parser
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tryloom.llm.shared import fresh, table
+from tryloom.llm.shared import fresh, id_side, table, written
 from tryloom.llm.textspans import joined, matches, no_matches, placed
 
 _KEY = r"(password|passwd|secret|token|api_?key)"
@@ -55,71 +54,111 @@ RULES = (
 )
 N_BASE = 3
 
+#: Up to so many candidate texts (16 bytes each) are broadcast.
+CANDIDATES_BROADCAST = 500_000
 #: A derived set of strings is given up beyond this size.
 MOST_STRINGS = 64
 
 
-def _exact(item) -> set[str] | None:
-    """All strings that one parsed element matches, if they are few."""
-    op, arg = str(item[0]), item[1]
-    if op == "LITERAL":
-        return {chr(arg).lower()}
-    if op == "AT":
-        return {""}
-    if op == "IN":
-        found: set[str] = set()
-        for kind, value in arg:
-            if str(kind) != "LITERAL" or len(found) > 8:
-                return None
-            found.add(chr(value).lower())
-        return found
-    if op == "SUBPATTERN":
-        return _sequence(arg[-1])[0]
-    if op == "BRANCH":
-        parts = [_sequence(x)[0] for x in arg[1]]
-        return set().union(*parts) if all(p is not None for p in parts) else None
-    if op in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
-        least, most, inner = arg
-        one = _sequence(inner)[0]
-        if one is None or most > 4:
-            return None
-        found = set()
-        for n in range(least, int(most) + 1):
-            found |= {"".join(x) for x in product(one, repeat=n)}
-        return found
-    return None
-
-
-def _sequence(items) -> tuple[set[str] | None, list[set[str]]]:
-    """The exact strings of a sequence, or else clauses: of each, one string must occur."""
-    run, clauses, whole = {""}, [], True
-
-    def close() -> None:
-        if run and min(map(len, run)) >= 3:
-            clauses.append(run)
-
-    for item in items:
-        found = _exact(item)
-        if found is not None and len(found) * len(run) <= MOST_STRINGS:
-            run = {a + b for a in run for b in found}
-            continue
-        whole = False
+@dataclass
+class _Part:
+    """What is known of a part of an expression: all strings that it matches, if they are few, else clauses.
+
+    Of each clause, one string must occur. Strings are in lower case.
+    """
+
+    strings: set[str] | None
+    clauses: list[set[str]]
+
+
+class _Reader:
+    """Reads an expression of literals, classes, groups, alternatives and repetitions."""
+
+    def __init__(self, pattern: str):
+        self.pattern, self.at = pattern, 0
+
+    def peek(self) -> str:
+        return self.pattern[self.at : self.at + 1]
+
+    def take(self, expression: str) -> str | None:
+        found = re.compile(expression).match(self.pattern, self.at)
+        if found:
+            self.at = found.end()
+        return found and found[0]
+
+    def alternatives(self) -> _Part:
+        parts = [self.sequence()]
+        while self.take(r"\|"):
+            parts.append(self.sequence())
+        if len(parts) == 1:
+            return parts[0]
+        known = all(p.strings is not None for p in parts)
+        return _Part(set().union(*(p.strings for p in parts)) if known else None, [])
+
+    def sequence(self) -> _Part:
+        run, clauses, whole = {""}, [], True
+
+        def close() -> None:
+            if run and min(map(len, run)) >= 3:
+                clauses.append(run)
+
+        while self.peek() not in ("", "|", ")"):
+            part = self.repeated()
+            if part.strings is not None and len(part.strings) * len(run) <= MOST_STRINGS:
+                run = {a + b for a in run for b in part.strings}
+                continue
+            whole = False
+            close()
+            run = part.strings if part.strings is not None else {""}
+            clauses += part.clauses
         close()
-        run = found if found is not None else {""}
-        op, arg = str(item[0]), item[1]
-        if found is None and op == "SUBPATTERN":
-            clauses += _sequence(arg[-1])[1]
-        elif found is None and op.endswith("REPEAT") and arg[0] >= 1:
-            clauses += _sequence(arg[2])[1]
-    close()
-    return (run if whole else None), clauses
+        return _Part(run if whole else None, clauses)
+
+    def repeated(self) -> _Part:
+        part = self.one()
+        mark = self.take(r"(?:[*+?]|\{\d+(?:,\d*)?\})")
+        if not mark:
+            return part
+        self.take(r"[?+]")
+        least, most = {"*": (0, None), "+": (1, None), "?": (0, 1)}.get(mark) or self._bounds(mark)
+        if part.strings is None or most is None or most > 4:
+            return _Part(None, part.clauses if least else [])
+        return _Part({"".join(x) for n in range(least, most + 1) for x in product(part.strings, repeat=n)}, [])
+
+    @staticmethod
+    def _bounds(mark: str) -> tuple[int, int | None]:
+        low, comma, high = mark[1:-1].partition(",")
+        return int(low), int(high) if high else None if comma else int(low)
+
+    def one(self) -> _Part:
+        if self.take(r"\((?:\?i?:)?"):
+            if self.peek() == "?":
+                raise ValueError(f"unknown group in {self.pattern}")
+            part = self.alternatives()
+            self.take(r"\)")
+            return part
+        if self.peek() == "[":
+            body = self.take(r"\[\^?\]?(?:\\.|[^\]\\])*\]")[1:-1]
+            members = re.findall(r"\\x[0-9A-Fa-f]{2}|\\.|.", body, re.S)
+            few = body[0] != "^" and "-" not in body.strip("-") and len(members) <= 8 and not re.search(r"\\[a-wyzA-Z]", body)
+            return _Part({self._literal(m) for m in members} if few else None, [])
+        if self.take(r"\^|\$"):
+            return _Part({""}, [])
+        token = self.take(r"(?s)\\x[0-9A-Fa-f]{2}|\\.|.")
+        wide = token == "." or re.fullmatch(r"\\[a-zA-Z]", token)
+        return _Part(None if wide else {self._literal(token)}, [])
+
+    @staticmethod
+    def _literal(token: str) -> str:
+        if token.startswith(r"\x"):
+            token = chr(int(token[2:], 16))
+        return token[-1].lower()
 
 
 def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     """Alternatives of lower-case trigram sets; None if no trigram is mandatory."""
-    clauses = _sequence(_parser.parse(pattern))[1]
     options: list[frozenset[str]] = [frozenset()]
-    for clause in sorted(clauses, key=len):
+    for clause in sorted(_Reader(pattern).alternatives().clauses, key=len):
         sets = [frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in clause]
         if len(options) * len(sets) <= MOST_STRINGS:
             options = [a | b for a in options for b in sets]
@@ -131,24 +170,34 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+def _finder(trigrams: list[str]) -> str:
+    """An expression that meets each of ``trigrams`` where it begins, also where they overlap."""
+    quoted = lambda c: re.sub(r"([^A-Za-z0-9_])", r"\\\1", c)
+    starts: dict[str, dict[str, list[str]]] = {}
+    for a, b, c in trigrams:
+        starts.setdefault(a, {}).setdefault(b, []).append(c)
+    return "(?=(" + "|".join(f"{quoted(a)}(?:" + "|".join(f"{quoted(b)}[{''.join(map(quoted, ends))}]" for b, ends in next_.items()) + ")" for a, next_ in starts.items()) + "))"
+
+
 def postings(texts: DataFrame, trigrams: list[str]) -> DataFrame:
-    """The inverted index: ``gram`` (its place in ``trigrams``) and ``key`` of each text that holds it."""
-    low = F.lower("text")
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(i)) for i, g in enumerate(trigrams)]))
-    return texts.select(text_key(F.col("text")).alias("key"), F.explode(held).alias("gram"))
+    """The inverted index: ``gram`` and ``key`` of each text that holds one of ``trigrams``. A text is read once."""
+    held = F.regexp_extract_all(F.lower("text"), F.lit(_finder(trigrams)), F.lit(1))
+    return texts.select(text_key(F.col("text")).alias("key"), F.explode(F.array_distinct(held)).alias("gram"))
 
 
 def candidates(texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``key`` and ``rules`` (numbers): the texts that hold a trigram set of a rule in full."""
+    """``key`` and ``rules`` (a bit for each): the texts that hold a trigram set of a rule in full."""
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern))}
     trigrams = sorted({g for q in queries.values() for option in q for g in option})
-    branches = [(i, n, len(option), trigrams.index(g)) for n, (i, option) in enumerate((i, o) for i, q in queries.items() for o in q) for g in sorted(option)]
+    if not trigrams:
+        return texts.select(text_key(F.col("text")).alias("key"), F.lit(0).cast("long").alias("rules")).limit(0)
+    branches = [(i, n, len(option), g) for n, (i, option) in enumerate((i, o) for i, q in queries.items() for o in q) for g in sorted(option)]
     rows = F.array(*[F.struct(*[F.lit(x).alias(k) for k, x in zip(("rule", "branch", "need", "gram"), b, strict=True)]) for b in branches])
     # A row for each trigram of each rule: bounded by the rules.
     wanted = F.broadcast(texts.sparkSession.range(1).select(F.inline(rows)))
     index = postings(texts, trigrams).join(wanted, "gram")
     held = index.groupBy("key", "rule", "branch", "need").agg(F.collect_set("gram").alias("grams")).where(F.size("grams") == F.col("need"))
-    return held.groupBy("key").agg(F.collect_set("rule").alias("rules"))
+    return held.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
 
 
 def _long_enough(rule: Rule):
@@ -156,52 +205,39 @@ def _long_enough(rule: Rule):
     return lambda s: F.length(value(s["text"])) >= rule.least
 
 
-def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``secrets``: for each rule the array of its verified spans.
+def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, into: str = "secrets") -> DataFrame:
+    """``docs`` with ``into``: for each rule the array of its verified spans.
 
-    A column of that name in ``docs`` is replaced.
+    A column of that name in ``docs`` is replaced. Texts are not shuffled: what
+    is joined to them are the candidates, two numbers each, which are counted
+    first; beyond ``CANDIDATES_BROADCAST`` they are hashed by partition, and
+    Spark splits a partition of a text that many rows share at run time.
     """
-    docs = docs.drop("secrets").withColumn("text", F.coalesce("text", F.lit("")))
+    docs = docs.drop(into).withColumn("text", F.coalesce("text", F.lit("")))
     key, numbers = fresh(docs, "text_key"), fresh(docs, "rules")
-    found = candidates(docs.select("text"), rules).withColumnsRenamed({"key": key, "rules": numbers})
-    # The index's side is small for each text, so it is the one to be hashed;
-    # partitions of a text that many rows share are split at run time.
-    with_rules = docs.withColumn(key, text_key(F.col("text"))).join(found.hint("shuffle_hash"), key, "left")
+    found = written(candidates(docs.select("text"), rules), "candidates").withColumnsRenamed({"key": key, "rules": numbers})
+    with_rules = docs.withColumn(key, text_key(F.col("text"))).join(id_side(found, CANDIDATES_BROADCAST), key, "left")
     out = []
     for i, rule in enumerate(rules):
-        guard = F.array_contains(numbers, i) if trigram_query(rule.pattern) else None
+        guard = F.col(numbers).bitwiseAND(F.lit(1 << i)) != 0 if trigram_query(rule.pattern) else None
         spans = matches(F.col("text"), rule.pattern, guard)
         if rule.least:
             spans = F.filter(spans, _long_enough(rule))
         out.append(F.coalesce(spans, no_matches()).alias(rule.kind))
-    return with_rules.select(*docs.columns, F.struct(*out).alias("secrets"))
-
-
-def redacted(text: Column, spans: Column) -> Column:
-    """``text`` with every span of ``spans`` (sorted structs) replaced by its kind in brackets.
-
-    A span that begins inside an earlier one extends it instead of being replaced itself.
-    """
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(F.array_sort(spans), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return with_rules.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(*out).alias(into))
 
 
-def all_spans(rules: tuple[Rule, ...] = RULES, first: int = 0, last: int | None = None) -> Column:
-    """The spans of ``secrets`` as one array of sortable structs."""
+def all_spans(rules: tuple[Rule, ...] = RULES, first: int = 0, last: int | None = None, column: str = "secrets") -> Column:
+    """The spans of ``column`` as one array of sortable structs."""
     chosen = list(enumerate(rules))[first:last]
-    return F.concat(*[placed(F.col("secrets")[r.kind], i, r.kind) for i, r in chosen])
+    return F.concat(*[placed(F.col(column)[r.kind], i, r.kind) for i, r in chosen])
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every whole text of ``documents``."""
     found = secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.col("secrets")[r.kind]).cast("long").alias(f"n_{r.kind}") for r in RULES[:N_BASE]]
-    return found.select("doc_id", *counts, F.sha2(joined(all_spans(last=N_BASE)), 256).alias("base_sha256"), joined(all_spans()).alias("spans"))
+    placed_ = found.select("doc_id", *[F.size(F.col("secrets")[r.kind]).cast("long").alias(f"n_{r.kind}") for r in RULES[:N_BASE]], joined(all_spans(last=N_BASE)).alias("base"), all_spans().alias("every"))
+    return placed_.select("doc_id", *[f"n_{r.kind}" for r in RULES[:N_BASE]], F.sha2("base", 256).alias("base_sha256"), joined(F.col("every")).alias("spans"), F.size("every").cast("long").alias("n_spans"))
 
 
 def python_pattern(rule: Rule) -> re.Pattern:
