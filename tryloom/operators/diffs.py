@@ -6,6 +6,8 @@ come from one row without a shuffle. Lines end at line feeds alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,9 @@ PROOF_COMMANDS = (
 #: Globs of source files.
 SOURCE_GLOBS = ("*.thy", "*ROOT", "*ROOTS")
 
+#: Lines whose projections are gathered at once.
+LINES_A_BLOCK = 64
+
 _WORD_END = r"(?![\w'])"
 _OPEN, _CLOSE = r"\<open>", r"\<close>"
 _TOKEN = r"(?U)\(\*|\*\)|\\<open>|\\<close>|\\<comment>|(?<![\w'])(?:" + "|".join(DOC_COMMANDS) + ")" + _WORD_END
@@ -154,6 +159,16 @@ def seed(ctx: Column) -> Column:
     return F.when(ctx.rlike(r"(?U)^\s*(?:" + "|".join(DOC_COMMANDS) + ")" + _WORD_END), F.greatest(F.lit(0), opened)).otherwise(F.lit(0))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def spaced(text: Column) -> Column:
+    """``text`` with each run of white space as one blank, and none at its ends."""
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
 def projected(side: Column, depth: Column, guessed: Column) -> Column:
     """A struct of ``bad`` (a close without its open) and ``out``, the code of each line of ``side``.
 
@@ -189,43 +204,59 @@ def projected(side: Column, depth: Column, guessed: Column) -> Column:
         begin = whole(depth=F.when(resync, 0).otherwise(acc["depth"]), ml=acc["ml"], cart=acc["cart"], pending=acc["pending"] & ~resync, bad=acc["bad"], text=F.lit(""))
         pieces = F.zip_with(F.split(raw, _TOKEN, -1), F.regexp_extract_all(raw, F.lit(_TOKEN), F.lit(0)), lambda gap, tok: F.struct(gap.alias("gap"), tok.alias("tok")))
         done = F.aggregate(pieces, begin, token)
-        clean = F.trim(F.regexp_replace(done["text"], r"(?U)\s+", " "))
-        return F.struct(*[done[n].alias(n) for n in names], F.concat(acc["out"], F.array(clean)).alias("out"))
+        return bound(done, lambda d: F.struct(*[d[n].alias(n) for n in names], F.concat(acc["out"], F.array(spaced(d["text"]))).alias("out")))
 
-    start = F.struct(depth.cast("int").alias("depth"), F.lit(0).alias("ml"), F.lit(0).alias("cart"), F.lit(False).alias("pending"), F.lit(False).alias("bad"), F.lit("").alias("text"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(side, start, line, lambda acc: F.struct(acc["bad"].alias("bad"), acc["out"].alias("out")))
+    none = F.array().cast("array<string>")
+    state = lambda acc, out: F.struct(*[acc[n].alias(n) for n in names], out.alias("out"))
+    start = F.struct(depth.cast("int").alias("depth"), F.lit(0).alias("ml"), F.lit(0).alias("cart"), F.lit(False).alias("pending"), F.lit(False).alias("bad"), F.lit("").alias("text"), none.alias("out"))
+
+    # Lines are gathered by blocks, so that few of them are copied often.
+    def block(acc: Column, own: Column) -> Column:
+        return bound(F.aggregate(own, state(acc, none), line), lambda d: state(d, F.concat(acc["out"], d["out"])))
+
+    places = F.filter(F.sequence(F.lit(0), (F.size(side) / LINES_A_BLOCK).cast("int")), lambda i: i * LINES_A_BLOCK < F.size(side))
+    blocks = F.transform(places, lambda i: F.slice(side, i * LINES_A_BLOCK + 1, LINES_A_BLOCK))
+    return F.aggregate(blocks, start, block, lambda acc: F.struct(acc["bad"].alias("bad"), acc["out"].alias("out")))
 
 
 def _changed(hunk_lines: Column, sign: Column, depth: Column, guessed: Column) -> Column:
     """``bad`` and the non-empty projections ``p`` of the lines of one sign, context lines carrying the state."""
     seen = F.filter(hunk_lines, lambda ln: F.startswith(ln, F.lit(" ")) | F.startswith(ln, sign))
     read = projected(F.transform(seen, lambda ln: F.substring(ln, 2, 1 << 30)), depth, guessed)
-    pairs = F.zip_with(seen, read["out"], lambda ln, p: F.struct(ln.alias("ln"), p.alias("p")))
-    own = F.transform(F.filter(pairs, lambda x: F.startswith(x["ln"], sign) & (x["p"] != "")), lambda x: x["p"])
-    return F.struct(read["bad"].alias("bad"), own.alias("p"))
+    own = lambda out: F.transform(F.filter(F.zip_with(seen, out, lambda ln, p: F.struct(ln.alias("ln"), p.alias("p"))), lambda x: F.startswith(x["ln"], sign) & (x["p"] != "")), lambda x: x["p"])
+    return bound(read, lambda r: F.struct(r["bad"].alias("bad"), own(r["out"]).alias("p")))
 
 
 def code_evidence(found: DataFrame) -> DataFrame:
     """``hunks`` with ``evidence``: projections on one side that the other lacks, signed.
 
     Both sides are read from the depth that the context implies, else from
-    within prose, else as bare text: the first reading that fits both.
+    within prose, else as bare text: the first reading that fits both. A hunk
+    without tokens that is not within prose is all code, and is not walked.
     """
-    text = lambda sign: F.transform(F.filter("lines", lambda ln: F.startswith(ln, F.lit(sign))), lambda ln: F.regexp_replace(F.substring(ln, 2, 1 << 30), r"(?U)^\s+|\s+$", ""))
+    own = lambda sign: F.transform(F.filter("lines", lambda ln: F.startswith(ln, F.lit(sign))), lambda ln: F.substring(ln, 2, 1 << 30))
+    sides = lambda old, new: F.struct(old.alias("old"), new.alias("new"))
+    text = lambda sign: F.transform(own(sign), lambda ln: F.regexp_replace(ln, r"(?U)^\s+|\s+$", ""))
+    plain = lambda sign: F.filter(F.transform(own(sign), spaced), lambda p: p != "")
     depth = seed(F.col("ctx"))
-    way = lambda sign, d, g: F.struct(F.lit(sign).alias("sign"), d.cast("int").alias("depth"), g.alias("guessed"))
-    ways = F.array(way("-", depth, depth > 0), way("+", depth, depth > 0), way("-", F.lit(1), F.lit(True)), way("+", F.lit(1), F.lit(True)))
-    read = F.transform(ways, lambda w: _changed(F.col("lines"), w["sign"], w["depth"], w["guessed"]))
-    rows = found.withColumn("_read", read)
-    r = lambda i: F.get("_read", F.lit(i))
-    fits = [~r(i)["bad"] & ~r(i + 1)["bad"] for i in (0, 2)]
-    pick = lambda i, s: F.when(fits[0], r(i)["p"]).when(fits[1], r(i + 2)["p"]).otherwise(text(s))
-    rows = rows.withColumns({"_old": pick(0, "-"), "_new": pick(1, "+")})
+
+    def reading(found_: Column, way: Column) -> Column:
+        read = F.transform(F.array(F.lit("-"), F.lit("+")), lambda sign: _changed(F.col("lines"), sign, way["depth"], way["guessed"]))
+        fitting = bound(read, lambda r: F.when(~F.get(r, F.lit(0))["bad"] & ~F.get(r, F.lit(1))["bad"], sides(F.get(r, F.lit(0))["p"], F.get(r, F.lit(1))["p"])))
+        return F.when(found_.isNotNull(), found_).otherwise(fitting)
+
+    ways = F.array(*[F.struct(at.cast("int").alias("depth"), guessed.alias("guessed")) for at, guessed in ((depth, depth > 0), (F.lit(1), F.lit(True)))])
+    none = F.lit(None).cast("struct<old:array<string>,new:array<string>>")
+    walked = F.coalesce(F.aggregate(ways, none, reading), sides(text("-"), text("+")))
+    simple = (depth == 0) & ~F.exists("lines", lambda ln: ln.rlike(_TOKEN))
     only = lambda a, b, sign: F.transform(F.filter(a, lambda p: ~F.array_contains(b, p)), lambda p: F.concat(F.lit(sign), p))
-    differs = F.array_sort("_old") != F.array_sort("_new")
-    # Sides that differ in how often a line stands there, and in nothing else, have no evidence.
-    out = F.when(differs, F.concat(only(F.col("_old"), F.col("_new"), "-"), only(F.col("_new"), F.col("_old"), "+"))).otherwise(F.array().cast("array<string>"))
-    return rows.withColumn("evidence", out).drop("_read", "_old", "_new")
+
+    def evidence(r: Column) -> Column:
+        # Sides that differ in how often a line stands there, and in nothing else, have no evidence.
+        differs = F.array_sort(r["old"]) != F.array_sort(r["new"])
+        return F.when(differs, F.concat(only(r["old"], r["new"], "-"), only(r["new"], r["old"], "+"))).otherwise(F.array().cast("array<string>"))
+
+    return found.withColumn("evidence", bound(F.when(simple, sides(plain("-"), plain("+"))).otherwise(walked), evidence))
 
 
 def file_verdicts(found: DataFrame) -> DataFrame:

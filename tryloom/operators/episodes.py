@@ -37,10 +37,11 @@ def is_attempt(delta_class: Column | str = "delta_class") -> Column:
     return (F.col("outcome") != "ok") | (kind == "code") | F.coalesce(after_bad, F.lit(False))
 
 
-def summary(attempts: DataFrame) -> DataFrame:
+def summary(attempts: DataFrame, *more: Column) -> DataFrame:
     """One row an episode: span, outcome counts and the three lengths.
 
-    ``attempts`` has ``episode_no`` and ``delta_class``.
+    ``attempts`` has ``episode_no`` and ``delta_class``. ``more`` are further
+    aggregates, worked out in the same pass.
     """
     rows = attempts.withColumns({
         "_attempt": is_attempt(),
@@ -59,6 +60,7 @@ def summary(attempts: DataFrame) -> DataFrame:
         F.nullif(F.count_if("_attempt"), F.lit(0)).alias("len_attempt"),
         F.bool_or(F.col("outcome") == "ok").alias("is_closed"),
         F.bool_or("_blind").alias("blind"),
+        *more,
     )
 
 
@@ -113,11 +115,11 @@ def by_development(episodes: DataFrame, project: str = "project", length: str =
     ).orderBy(F.desc("trajectories"), project)
 
 
-def recent(attempts: DataFrame, n: int, code_only: bool = True) -> DataFrame:
-    """The last ``n`` attempts with how many are not shown."""
+def recent(attempts: DataFrame, n: int, code_only: bool = True, order: str = "timestamp") -> DataFrame:
+    """The last ``n`` attempts, by ``order``, corpus and sequence, with how many are not shown."""
     rows = attempts.where("delta_class = 'code'") if code_only else attempts
     total = rows.agg(F.count("*").alias("_all"))
-    shown = rows.orderBy(F.desc("ts"), F.desc("event_id")).limit(n)
+    shown = rows.orderBy(F.desc(order), F.desc("corpus_id"), F.desc("seq")).limit(n)
     return shown.crossJoin(F.broadcast(total)).withColumn("hidden", F.greatest(F.col("_all") - n, F.lit(0))).drop("_all")
 
 

@@ -26,7 +26,7 @@ _EPISODES = (
  e AS (SELECT corpus_id, ep, min(seq) AS first_seq, max(seq) AS last_seq, arg_min(build_id, seq) AS first_build, arg_max(build_id, seq) AS last_build, min(ts) AS started,
               count(*) AS len_raw, count(*) FILTER (WHERE outcome = 'fail') AS fails, count(*) FILTER (WHERE outcome = 'timeout') AS timeouts,
               count(*) FILTER (WHERE cls = 'code') AS len_code, nullif(count(*) FILTER (WHERE att), 0) AS len_attempt, bool_or(outcome = 'ok') AS is_closed, bool_or(bl) AS blind,
-              concat('s', arg_min(user_id, seq) % 6) AS project, true AS proof_bearing
+              concat('s', arg_min(user_id, seq) % 6) AS project, count(*) FILTER (WHERE cls = 'code') AS len_proof, bool_or(cls = 'code' OR error_head IS NOT NULL OR outcome = 'timeout') AS proof_bearing
        FROM w2 GROUP BY 1, 2)"""
 )
 _EVENTS = f"""WITH log AS ({mapping.BUILD_LOG}), v AS (SELECT *, CASE WHEN text LIKE '%running for%' THEN 'loop' WHEN text LIKE '***%' THEN 'locus' WHEN text LIKE 'Session %' THEN 'plan' ELSE 'progress' END AS kind,
@@ -47,16 +47,11 @@ def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return episodes.segment(diffs.classified(conform(mapping.attempts(spark, sf_dir))))
 
 
-def _named(rows: DataFrame) -> DataFrame:
-    """Each episode's development, here the directory of the user that began it."""
-    first = rows.groupBy(*episodes.EPISODE).agg(F.min_by("user_id", "seq").alias("u"))
-    return first.select(*episodes.EPISODE, F.concat(F.lit("s"), (F.col("u") % 6).cast("string")).alias("project"))
-
-
 def _episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _classified(spark, sf_dir)
-    proof = rows.groupBy(*episodes.EPISODE).agg(F.count_if("proof_edit").alias("len_proof"))
-    return episodes.summary(rows).join(_named(rows), episodes.EPISODE).join(proof, episodes.EPISODE).withColumn("proof_bearing", F.lit(True))
+    """Episodes with their development (here the directory of the user that began it) and what worked on proofs."""
+    began = F.concat(F.lit("s"), (F.min_by("user_id", "seq") % 6).cast("string")).alias("project")
+    bearing = F.bool_or(F.col("proof_edit") | F.col("error_head").isNotNull() | (F.col("outcome") == "timeout")).alias("proof_bearing")
+    return episodes.summary(_classified(spark, sf_dir), began, F.count_if("proof_edit").alias("len_proof"), bearing)
 
 
 def _by_project(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,9 +66,9 @@ def attempts_mapped(spark, sf_dir):
     return mapping.attempts(spark, sf_dir).select("corpus_id", "seq", "build_id", "outcome", "timeout_reason", "elapsed_s", "error_head", "note")
 
 
-@query("recent_attempts", _ATTEMPTS + ", k AS (SELECT * FROM a WHERE cls = 'code') SELECT build_id, outcome, greatest((SELECT count(*) FROM k) - 20, 0) AS hidden FROM k ORDER BY ts DESC, event_id DESC LIMIT 20")
+@query("recent_attempts", _ATTEMPTS + ", k AS (SELECT * FROM a WHERE cls = 'code') SELECT build_id, outcome, greatest((SELECT count(*) FROM k) - 20, 0) AS hidden FROM k ORDER BY ts DESC, corpus_id DESC, seq DESC LIMIT 20")
 def recent_attempts(spark, sf_dir):
-    return episodes.recent(diffs.classified(conform(mapping.attempts(spark, sf_dir))), 20).select("build_id", "outcome", "hidden")
+    return episodes.recent(diffs.classified(conform(mapping.attempts(spark, sf_dir).withColumn("timestamp", F.col("ts").cast("string")))), 20).select("build_id", "outcome", "hidden")
 
 
 @query("show_by_prefix", _ATTEMPTS + " SELECT corpus_id, arg_max(build_id, seq) AS build_id, max(seq) AS seq FROM a WHERE starts_with(build_id, 'b1') GROUP BY 1")
@@ -349,12 +344,12 @@ def leave_one_day_out(spark, sf_dir):
     return lengths.leave_one_day_out(_days(spark, sf_dir))
 
 
-@query("length_scopes", _EPISODES + " SELECT project, count(*) FILTER (WHERE len_code > 0) AS n_code, round(avg((len_code = 1)::INT) FILTER (WHERE len_code > 0), 6) AS one_shot_code, round(avg(len_code) FILTER (WHERE len_code > 0), 6) AS mean_code, count(*) FILTER (WHERE len_attempt > 0) AS n_attempt, round(avg((len_attempt = 1)::INT) FILTER (WHERE len_attempt > 0), 6) AS one_shot_attempt, round(avg(len_attempt) FILTER (WHERE len_attempt > 0), 6) AS mean_attempt FROM e WHERE is_closed GROUP BY 1")
+@query("length_scopes", _EPISODES + " SELECT project, count(*) FILTER (WHERE len_code > 0) AS n_code, round(avg((len_code = 1)::INT) FILTER (WHERE len_code > 0), 6) AS one_shot_code, round(avg(len_code) FILTER (WHERE len_code > 0), 6) AS mean_code, count(*) FILTER (WHERE len_attempt > 0) AS n_attempt, round(avg((len_attempt = 1)::INT) FILTER (WHERE len_attempt > 0), 6) AS one_shot_attempt, round(avg(len_attempt) FILTER (WHERE len_attempt > 0), 6) AS mean_attempt, count(*) FILTER (WHERE len_proof > 0) AS n_proof, round(avg((len_proof = 1)::INT) FILTER (WHERE len_proof > 0), 6) AS one_shot_proof, round(avg(len_proof) FILTER (WHERE len_proof > 0), 6) AS mean_proof FROM e WHERE is_closed GROUP BY 1")
 def length_scopes(spark, sf_dir):
-    return lengths.scopes(_episodes(spark, sf_dir)).drop("n_proof", "one_shot_proof", "mean_proof")
+    return lengths.scopes(_episodes(spark, sf_dir))
 
 
-@query("filtered_rates", _EPISODES + " SELECT project, round(avg((len_attempt = 1)::INT), 6) AS rate_all, count(*) AS n_all, round(avg((len_attempt = 1)::INT), 6) AS rate_proof, count(*) AS n_proof, 0::BIGINT AS dropped FROM e WHERE is_closed AND len_attempt > 0 GROUP BY 1")
+@query("filtered_rates", _EPISODES + " SELECT project, round(avg((len_attempt = 1)::INT), 6) AS rate_all, count(*) AS n_all, round(avg((len_attempt = 1)::INT) FILTER (WHERE proof_bearing), 6) AS rate_proof, count(*) FILTER (WHERE proof_bearing) AS n_proof, count(*) FILTER (WHERE NOT proof_bearing) AS dropped FROM e WHERE is_closed AND len_attempt > 0 GROUP BY 1")
 def filtered_rates(spark, sf_dir):
     return lengths.filtered_rates(_episodes(spark, sf_dir))
 

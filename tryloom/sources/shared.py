@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` after a reliable checkpoint below ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """``df`` after a reliable checkpoint below ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session takes a temporary folder; on a cluster it is an error.
+    """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-shared-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-shared-"))
     return df.checkpoint(eager=True)
