@@ -25,8 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tryloom.llm.shared import cut, table, written
-from tryloom.llm.textspans import joined, matches, placed
+from tryloom.llm.shared import cut, fresh, table, written
+from tryloom.llm.textspans import bound, joined, matches, placed
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = "context"
@@ -42,6 +42,10 @@ _IP_PARTS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])(?:\.|$)){4}$
 #: Runs of numbers, and other tokens with a digit or an at sign, for the graph.
 _NUMBER = r"\(?+[0-9][0-9().-]*+(?![A-Za-z@_%+/])"
 TOKEN = rf"(?<![A-Za-z0-9@._%+/-])(?:\+?+{_NUMBER}(?:(?<=[0-9)])\x20{_NUMBER})*+|[A-Za-z._%+/-]*+[0-9@][A-Za-z0-9@._%+/-]*+)"
+# The last and the first word of what stands between candidates; each word is tried from its beginning only.
+LAST_WORD, FIRST_WORD = r"(?<!\S)(\S++)\s*+$", r"^\s*+(\S++)"
+#: Characters of a word beyond which a pattern holds its digest instead.
+LONG_WORD = 64
 #: How much an instance that no base expression knows counts against a pattern, by its class.
 UNSEEN = {"address": 0.25, "number": 0.5}
 
@@ -76,27 +80,37 @@ def coarse(token: Column) -> Column:
     return F.when(F.contains(token, F.lit("@")), "address").when(bare & (F.length(digits(token)) >= 7), "number").when(bare, "digits").otherwise("mixed")
 
 
+def named(word: Column) -> Column:
+    """A word as a pattern names it: in lower case, a long one by its digest."""
+    return F.when(F.length(word) > LONG_WORD, F.sha2(word, 256)).otherwise(F.lower(word))
+
+
 def tokens(text: Column) -> Column:
     """Candidates with their places, class and patterns."""
     found = matches(text, TOKEN, text.rlike("[0-9@]"))
 
     def one(tail: Column, all_: Column, s: Column, i: Column) -> Column:
         none = F.lit(None).cast("string")
-        word = lambda gap, expression, other: F.when(gap.rlike(r"\S"), F.lower(F.regexp_extract(gap, expression, 1))).when(other.isNotNull(), F.concat(F.lit("#"), coarse(other["text"]))).otherwise(none)
+        word = lambda gap, expression, other: F.when(gap.rlike(r"\S"), named(F.regexp_extract(gap, expression, 1))).when(other.isNotNull(), F.concat(F.lit("#"), coarse(other["text"]))).otherwise(none)
         last, following = F.when(i > 0, F.get(all_, i - 1)), F.get(all_, i + 1)
-        before = word(F.right(s["gap"], F.lit(64)), r"(\S+)\s*$", last)
-        after = word(F.left(F.coalesce(following["gap"], tail), F.lit(64)), r"^\s*(\S+)", following)
-        kind = coarse(s["text"])
-        # a null side makes null patterns, which are taken out
-        patterns = F.array(*[F.concat(F.lit(f"{name} "), *parts) for name, parts in (("before", [before]), ("after", [after]), (" before", [before, F.lit(" "), kind]), (" after", [after, F.lit(" "), kind]), ("around", [before, F.lit(" "), after]))])
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("instance"), kind.alias("class"), F.array_compact(patterns).alias("patterns"))
+        sides = F.struct(word(s["gap"], LAST_WORD, last).alias("before"), word(F.coalesce(following["gap"], tail), FIRST_WORD, following).alias("after"), coarse(s["text"]).alias("class"))
+
+        def whole(x: Column) -> Column:
+            # a null side makes null patterns, which are taken out
+            parts = (("before", [x["before"]]), ("after", [x["after"]]), (" before", [x["before"], F.lit(" "), x["class"]]), (" after", [x["after"], F.lit(" "), x["class"]]), ("around", [x["before"], F.lit(" "), x["after"]]))
+            patterns = F.array(*[F.concat(F.lit(f"{name} "), *values) for name, values in parts])
+            return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("instance"), x["class"].alias("class"), F.array_compact(patterns).alias("patterns"))
+
+        return bound(sides, whole)
 
-    # The found spans are bound once, as the only element of an array.
-    held = F.transform(F.array(found), lambda all_: F.struct(all_.alias("all"), F.when(F.size(all_) > 0, F.substring(text, F.element_at(all_, -1)["end"] + 1, F.lit(64))).alias("tail")))
-    return F.flatten(F.transform(held, lambda h: F.transform(h["all"], lambda s, i: one(h["tail"], h["all"], s, i))))
+    def every(all_: Column) -> Column:
+        tail = F.when(F.size(all_) > 0, F.substring(text, F.element_at(all_, -1)["end"] + 1, F.length(text)))
+        return bound(tail, lambda t: F.transform(all_, lambda s, i: one(t, all_, s, i)))
 
+    return bound(found, every)
 
-def scored(edges: DataFrame, rounds: int = 2, least_support: int = 5, least_score: float = 0.9) -> DataFrame:
+
+def scored(edges: DataFrame, rounds: int = 3, least_support: int = 5, least_score: float = 0.9) -> DataFrame:
     """``pattern`` and ``score`` of the patterns of high confidence.
 
     ``edges`` has distinct ``pattern``, ``instance`` and whether the instance is a ``seed``,
@@ -114,24 +128,29 @@ def scored(edges: DataFrame, rounds: int = 2, least_support: int = 5, least_scor
     return good
 
 
-def personal_data(docs: DataFrame, rounds: int = 2, least_support: int = 5, least_score: float = 0.9) -> DataFrame:
-    """``docs`` without its text, with ``pii``: base spans by kind, and ``context``: spans (start, end) found by patterns."""
+def personal_data(docs: DataFrame, rounds: int = 3, least_support: int = 5, least_score: float = 0.9) -> DataFrame:
+    """``docs`` without its text, with ``pii``: base spans by kind, and ``context``: spans (start, end) found by patterns.
+
+    Columns of these two names in ``docs`` are replaced.
+    """
     text = F.coalesce("text", F.lit(""))
-    others = [c for c in docs.columns if c != "text"]
-    read = docs.select(*others, text.alias("text")).select(*others, base_spans(F.col("text")).alias("pii"), tokens(F.col("text")).alias("_tokens"))
-    bare = F.struct(*[F.transform(F.col("pii")[k], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in KINDS])
-    spans = F.concat(*[F.transform(F.col("pii")[k], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"))) for k in KINDS])
-    rows = written(read.select(*others, F.monotonically_increasing_id().alias("_row"), bare.alias("pii"), spans.alias("_spans"), "_tokens"), "pii")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "pii", "context")]
+    row, tokens_, spans_ = (fresh(docs, name) for name in ("_row", "_tokens", "_spans"))
+    read = docs.select(*others, base_spans(text).alias("pii"), tokens(text).alias(tokens_))
+    place = lambda s: [s["start"].alias("start"), s["end"].alias("end")]
+    bare = F.struct(*[F.transform(F.col("pii")[k], lambda s: F.struct(*place(s))).alias(k) for k in KINDS])
+    spans = F.concat(*[F.transform(F.col("pii")[k], lambda s: F.struct(*place(s), s["text"].alias("text"))) for k in KINDS])
+    rows = written(read.select(*others, F.monotonically_increasing_id().alias(row), bare.alias("pii"), spans.alias(spans_), tokens_), "pii")
 
     # A candidate that meets a base span is the whole of it.
-    whole = F.get(F.filter("_spans", lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start"))), 0)["text"]
-    seen = rows.select("_row", "_spans", F.explode("_tokens").alias("t")).select("_row", "t.*", whole.alias("whole"))
-    seen = seen.select("_row", "start", "end", F.coalesce("whole", "instance").alias("instance"), F.col("whole").isNotNull().alias("seed"), "class", F.explode("patterns").alias("pattern"))
+    whole = F.get(F.filter("spans", lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start"))), 0)["text"]
+    seen = rows.select(F.col(row).alias("row"), F.col(spans_).alias("spans"), F.explode(tokens_).alias("t")).select("row", "t.*", whole.alias("whole"))
+    seen = seen.select("row", "start", "end", F.coalesce("whole", "instance").alias("instance"), F.col("whole").isNotNull().alias("seed"), "class", F.explode("patterns").alias("pattern"))
     weight = F.coalesce(*[F.when(F.col("class") == k, w) for k, w in UNSEEN.items()], F.lit(1.0))
     edges = cut(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.min(weight).alias("weight")))
     good = scored(edges, rounds, least_support, least_score)
-    found = seen.where("NOT seed").join(good, "pattern").groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("context"))
-    return rows.join(found, "_row", "left").select(*others, "pii", F.coalesce("context", F.array().cast("array<struct<start:int,end:int>>")).alias("context"))
+    found = seen.where("NOT seed").join(good, "pattern").groupBy(F.col("row").alias(row)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("context"))
+    return rows.join(found, row, "left").select(*others, "pii", F.coalesce("context", F.array().cast("array<struct<start:int,end:int>>")).alias("context"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,4 +158,5 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.concat(*[placed(F.col("pii")[k], i, k) for i, k in enumerate(KINDS)])
     counts = [F.size(F.col("pii")[k]).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.concat(base, placed(F.col("context"), len(KINDS), CONTEXT))).alias("spans"))
+    spans = joined(F.concat(base, placed(F.col("context"), len(KINDS), CONTEXT)))
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), spans.alias("spans"), F.size(base).cast("long").alias("n_base"), F.size("context").cast("long").alias("n_context"))

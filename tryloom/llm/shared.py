@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Only where it is unset (a local
-    session, as in tests) is a temporary folder made and set.
+    The setting is read from the session. Where it is unset, a local session
+    (as in tests) takes a temporary folder; on a cluster it is an error.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir")
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not named and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-shared-"))
     return context._jsc.sc().getCheckpointDir().get()
 
