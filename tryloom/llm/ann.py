@@ -12,8 +12,9 @@ vectors, and the ratio, or the number of lists, is raised until the lists that
 these queries read hold enough of their true neighbours.
 
 Equal vectors stand in a list once, by their smallest id, with as many ids as a
-result can hold. Lists that outgrow a bound are dealt into shards, which all
-answer. Nothing but the sample, the centroids and their graph, and the queries
+result can hold. A list that outgrows a bound is dealt into shards, and the
+queries of a list that many ask into parts; each list has its own numbers of
+them. Nothing but the sample, the centroids and their graph, and the queries
 that recall is measured on with their neighbours, all bounded by parameters, is
 held by the driver or broadcast.
 
@@ -37,12 +38,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tryloom.llm.chunks import column
-from tryloom.llm.shared import table, written
-
-#: Vectors that the centroids are fitted on, at most.
-SAMPLE = 20_000
-#: Vectors a list should hold, and those a shard of one may hold.
-LIST_SIZE, SHARD_SIZE = 200, 4096
+from tryloom.llm.shared import cut, table, written
+
+#: Vectors a list should hold, and lists at most (their centroids are held in memory).
+LIST_SIZE, MOST_LISTS = 200, 8192
+#: Vectors for each list that its centroid is fitted on, and vectors drawn at least.
+SAMPLE_A_LIST, LEAST_SAMPLE = 8, 20_000
+#: Vectors, and queries, of one list that a group may hold; larger lists are dealt into several groups.
+SHARD_SIZE, QUERIES_SIZE = 4096, 4096
+#: Distances that are held at once.
+CELLS = 4 << 20
 #: Lists that every query reads.
 LEAST_LISTS = 8
 #: Queries that recall is measured on, at most, and the recall that they must have.
@@ -126,11 +131,15 @@ def balanced(points: np.ndarray, lists: int, rounds: int = 6) -> np.ndarray:
         parts += [order[: len(order) // 2], order[len(order) // 2 :]]
     centres = np.stack([points[p].mean(axis=0) for p in parts])
     price = np.zeros(len(centres))
+    step = max(1, CELLS // len(centres))
     for _ in range(rounds):
-        reach = (centres**2).sum(axis=1) - 2 * points @ centres.T
-        owner = (reach + price).argmin(axis=1)
+        squares, owner, spreads = (centres**2).sum(axis=1), np.empty(len(points), np.int64), []
+        for begin in range(0, len(points), step):
+            reach = squares - 2 * points[begin : begin + step] @ centres.T
+            spreads.append(np.ptp(reach, axis=1))
+            owner[begin : begin + step] = (reach + price).argmin(axis=1)
         sizes = np.bincount(owner, minlength=len(centres))
-        spread = np.median(np.ptp(reach, axis=1)) if len(centres) > 1 else 0
+        spread = np.median(np.concatenate(spreads)) if len(centres) > 1 else 0
         price += 0.02 * spread * (sizes * len(centres) / len(points) - 1).clip(-1, 1)
         sums = np.zeros_like(centres)
         np.add.at(sums, owner, points)
@@ -153,19 +162,26 @@ def usable(vectors: DataFrame) -> DataFrame:
     return good.where(F.size("v") == (most["d"] if most else 0))
 
 
-def fit(reps: DataFrame, n: int, norm: float, sample: int = SAMPLE, list_size: int = LIST_SIZE, degree: int = 24) -> Centroids:
-    """Centroids from at most ``sample`` of ``n`` vectors, drawn by a hash of their ids."""
+def fit(reps: DataFrame, n: int, norm: float, list_size: int = LIST_SIZE, degree: int = 24) -> Centroids:
+    """Centroids from a sample of the ``n`` vectors, drawn by a hash of their ids.
+
+    Lists and the sample grow with ``n``, up to ``MOST_LISTS`` lists.
+    """
+    lists = max(1, min(n // list_size, MOST_LISTS))
+    sample = max(LEAST_SAMPLE, lists * SAMPLE_A_LIST)
     drawn = matrix(reps.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").toArrow().column("v"))
-    lists = max(1, min(n // list_size, sample // 8))
     found = Centroids(np.empty((0, 0)), np.empty((0, 0), int), norm)
     found.points = balanced(found.extended(drawn, False), lists)
     squares = (found.points**2).sum(axis=1)
-    reach = squares[:, None] + squares - 2 * found.points @ found.points.T
-    found.graph = np.argsort(reach, axis=1, kind="stable")[:, 1 : 1 + min(degree, len(squares) - 1)]
-    if not found.graph.shape[1]:
-        found.graph = np.zeros((len(squares), 1), int)
-    else:  # a ring, so that a search can reach every list
-        found.graph[:, -1] = np.roll(np.arange(len(squares)), -1)
+    many, near = len(squares), min(degree, len(squares) - 1)
+    found.graph = np.zeros((many, max(1, near)), int)
+    step = max(1, CELLS // many)
+    for begin in range(0, many, step) if near else ():
+        reach = squares - 2 * found.points[begin : begin + step] @ found.points.T
+        reach[np.arange(len(reach)), np.arange(begin, begin + len(reach))] = np.inf
+        found.graph[begin : begin + step] = np.argsort(reach, axis=1, kind="stable")[:, :near]
+    if near:  # a ring, so that a search can reach every list
+        found.graph[:, -1] = np.roll(np.arange(many), -1)
     return found
 
 
@@ -175,10 +191,12 @@ def routed(rows: DataFrame, centroids: Centroids, queries: bool, ratio: float, c
     At most the nearest ``copies`` of them, if that is given, and the nearest ``least`` in any case.
     """
 
+    step = min(BLOCK, max(1, CELLS // len(centroids.points)))
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(begin, BLOCK)
+            for begin in range(0, batch.num_rows, step):
+                part = batch.slice(begin, step)
                 row, at, reach = centroids.within(centroids.extended(matrix(column(part, "v")), queries), ratio, least)
                 order = np.lexsort((reach, row))
                 row, at = row[order], at[order]
@@ -219,7 +237,7 @@ def answers(lists: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             out.append(pd.DataFrame({"q": part["rep"].to_numpy()[row], "rep": reps[at], "score": scores[row, at]}))
         return pd.concat(out)
 
-    return lists.groupBy("list", "shard").cogroup(queries.groupBy("list", "shard")).applyInPandas(search, "q long, rep long, score double")
+    return lists.groupBy("list", "shard", "part").cogroup(queries.groupBy("list", "shard", "part")).applyInPandas(search, "q long, rep long, score double")
 
 
 def true_nearest(reps: DataFrame, probes: np.ndarray, points: np.ndarray, k: int) -> DataFrame:
@@ -288,10 +306,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, copies: int = 4
     centroids = fit(reps, whole["n"], math.sqrt(whole["most"]))
 
     posted = written(routed(reps, centroids, False, boundary, copies).drop("near"), "postings")
-    largest = posted.groupBy("list").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    shards = -(-largest // SHARD_SIZE)
-    dealt = posted.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
-
     asked = usable(queries).join(reps, "v").select(F.col("vec_id").alias("query_id"), "rep").distinct()
     wanted = reps.join(asked.select("rep").distinct(), "rep", "left_semi")
     probes = wanted.orderBy(F.xxhash64("rep"), "rep").limit(PROBES).toArrow()
@@ -302,7 +316,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, copies: int = 4
         if len(held):
             held["q"] = pd.Index(ids).get_indexer(held["q"])
             prune, least = reading(centroids, centroids.extended(points, True), held, prune)
-    sent = written(routed(wanted, centroids, True, prune, least=least), "routes").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    routes = written(routed(wanted, centroids, True, prune, least=least), "routes")
+    # Each list has its own number of shards of vectors and of parts of queries; every part meets every shard.
+    groups = lambda rows, most, name: rows.groupBy("list").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    cuts = F.broadcast(cut(groups(posted, SHARD_SIZE, "shards").join(groups(routes, QUERIES_SIZE, "parts"), "list")))  # a row a list
+    own = lambda name: F.pmod(F.xxhash64("rep"), F.col(name)).cast("int")
+    all_ = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    dealt = posted.join(cuts, "list").select("list", "rep", "v", own("shards").alias("shard"), all_("parts").alias("part"))
+    sent = routes.join(cuts, "list").select("list", "near", "rep", "v", own("parts").alias("part"), all_("shards").alias("shard"))
 
     # One more than k: the query's own id is among them.
     best = lambda df, by, *order: df.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_n") <= k + 1).drop("_n")
