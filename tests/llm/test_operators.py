@@ -251,5 +251,5 @@ def test_media(spark, docs):
         row = table[hashlib.sha256(data).digest()]
         assert media.samples(bytes(row["media"])).tobytes() == data.ljust(max(1, -(-len(data) // 64)) * 64, b"\0")
     rows = spark.createDataFrame([(7, f"<p>a</p><img src='sha256:{hashlib.sha256(b'x').hexdigest()}' alt=c><img src='sha256:{'0' * 64}'>")], "page_id long, html string")
-    joined = media.aligned(media.resolved(media.sequences(rows, ["page_id"]), media.media(docs, with_media=False), "page_id"), "page_id").first()["elements"]
+    joined = media.aligned(media.resolved(media.elements(media.sequences(rows, ["page_id"]), "page_id"), media.media(docs, with_media=False), "page_id"), "page_id").first()["elements"]
     assert [(e["position"], e["kind"], e["caption"], e["n_bytes"]) for e in joined] == [(0, "text", None, None), (1, "image", "c", 1), (2, "image", None, None)]

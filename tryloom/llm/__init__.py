@@ -23,6 +23,7 @@ _MODULES = {
     "op8_pii": "pii",
     "op9_chat_format": "chat_format",
     "op10_token_counts": "token_counts",
+    "page_sequences": "media",
 }
 
 

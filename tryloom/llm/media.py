@@ -2,9 +2,10 @@
 
 HTML is parsed into an ordered array of structs, each a text or a reference to
 a medium with its caption. References carry the digest of a payload; a join on
-digests resolves them against a media table that holds each payload once. Only
-references and digests are shuffled, never the sequences' texts; positions come
-back in order, and captions stay with their references.
+digests resolves them against a media table that holds each payload once.
+Positions come back in order, and captions stay with their references: a
+figure's caption belongs to the medium just before it, else to the figure's
+next one, and one that no medium takes is text.
 
 Payloads are stored losslessly as binary PGM images: rows of 64 samples of 8
 bits. Features are computed from samples that were read back from the stored
@@ -30,10 +31,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tryloom.llm.chunks import bounded, column
-from tryloom.llm.shared import table
+from tryloom.llm.shared import table, written
 
 #: Samples in a row of a stored image.
 WIDTH = 64
+#: References to one payload that a group may hold, if they are not over this share of all; so at most so many payloads are dealt to several groups.
+GROUP_ROWS, HOT_SHARE = 1000, 10_000
 #: The scheme of references by digest.
 SCHEME = "sha256:"
 
@@ -54,12 +57,48 @@ class _Sequence(HTMLParser):
         self.held: list[str] = []
         self.silent = 0
         self.caption: list[str] | None = None
+        self.waiting: str | None = None
+
+    def add(self, kind: str, **fields) -> None:
+        self.out.append({"position": len(self.out), "kind": kind, "text": None, "ref": None, "caption": None} | fields)
 
     def flush(self) -> None:
-        text = " ".join("".join(self.held).split())
-        self.held = []
+        text, self.held = " ".join("".join(self.held).split()), []
         if text:
-            self.out.append({"position": len(self.out), "kind": "text", "text": text, "ref": None, "caption": None})
+            self.add("text", text=text)
+
+    def close_caption(self) -> None:
+        """An open caption goes with the medium just before it, else with the figure's next one."""
+        if self.caption is None:
+            return
+        text, self.caption = " ".join("".join(self.caption).split()), None
+        if not text:
+            return
+        if self.out and self.out[-1]["ref"] is not None:
+            self.out[-1]["caption"] = text
+        else:
+            self.drop_waiting()
+            self.waiting = text
+
+    def drop_waiting(self) -> None:
+        """A caption that no medium took is text."""
+        if self.waiting:
+            self.held.append(self.waiting)
+            self.waiting = None
+            self.flush()
+
+    def finish(self) -> None:
+        self.close_caption()
+        self.flush()
+        self.drop_waiting()
+
+    def block(self, tag: str) -> None:
+        if self.caption is not None and not "".join(self.caption).strip():
+            return  # a block that opens within an empty caption belongs to it
+        self.close_caption()
+        self.flush()
+        if tag == "figure":
+            self.drop_waiting()
 
     def handle_starttag(self, tag, attrs):
         if tag in self.SILENT:
@@ -67,13 +106,16 @@ class _Sequence(HTMLParser):
         elif tag in self.MEDIA:
             found = dict(attrs)
             if found.get("src"):
+                self.close_caption()
                 self.flush()
-                self.out.append({"position": len(self.out), "kind": self.MEDIA[tag], "text": None, "ref": found["src"], "caption": found.get("alt") or found.get("title")})
+                self.add(self.MEDIA[tag], ref=found["src"], caption=self.waiting or found.get("alt") or found.get("title"))
+                self.waiting = None
         elif tag == "figcaption":
+            self.close_caption()
             self.flush()
             self.caption = []
         elif tag in self.BLOCKS:
-            self.flush()
+            self.block(tag)
 
     def handle_startendtag(self, tag, attrs):
         if tag not in self.SILENT:
@@ -82,16 +124,10 @@ class _Sequence(HTMLParser):
     def handle_endtag(self, tag):
         if tag in self.SILENT:
             self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text, self.caption = " ".join("".join(self.caption).split()), None
-            # a figure's caption goes with the medium just before it
-            if self.out and self.out[-1]["ref"] is not None:
-                self.out[-1]["caption"] = text
-            elif text:
-                self.held.append(text)
-                self.flush()
-        elif tag in self.BLOCKS:
-            self.flush()
+        elif tag == "figcaption":
+            self.close_caption()
+        elif tag in self.BLOCKS and (self.caption is None or tag == "figure"):
+            self.block(tag)
 
     def handle_data(self, data):
         if self.silent:
@@ -103,7 +139,7 @@ def sequence(html: str | None) -> list[dict]:
     parser = _Sequence()
     parser.feed(html or "")
     parser.close()
-    parser.flush()
+    parser.finish()
     return parser.out
 
 
@@ -177,11 +213,26 @@ def digest(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
-def resolved(found: DataFrame, payloads: DataFrame, key: str) -> DataFrame:
-    """One row for each element of ``found`` (``key``, ``elements``), with the columns of the medium it refers to."""
+def elements(found: DataFrame, key: str) -> DataFrame:
+    """One row for each element of ``found`` (``key``, ``elements``), with the ``digest`` that it refers to."""
     rows = found.select(key, F.explode_outer("elements").alias("e")).select(key, "e.*")
-    referred = F.when(F.startswith("ref", F.lit(SCHEME)), F.unhex(F.substring("ref", len(SCHEME) + 1, 64)))
-    return rows.withColumn("digest", referred).join(payloads, "digest", "left")
+    return rows.withColumn("digest", F.when(F.startswith("ref", F.lit(SCHEME)), F.unhex(F.substring("ref", len(SCHEME) + 1, 64))))
+
+
+def resolved(rows: DataFrame, payloads: DataFrame, key: str) -> DataFrame:
+    """``rows`` (as ``elements`` gives them, read twice) with the columns of the media that they refer to.
+
+    References to one payload are dealt to as many groups as their count asks
+    for; ``HOT_SHARE`` bounds the payloads of which that is so. Rows without a
+    reference are spread by their key.
+    """
+    referred = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.count("*").alias("_n"))
+    most = referred.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"] // HOT_SHARE
+    hot = F.broadcast(referred.where(F.col("_n") > max(most, GROUP_ROWS)).select("digest", F.ceil(F.col("_n") / max(most, GROUP_ROWS)).cast("int").alias("_groups")))
+    spread = F.pmod(F.xxhash64(key, "position"), F.when(F.col("digest").isNull(), 1 << 20).otherwise(F.coalesce("_groups", F.lit(1)))).cast("int")
+    left = rows.join(hot, "digest", "left").withColumn("_group", spread).drop("_groups")
+    right = payloads.join(hot, "digest", "left").withColumn("_group", F.explode(F.sequence(F.lit(0), F.coalesce("_groups", F.lit(1)) - 1))).drop("_groups")
+    return left.join(right, ["digest", "_group"], "left").drop("_group")
 
 
 def aligned(rows: DataFrame, key: str) -> DataFrame:
@@ -190,10 +241,37 @@ def aligned(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("position").isNotNull(), element)), lambda a, b: a["position"] - b["position"]).alias("elements"))
 
 
+def page_of(text: Column, name: Column) -> Column:
+    """A page of a text in two paragraphs, with the text's payload as a figure between them and once more behind."""
+    quoted = lambda t: F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    reference = F.concat(F.lit("<img src='"), F.lit(SCHEME), F.lower(F.hex(digest(text))), F.lit("'>"))
+    text, half = F.coalesce(text, F.lit("")), (F.length(F.coalesce(text, F.lit(""))) / 2).cast("int")
+    figure = F.concat(F.lit("<figure>"), reference, F.lit("<figcaption>"), name, F.lit("</figcaption></figure>"))
+    return F.concat(F.lit("<p>"), quoted(F.substring(text, F.lit(1), half)), F.lit("</p>"), figure, F.lit("<p>"), quoted(F.substring(text, half + 1, F.length(text))), F.lit("</p>"), reference)
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text of ``documents`` as the one medium of a page that refers to it."""
-    docs = table(spark, sf_dir, "documents")
+    """Every text of ``documents`` as a page that shows it as a medium between its own paragraphs.
+
+    The media columns are those of the captioned element of the aligned
+    sequence. ``position`` is its place, ``n_elements`` the sequence's length
+    and ``text_chars`` the characters of its texts.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     name = F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    page = F.concat(F.lit("<figure><img src='"), F.lit(SCHEME), F.lower(F.hex(digest(F.col("text")))), F.lit("'><figcaption>"), name, F.lit("</figcaption></figure>"))
-    found = resolved(sequences(docs.select("doc_id", page.alias("html")), ["doc_id"]), media(docs, with_media=False), "doc_id")
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "caption")
+    pages = docs.select(F.struct("row", "doc_id").alias("at"), page_of(F.col("text"), name).alias("html"))
+    # Texts stay where they are; what travels of a text element is its size.
+    rows = written(elements(sequences(pages, ["at"]), "at").select("at", "position", "kind", "caption", "digest", F.length("text").alias("chars")), "elements")
+    whole = aligned(resolved(rows, media(docs, with_media=False), "at"), "at")
+    one = F.get(F.filter("elements", lambda e: e["caption"].isNotNull()), F.lit(0))
+    sums = F.aggregate("elements", F.lit(0).cast("long"), lambda n, e: n + F.coalesce(e["chars"], F.lit(0)))
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "caption", "position"]
+    return whole.withColumn("one", one).select("at.doc_id", *[F.col("one")[n].alias(n) for n in names], F.size("elements").alias("n_elements"), sums.alias("text_chars"))
+
+
+def page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page of ``pages``: how many texts and media its sequence has, how many of these are captioned, and a digest of the whole in order."""
+    found = sequences(table(spark, sf_dir, "pages"), ["page_id"])
+    of = lambda c, good: F.size(F.filter("elements", lambda e: good(e[c])))
+    whole = F.transform("elements", lambda e: F.concat_ws("\x1f", e["position"].cast("string"), e["kind"], F.coalesce(e["text"], e["ref"]), F.coalesce(e["caption"], F.lit(""))))
+    return found.select("page_id", of("text", lambda x: x.isNotNull()).alias("n_texts"), of("ref", lambda x: x.isNotNull()).alias("n_media"), of("caption", lambda x: x.isNotNull()).alias("n_captions"), F.sha2(F.array_join(whole, "\x1e"), 256).alias("sequence_sha256"))
