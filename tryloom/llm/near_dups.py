@@ -197,7 +197,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     node = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "keys")).alias("s")).select("digest", F.col("s.doc_id").alias("node"), F.col("s.keys").alias("keys"))
     classes = written(node, "classes")
 
-    keyed = table_keys(classes)
+    # A class makes many keys, so classes are dealt to as many tasks as the documents take, not to the few that their own size asks for.
+    tasks = max(docs.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = table_keys(classes.repartition(tasks, "node"))
     # Most keys are one class's alone; only the others travel with more than the key.
     common = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = written(keyed.join(common, "key", "left_semi"), "members")
