@@ -2,6 +2,12 @@
 
 Each stage takes what its predecessor kept, written as Parquet and read again.
 All but the last return the columns of ``documents``.
+
+Cases: null texts and texts without a letter are rejected by the first stage; a
+document without an id stays, is compared with none and packed like others;
+repeated rows of an id become one; texts are taken whole at any length; an
+empty table gives no pieces; other columns are carried along whatever their
+names.
 """
 
 from __future__ import annotations
@@ -11,18 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tryloom.llm import language_id, near_dups, packing, secrets
-from tryloom.llm.shared import table, written
+from tryloom.llm.shared import fresh, table, written
 from tryloom.llm.textspans import replaced
 
-#: A text stays if this share of its letters is in one language.
-LEAST_SHARE = 0.5
-
-
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts of no language (no text, or no letter) and hopeless mixtures."""
+    """Rejects texts of no language: null, empty or without a letter. Mixtures of languages stay."""
     model = language_id.fit(docs.where(~language_id.is_held_out()))
-    found = language_id.language_id(docs, model, docs.columns, with_spans=False)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    into = tuple(fresh(docs, name) for name in ("lang_pred", "score", "lang_spans"))
+    found = language_id.language_id(docs, model, docs.columns, with_spans=False, into=into)
+    return found.where(F.col(into[0]) != "und").select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +35,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces each secret by its kind in brackets and corrects the length."""
-    found = secrets.secret_spans(docs).withColumn("text", replaced(F.col("text"), secrets.all_spans()))
+    into = fresh(docs, "secrets")
+    found = secrets.secret_spans(docs, into=into).withColumn("text", replaced(F.col("text"), secrets.all_spans(column=into)))
     length = F.length("text").cast(docs.schema["n_chars"].dataType)
     return found.withColumn("n_chars", length).select(*docs.columns)
 

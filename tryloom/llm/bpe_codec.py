@@ -29,6 +29,7 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tryloom.llm.chunks import Group, Ragged, grouped, spaced_chunks, white_then_blank
 from tryloom.llm.shared import table
@@ -291,12 +292,12 @@ def codec(vocabulary: str, pattern: str) -> Codec:
 def byte_pair_codec(docs: DataFrame, vocabulary: str, pattern: str, keep: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """``keep``, ``n_tokens``, digests of ids and decoded bytes and, if asked, ``ids`` and ``decoded``."""
     kind = docs.schema[keep].dataType.simpleString()
-    columns = [keep, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
-    schema = f"{keep} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
+    columns = ["_key", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
+    schema = f"_key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(vocabulary, pattern)
-        for group in grouped(batches, [keep]):
+        for group in grouped(batches, ["_key"]):
             out: list[list] = [[] for _ in columns[1:]]
             for ids, text in tool.texts(group):
                 row = [len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()]
@@ -305,7 +306,7 @@ def byte_pair_codec(docs: DataFrame, vocabulary: str, pattern: str, keep: str =
             yield pa.RecordBatch.from_arrays([group.kept[0], *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names=columns)
 
     types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()][: len(columns) - 1]
-    return docs.select(keep, "text").mapInArrow(encode, schema)
+    return docs.select(F.col(f"`{keep}`").alias("_key"), "text").mapInArrow(encode, schema).withColumnRenamed("_key", keep)
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

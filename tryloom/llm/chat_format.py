@@ -100,15 +100,24 @@ def read_back(conversations: DataFrame) -> DataFrame:
 
 
 def as_events(rows: DataFrame) -> DataFrame:
-    """Finished messages as the event log that streaming them would have left.
+    """Finished messages as an event log that streaming them could have left.
 
-    Each row opens a message and streams its text in two deltas.
+    Each row opens a message and streams its text in two deltas. By a hash of
+    conversation and turn, one in three first streams a draft that is then
+    regenerated, and one in three a draft that an edit replaces by the first half.
     """
     text = F.coalesce("text", F.lit(""))
     half = (F.length(text) / 2).cast("int")
-    event = lambda seq, kind, part: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("event"), part.alias("text"))
-    log = F.array(event(0, "start", F.lit("")), event(1, "delta", F.substring(text, F.lit(1), half)), event(2, "delta", F.substring(text, half + 1, F.length(text))))
-    named = rows.select("conv_id", F.monotonically_increasing_id().alias("message"), "turn", "role", log.alias("log"))
+    first, second, draft = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text)), F.concat(F.reverse(text), F.lit(CLOSE))
+    event = lambda kind, part: F.struct(F.lit(kind).alias("event"), part.alias("text"))
+    way = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
+    opened = F.array(event("start", F.lit("")))
+    regenerated = F.array(event("delta", draft), event("regenerate", F.lit("")), event("delta", first), event("delta", second))
+    edited = F.array(event("delta", draft), event("edit", first), event("delta", second))
+    plain = F.array(event("delta", first), event("delta", second))
+    log = F.concat(opened, F.when(way == 1, regenerated).when(way == 2, edited).otherwise(plain))
+    numbered = F.transform(log, lambda e, i: F.struct(i.alias("seq"), e["event"].alias("event"), e["text"].alias("text")))
+    named = rows.select("conv_id", F.monotonically_increasing_id().alias("message"), "turn", "role", numbered.alias("log"))
     return named.select("conv_id", "message", "turn", "role", F.inline("log"))
 
 

@@ -236,9 +236,9 @@ def spans(path: np.ndarray, languages: list[str]) -> list[dict]:
     return [{"lang": languages[path[b]], "first_word": b, "n_words": e - b} for b, e in zip(begins, [*begins[1:], len(path)], strict=True)]
 
 
-def language_id(docs: DataFrame, model: Model, keep: list[str], penalty: float = 10.0, with_spans: bool = True) -> DataFrame:
-    """``keep``, ``lang_pred``, ``score`` (its share of the letters) and, if asked, ``lang_spans``."""
-    names = [*keep, "lang_pred", "score"] + ["lang_spans"] * with_spans
+def language_id(docs: DataFrame, model: Model, keep: list[str], penalty: float = 10.0, with_spans: bool = True, into: tuple[str, str, str] = ("lang_pred", "score", "lang_spans")) -> DataFrame:
+    """``keep`` and, named by ``into``, the language, its share of the letters and, if asked, the spans."""
+    names = [*keep, *into[: 2 + with_spans]]
     kind = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())]))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,10 +254,10 @@ def language_id(docs: DataFrame, model: Model, keep: list[str], penalty: float =
                     paths += [spans(path[b:e], model.languages) if t else [] for b, e, t in zip(offsets[:-1].tolist(), offsets[1:].tolist(), total.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*group.kept, pa.array(predicted, pa.string()), pa.array(shares, pa.float64())] + [pa.array(paths, kind)] * with_spans, names=names)
 
-    fields = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep]
-    schema = ", ".join([*fields, "lang_pred string, score double"] + ["lang_spans array<struct<lang:string,first_word:long,n_words:long>>"] * with_spans)
-    columns = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
-    return columns.mapInArrow(predict, schema)
+    kinds = ["string", "double", "array<struct<lang:string,first_word:long,n_words:long>>"]
+    fields = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep] + [f"`{n}` {t}" for n, t in zip(names[len(keep) :], kinds, strict=False)]
+    columns = [F.col(f"`{k}`") for k in (keep if "text" in keep else [*keep, "text"])]
+    return docs.select(*columns).mapInArrow(predict, ", ".join(fields))
 
 
 def is_held_out() -> F.Column:
