@@ -70,3 +70,13 @@ def root_sessions(text: Column) -> Column:
     pattern = r'(?m)^\s*session\s+(?:"([^"]+)"|([A-Za-z0-9_\-]+))'
     quoted, plain = (F.regexp_extract_all(bare, F.lit(pattern), F.lit(i)) for i in (1, 2))
     return F.filter(F.zip_with(quoted, plain, lambda q, p: F.when(q != "", q).otherwise(p)), lambda n: n != "")
+
+
+def root_parents(text: Column) -> Column:
+    """``child`` and ``parent`` of the stanzas of a ROOT text that extend another session; sessions without a parent are left out."""
+    bare = F.regexp_replace(text, r"(?s)\(\*.*?\*\)", " ")
+    name = r'(?:"([^"]+)"|([A-Za-z0-9_\-]+))'
+    pattern = rf'(?m)^\s*session\s+{name}\s*(?:\([^)]*\))?\s*(?:in\s+(?:"[^"]*"|\S+))?\s*=\s*{name}\s*\+'
+    found = [F.regexp_extract_all(bare, F.lit(pattern), F.lit(i)) for i in (1, 2, 3, 4)]
+    either = lambda a, b: F.zip_with(a, b, lambda q, p: F.when(q != "", q).otherwise(p))
+    return F.zip_with(either(found[0], found[1]), either(found[2], found[3]), lambda c, p: F.struct(c.alias("child"), p.alias("parent")))

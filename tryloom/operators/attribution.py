@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tryloom.functions.argv import load_dirs, targets
+from tryloom.functions.argv import build_options, load_dirs, targets
 from tryloom.functions.scalars import root_sessions
 from tryloom.operators.diffs import KEY, file_verdicts, files, lines, parent, theory_moves
 from tryloom.operators.episodes import EPISODE
@@ -61,7 +61,7 @@ def move_aliases(moves: DataFrame) -> DataFrame:
     part = both.select(F.col("a").alias("dir")).distinct().withColumn("part", F.col("dir"))
     while True:
         near = both.join(part.withColumnRenamed("dir", "b"), "b").groupBy(F.col("a").alias("dir")).agg(F.min("part").alias("least"))
-        moved = part.join(near, "dir").select("dir", F.least("part", "least").alias("part"), (F.col("least") < F.col("part")).alias("new")).persist()
+        moved = settled(part.join(near, "dir").select("dir", F.least("part", "least").alias("part"), (F.col("least") < F.col("part")).alias("new")))
         changed = moved.where("new").limit(1).count()
         part = moved.drop("new")
         if not changed:
@@ -235,3 +235,17 @@ def residue(attempts: DataFrame, projects: DataFrame, usage: DataFrame) -> DataF
     named = attempts.join(left, EPISODE, "left_semi").select(F.explode(targets(F.col("command"))).alias("target"))
     bites = named.join(usage.where("verdict = 'not derived'"), "target", "left_semi").agg(F.countDistinct("target").alias("unmapped"))
     return counts.join(F.broadcast(bites), how="cross").withColumn("status", F.when(F.col("unmapped") > 0, "failing").otherwise("ok"))  # one row with one row
+
+
+def children_without_heap(attempts: DataFrame, parents: DataFrame) -> DataFrame:
+    """``session`` (the first that a command names) and ``children``: sessions that extend it and find no heap stored.
+
+    ``parents`` has ``child`` and ``parent``. None are listed where the command stores all heaps, or also
+    builds any child, which stores the heap in passing. Commands without a session have no row.
+    """
+    below = parents.where("child <> parent").groupBy(F.col("parent").alias("session")).agg(F.array_sort(F.collect_set("child")).alias("_below"))
+    read = attempts.select(*KEY, build_options(F.col("command")).alias("o")).where(F.size("o.sessions") > 0)
+    rows = read.select(*KEY, F.col("o.sessions")[0].alias("session"), F.slice("o.sessions", 2, F.greatest(F.size("o.sessions") - 1, F.lit(0))).alias("_also"), F.array_contains("o.flags", "b").alias("_all")).join(below, "session", "left")
+    none = F.array().cast("array<string>")
+    listed = F.when(F.col("_all") | F.arrays_overlap("_also", F.coalesce("_below", none)), none).otherwise(F.coalesce("_below", none))
+    return rows.select(*KEY, "session", listed.alias("children"))

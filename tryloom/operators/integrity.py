@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tryloom.operators.diffs import KEY, files, hunks, normalised, short_hunks
 from tryloom.operators.episodes import base_trees
-from tryloom.operators.ordered import with_previous
+from tryloom.operators.ordered import with_last, with_previous
 
 #: Verdict -> group (fixed values).
 GROUPS = {
@@ -135,9 +135,8 @@ def backfilled(legacy: DataFrame, chain: DataFrame, trees: DataFrame, tree_diffs
     The base is the last matched tree before unless the head moved since then; unmatched records keep a null diff.
     """
     rows = legacy.drop("tree", "diff").join(chain, "build_id", "left")
-    w = Window.partitionBy("corpus_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     matched = F.when(F.col("tree").isNotNull(), F.struct("tree", "git_head"))
-    rows = rows.withColumn("_last", F.last(matched, ignorenulls=True).over(w)).join(trees, "git_head", "left")
+    rows = with_last(rows, matched, "_last").join(trees, "git_head", "left")
     moved = F.col("_last").isNull() | ~F.col("_last.git_head").eqNullSafe(F.col("git_head"))
     based = rows.withColumn("base", F.when(F.col("tree").isNotNull(), F.when(moved, F.col("head_tree")).otherwise(F.col("_last.tree"))))
     return based.join(tree_diffs, ["base", "tree"], "left").withColumn("backfilled", F.col("diff").isNotNull()).drop("_last")

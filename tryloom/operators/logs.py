@@ -186,6 +186,21 @@ def timeout_class(reason: Column) -> Column:
     return F.when(reason == "loop_progress", "LOOP").when(reason == "wall", "TIMEOUT").when(reason == "activity", "STUCK")
 
 
+def timeout_text(reason: Column, key: Column, count: Column, wall: Column, idle: Column, progress: Column, notes: Column) -> Column:
+    """What is said of a kill. ``key`` has the last place warned of (``loop_theory`` and so on), ``progress`` a theory and its ``pct``; either may be null.
+
+    Only a completed loop is called one; the other kills say where the last warning was.
+    """
+    last = lambda comma: F.concat(F.lit(' (last: "'), key["loop_command"], F.lit('" at '), key["loop_theory"], F.lit(" line "), key["loop_line"], F.lit(comma), key["loop_elapsed"], F.lit("s)"))
+    tail = F.when(F.size(notes) > 0, F.concat(F.lit("  ("), F.array_join(notes, "; "), F.lit(")"))).otherwise("")
+    known = key["loop_theory"].isNotNull()
+    loop = F.concat(key["loop_theory"], F.lit(': "'), key["loop_command"], F.lit('" looping on line '), key["loop_line"], F.lit(" ("), count.cast("string"), F.lit("x same line, last "), key["loop_elapsed"], F.lit("s elapsed)"))
+    stuck = F.concat(F.coalesce(F.concat(progress["theory"], F.lit(" "), progress["pct"].cast("string"), F.lit("%  ")), F.lit("")), F.lit("no output for "), idle.cast("string"), F.lit("s"), F.when(known, last(", ")).otherwise(""))
+    timeout = F.concat(wall.cast("string"), F.lit("s wall clock exceeded"), F.when(known, last(", ")).otherwise(""))
+    text = F.when((reason == "loop_progress") & known, loop).when(reason == "wall", timeout).when(reason == "activity", stuck)
+    return F.concat(timeout_class(reason), F.lit("  "), text, tail)
+
+
 def assembled(found: DataFrame, outcomes: DataFrame, **budgets: float) -> DataFrame:
     """One record a build: outcome from its exit code (``build_id``, ``exit_code``) and the budget it broke."""
     killed = kills(found, **budgets)

@@ -52,3 +52,13 @@ def with_previous(df: DataFrame, columns: list[str], out: str = "prev", key: str
     edges = last.withColumn("_edge", F.lag("_last").over(Window.partitionBy(key).orderBy("_block"))).drop("_last")
     inside = F.lag(row).over(Window.partitionBy(key, "_block").orderBy("seq"))
     return rows.withColumn("_inside", inside).join(edges, [key, "_block"]).withColumn(out, F.coalesce("_inside", "_edge")).drop("_inside", "_edge", "_block")
+
+
+def with_last(df: DataFrame, value: Column, out: str, key: str = "corpus_id") -> DataFrame:
+    """``out``: the last ``value`` that is not null among the rows before, null where there is none."""
+    rows = _blocks(df.withColumn("_value", value))
+    last = rows.groupBy(key, "_block").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("seq"))).alias("_v"))
+    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    edges = last.withColumn("_edge", F.last("_v", ignorenulls=True).over(earlier)).drop("_v")
+    inside = F.last("_value", ignorenulls=True).over(Window.partitionBy(key, "_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("_inside", inside).join(edges, [key, "_block"]).withColumn(out, F.coalesce("_inside", "_edge")).drop("_inside", "_edge", "_block", "_value")

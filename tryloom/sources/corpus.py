@@ -58,11 +58,20 @@ def write_histogram(hist: DataFrame, path: str, kind: str = "csv") -> None:
     (ordered.write.option("header", True).csv if kind == "csv" else ordered.write.json)(path)
 
 
-def build_log(spark: SparkSession, path: str) -> DataFrame:
-    """Log files as ``build_id`` (the file's name), ``line_no`` and ``text`` without escape codes; a last line without its feed counts."""
+def build_log(spark: SparkSession, path: str, large: bool = False) -> DataFrame:
+    """Log files as ``build_id`` (the file's name), ``line_no`` and ``text`` without escape codes; a last line without its feed counts.
+
+    A log is read whole. ``large`` reads lines in parallel instead and numbers
+    them by the file's blocks, so that no row holds a log.
+    """
     from tryloom.operators.logs import stripped
 
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]*?)(?:\.[^./]*)?$", 1).alias("build_id"), F.regexp_replace("value", r"\n\z", "").alias("value"))
+    name = F.regexp_extract(F.input_file_name(), r"([^/]*?)(?:\.[^./]*)?$", 1).alias("build_id")
+    if large:
+        rows = spark.read.text(path).select(name, "value", F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"))
+        numbered = number_rows(rows, ["build_id"], F.col("_at"), ["_id"], "line_no")
+        return numbered.select("build_id", "line_no", stripped(F.regexp_replace("value", r"\r\z", "")).alias("text"))
+    whole = spark.read.text(path, wholetext=True).select(name, F.regexp_replace("value", r"\n\z", "").alias("value"))
     return whole.select("build_id", F.posexplode(F.split("value", "\r?\n", -1)).alias("line_no", "text")).select("build_id", F.col("line_no").cast("long"), stripped(F.col("text")).alias("text"))
 
 

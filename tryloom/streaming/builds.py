@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -22,12 +22,14 @@ _STATE = "start double, last double, last_line long, phase boolean, key string,
 class BuildWatch(StatefulProcessor):
     """Emits the first budget that a build breaks: at a line that completes a loop, or at a timer."""
 
-    def __init__(self, activity: float = ACTIVITY_S, wall: float = WALL_S, threshold: int = LOOPS, load: float = 1.0):
-        self.activity, self.wall, self.threshold, self.load = activity, wall, threshold, load
+    def __init__(self, activity: float = ACTIVITY_S, wall: float = WALL_S, threshold: int = LOOPS, load: float = 1.0, keep_s: float = 3600.0):
+        self.activity, self.wall, self.threshold, self.load, self.keep_s = activity, wall, threshold, load, keep_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("build", _STATE)
+        # a build that is over: what is left of it, until lines for it can only be late
+        self.over = handle.getValueState("over", "until double")
 
     def _row(self, key, reason: str, at: float, start: float) -> pd.DataFrame:
         return pd.DataFrame({"build_id": [str(key[0])], "reason": [reason], "at_s": [at - start]})
@@ -41,6 +43,8 @@ class BuildWatch(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         lines = pd.concat(list(rows)).sort_values("line_no")
+        if self.over.exists():
+            return
         if self.state.exists():
             s = dict(zip(("start", "last", "last_line", "phase", "key", "run", "done"), self.state.get(), strict=True))
         else:
@@ -65,20 +69,32 @@ class BuildWatch(StatefulProcessor):
                 yield self._row(key, "loop_progress", at, s["start"])
                 s["done"] = True
             s["last"], s["phase"] = at, s["phase"] or bool(line.is_phase)
-        self.state.update(tuple(s.values()))
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
-        if not s["done"]:
+        if s["done"]:
+            self._finish(float(lines["at"].max()))
+        else:
+            self.state.update(tuple(s.values()))
             idle = s["last"] + (self.activity + (0 if s["phase"] else STARTUP_EXTRA_S)) * self.load
             self.handle.registerTimer(int(min(idle, s["start"] + self.wall * self.load) * 1000) + 1)
 
+    def _finish(self, at: float) -> None:
+        """Drops a build's state; a mark stays for ``keep_s`` of event time, so that its further lines open no new one."""
+        self.state.clear()
+        self.over.update((at + self.keep_s,))
+        self.handle.registerTimer(int((at + self.keep_s) * 1000))
+
     def handleExpiredTimer(self, key, timer, expired) -> Iterator[pd.DataFrame]:
+        if self.over.exists():
+            self.over.clear()
+            return
+        if not self.state.exists():
+            return
         s = dict(zip(("start", "last", "last_line", "phase", "key", "run", "done"), self.state.get(), strict=True))
         due = self._due(s, expired.getExpiryTimeInMs() / 1000)
         if due and not s["done"]:
             yield self._row(key, due[0], due[1], s["start"])
-            s["done"] = True
-            self.state.update(tuple(s.values()))
+            self._finish(expired.getExpiryTimeInMs() / 1000)
 
     def close(self) -> None:
         pass
@@ -116,16 +132,53 @@ def late_lines(lines: DataFrame, watermark_s: int = 60) -> DataFrame:
     return lines.withColumn("_seen", seen).where(F.unix_seconds("_seen") - F.unix_seconds("ts") > watermark_s).groupBy("build_id").agg(F.count("*").alias("late"))
 
 
-def rolling(attempts: DataFrame, table: str, checkpoint: str):
-    """Keeps a table of the closed episodes of a growing corpus: every batch appends those it closes.
+class TreeCpu(StatefulProcessor):
+    """CPU of a build's whole process tree so far, at each sample: of each process the most that it has shown."""
 
-    ``attempts`` is a stream with ``corpus_id``, ``episode_no``, ``seq`` and ``outcome``. An episode is written when
-    its closing success arrives; open ones wait in state. Returns the running query.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.most = handle.getMapState("most", "pid long", "cpu_s double")
+        self.total = handle.getValueState("total", "cpu_s double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        samples = pd.concat(list(rows)).sort_values(["ts", "pid"])
+        total = self.total.get()[0] if self.total.exists() else 0.0
+        out = []
+        for at, group in samples.groupby("ts", sort=True):
+            for pid, cpu in zip(group["pid"].tolist(), group["cpu_s"].tolist(), strict=True):
+                known = self.most.getValue((pid,))[0] if self.most.containsKey((pid,)) else 0.0
+                if cpu > known:
+                    total += cpu - known
+                    self.most.updateValue((pid,), (cpu,))
+            out.append((str(key[0]), at, total))
+        self.total.update((total,))
+        yield pd.DataFrame(out, columns=["build_id", "ts", "cpu_s"])
+
+    def close(self) -> None:
+        pass
+
+
+def tree_cpu(samples: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+    """``build_id``, ``ts`` and ``cpu_s`` (of the tree) from a stream of samples of processes (``build_id``, ``pid``, ``ts``, ``cpu_s``), for ``cpu_windows``."""
+    rows = samples.withWatermark("ts", watermark).select("build_id", F.col("pid").cast("long").alias("pid"), "ts", F.col("cpu_s").cast("double").alias("cpu_s"))
+    return rows.groupBy("build_id").transformWithStateInPandas(TreeCpu(), "build_id string, ts timestamp, cpu_s double", "append", "eventTime")
+
+
+def rolling(attempts: DataFrame, path: str, checkpoint: str):
+    """Keeps the episodes of a growing corpus, closed and open, as a Parquet folder; ``rolled`` reads it.
+
+    ``attempts`` is a stream with ``corpus_id``, ``episode_no``, ``seq`` and ``outcome``. A batch writes what it adds to
+    each of its episodes, in a folder of its own number, so one that is run again replaces its own rows and nothing
+    is written twice. Returns the running query.
     """
-    closed = attempts.where("outcome = 'ok'").select("corpus_id", "episode_no", F.col("seq").alias("last_seq"))
 
-    def append(batch: DataFrame, _: int) -> None:
-        old = batch.sparkSession.table(table)
-        batch.dropDuplicates(["corpus_id", "episode_no"]).join(old, ["corpus_id", "episode_no"], "left_anti").write.mode("append").saveAsTable(table)
+    def add(batch: DataFrame, number: int) -> None:
+        own = batch.groupBy("corpus_id", "episode_no").agg(F.max("seq").alias("last_seq"), F.count("*").alias("n"), F.bool_or(F.col("outcome") == "ok").alias("closed"))
+        own.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return attempts.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).start()
+
 
-    return closed.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).start()
+def rolled(spark: SparkSession, path: str) -> DataFrame:
+    """One row an episode of what ``rolling`` has written so far: ``last_seq``, ``n`` attempts and whether it is ``closed``."""
+    rows = spark.read.parquet(path)
+    return rows.groupBy("corpus_id", "episode_no").agg(F.max("last_seq").alias("last_seq"), F.sum("n").alias("n"), F.bool_or("closed").alias("closed"))
