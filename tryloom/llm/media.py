@@ -58,6 +58,7 @@ class _Sequence(HTMLParser):
         self.silent = 0
         self.caption: list[str] | None = None
         self.waiting: str | None = None
+        self.figures = 0
 
     def add(self, kind: str, **fields) -> None:
         self.out.append({"position": len(self.out), "kind": kind, "text": None, "ref": None, "caption": None} | fields)
@@ -79,6 +80,8 @@ class _Sequence(HTMLParser):
         else:
             self.drop_waiting()
             self.waiting = text
+            if not self.figures:
+                self.drop_waiting()
 
     def drop_waiting(self) -> None:
         """A caption that no medium took is text."""
@@ -116,6 +119,7 @@ class _Sequence(HTMLParser):
             self.caption = []
         elif tag in self.BLOCKS:
             self.block(tag)
+            self.figures += tag == "figure"
 
     def handle_startendtag(self, tag, attrs):
         if tag not in self.SILENT:
@@ -126,7 +130,12 @@ class _Sequence(HTMLParser):
             self.silent = max(0, self.silent - 1)
         elif tag == "figcaption":
             self.close_caption()
-        elif tag in self.BLOCKS and (self.caption is None or tag == "figure"):
+        elif tag == "figure":
+            self.close_caption()
+            self.flush()
+            self.drop_waiting()
+            self.figures = max(0, self.figures - 1)
+        elif tag in self.BLOCKS and self.caption is None:
             self.block(tag)
 
     def handle_data(self, data):
