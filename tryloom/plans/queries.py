@@ -294,7 +294,19 @@ def proof_bearing(spark, sf_dir):
 # --- statistics
 
 
-@query("length_fit")
+_FIT = """, hist AS (SELECT project, len_attempt AS k, count(*) AS n FROM e WHERE is_closed AND len_attempt > 1 GROUP BY 1, 2),
+whole AS (SELECT project, sum(n) AS n_tail, 1.0 / (sum(k * n) / sum(n) - 1) AS p FROM hist GROUP BY 1 HAVING sum(n) >= 20),
+st AS (SELECT * FROM (SELECT project, k AS xmin, sum(n) OVER (PARTITION BY project ORDER BY k DESC) AS support FROM hist) WHERE support >= 15),
+pairs AS (SELECT st.*, k, n, sum(n) OVER (PARTITION BY st.project, xmin ORDER BY k) AS hi FROM st JOIN hist USING (project) WHERE k >= xmin),
+law AS (SELECT project, xmin, any_value(support) AS sp, 1 + any_value(support) / sum(n * ln(k / (xmin - 0.5))) AS alpha, 1.0 / (sum(n * (k - xmin + 1)) / any_value(support)) AS ps FROM pairs GROUP BY 1, 2),
+cdf AS (SELECT project, xmin, sp, alpha, hi, hi - n AS lo, 1 - pow((k + 0.5) / (xmin - 0.5), 1 - alpha) AS c, 1 - pow(1 - ps, k - xmin + 1) AS g FROM pairs JOIN law USING (project, xmin)),
+ks AS (SELECT project, xmin, sp, alpha, max(greatest(abs((lo + 1) / sp - c), abs(hi / sp - c), abs(c - lo / sp), abs(c - (hi - 1) / sp))) AS ks, max(greatest(abs((lo + 1) / sp - g), abs(hi / sp - g), abs(g - lo / sp), abs(g - (hi - 1) / sp))) AS kg FROM cdf GROUP BY ALL),
+best AS (SELECT *, greatest(10, 4 * xmin) AS probe FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY ks, xmin) AS r FROM ks) WHERE r = 1)
+SELECT project, n_tail::BIGINT AS n_tail, round(p, 6) AS p, xmin, sp::BIGINT AS support, round(alpha, 6) AS alpha, round(ks, 6) AS ks, round(kg, 6) AS ks_geom, probe, (SELECT coalesce(sum(n), 0) FROM hist h WHERE h.project = b.project AND k >= probe)::BIGINT AS observed, round(n_tail * pow(1 - p, probe - 1), 6) AS expected_geom
+FROM whole JOIN best b USING (project)"""
+
+
+@query("length_fit", _EPISODES + _FIT)
 def length_fit(spark, sf_dir):
     closed = _episodes(spark, sf_dir).where("is_closed AND len_attempt > 0")
     return lengths.fit(closed.groupBy("project", F.col("len_attempt").alias("length")).agg(F.count("*").alias("trajectories")), ["project"])
@@ -326,14 +338,20 @@ def two_proportions(spark, sf_dir):
     return lengths.two_proportion_test(_days(spark, sf_dir)).select("n_a", "n_b", "rate_a", "rate_b", "gap", "z")
 
 
-@query("day_bootstrap", _SIDES + """, rk AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS r, count(*) OVER () AS nd FROM dy),
-dr AS (SELECT g.replicate, ('0x' || substr(md5('trials:' || g.replicate || ':' || rk.r), 1, 8))::BIGINT % rk.nd AS r FROM (SELECT unnest(range(500)) AS replicate) g, rk)
-SELECT replicate, round(sum(x_a) / sum(n_a) - sum(x_b) / sum(n_b), 6) AS gap FROM dr JOIN rk USING (r) GROUP BY 1 HAVING sum(n_a) > 0 AND sum(n_b) > 0""")
+_REPLICATES = _SIDES + """, rk AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS r, count(*) OVER () AS nd FROM dy),
+dr AS (SELECT g.replicate, ('0x' || substr(md5('trials:' || g.replicate || ':' || rk.r), 1, 8))::BIGINT % rk.nd AS r FROM (SELECT unnest(range({n})) AS replicate) g, rk),
+gaps AS (SELECT replicate, sum(x_a) / sum(n_a) - sum(x_b) / sum(n_b) AS gap FROM dr JOIN rk USING (r) GROUP BY 1 HAVING sum(n_a) > 0 AND sum(n_b) > 0)"""
+
+
+@query("day_bootstrap", _REPLICATES.replace("{n}", "500") + " SELECT replicate, round(gap, 6) AS gap FROM gaps")
 def day_bootstrap(spark, sf_dir):
     return lengths.bootstrap(_days(spark, sf_dir), 500).select("replicate", F.round("gap", 6).alias("gap"))
 
 
-@query("bootstrap_interval")
+@query("bootstrap_interval", _REPLICATES.replace("{n}", "1000") + """, pl AS (SELECT gap, row_number() OVER (ORDER BY gap, replicate) - 1 AS i, count(*) OVER () AS n FROM gaps),
+b AS (SELECT max(CASE WHEN i = floor(n * 0.025) THEN gap END) AS low, max(CASE WHEN i = floor(n * 0.975) THEN gap END) AS high, avg((gap <= 0)::INT) AS crossing, stddev(gap) AS s FROM pl),
+t AS (SELECT sum(x_a) / sum(n_a) AS ra, sum(x_b) / sum(n_b) AS rb, sum(n_a) AS na, sum(n_b) AS nb FROM dy), er AS (SELECT round(sqrt(ra * (1 - ra) / na + rb * (1 - rb) / nb), 6) AS error FROM t)
+SELECT round(low, 6) AS low, round(high, 6) AS high, round(crossing, 6) AS crossing, round(s, 6) AS boot_error, round(pow(s / nullif(error, 0), 2), 4) AS design_effect FROM b, er""")
 def bootstrap_interval(spark, sf_dir):
     days = _days(spark, sf_dir)
     return lengths.interval(lengths.bootstrap(days, 1000), lengths.two_proportion_test(days))
@@ -613,7 +631,12 @@ def session_timeline(spark, sf_dir):
     return found.select("build_id", F.array_join(F.transform("sessions", lambda s: F.concat_ws(":", s["name"], s["role"])), ",").alias("sessions"))
 
 
-@query("assembled_attempts")
+@query("assembled_attempts", _EVENTS + """, f AS (SELECT *, sum(CASE WHEN kind = 'loop' AND pt = text THEN 0 ELSE 1 END) OVER (PARTITION BY build_id ORDER BY line_no) AS isl, max((kind = 'plan')::INT) OVER (PARTITION BY build_id ORDER BY line_no) AS ph FROM v),
+r AS (SELECT *, CASE WHEN kind = 'loop' THEN row_number() OVER (PARTITION BY build_id, isl ORDER BY line_no) ELSE 0 END AS run, CASE WHEN ph = 1 THEN 20.0 ELSE 40.0 END AS idle, CASE WHEN kind = 'locus' THEN row_number() OVER (PARTITION BY build_id, kind ORDER BY line_no) END AS en FROM f),
+q AS (SELECT build_id, min(CASE WHEN nx - t_s >= idle THEN t_s + idle END) AS a, min(CASE WHEN run >= 3 THEN t_s END) AS l, max(t_s) AS e, (max(line_no) % 2)::INT AS code, arg_max(lt, line_no) FILTER (WHERE kind = 'loop') AS lt, arg_max(ll, line_no) FILTER (WHERE kind = 'loop') AS ll, string_agg(substr(text, 5), ' | ' ORDER BY en) FILTER (WHERE en <= 2) AS head FROM r GROUP BY 1),
+t AS (SELECT build_id, unnest([0, 1, 2]) AS k, unnest(['wall', 'loop_progress', 'activity']) AS reason, unnest([CASE WHEN e >= 40 THEN 40.0 END, l, a])::DOUBLE AS at_s FROM q), kl AS (SELECT build_id, arg_min(reason, (at_s, k)) AS reason FROM t WHERE at_s IS NOT NULL GROUP BY 1)
+SELECT q.build_id, CASE WHEN reason IS NOT NULL THEN 'timeout' WHEN code = 0 THEN 'ok' ELSE 'fail' END AS outcome, CASE WHEN reason IS NOT NULL THEN 124 ELSE code END AS exit_code, reason AS timeout_reason,
+CASE WHEN reason IS NULL THEN head WHEN lt IS NOT NULL THEN concat(reason, ': "by" line ', ll, ' of ', lt, ' (15.0s)') ELSE concat(reason, ' timeout (40s wall)') END AS error_head FROM q LEFT JOIN kl ON kl.build_id = q.build_id""")
 def assembled_attempts(spark, sf_dir):
     found = logs.events(mapping.build_log(spark, sf_dir))
     codes = mapping.build_log(spark, sf_dir).groupBy("build_id").agg((F.max("line_no") % 2).cast("int").alias("exit_code"))
