@@ -120,5 +120,20 @@ def test_watch_drops_finished_builds(spark, tmp_path):
 
     line = lambda n, s, text: {"build_id": "x", "line_no": n, "ts": (BEGIN + timedelta(seconds=s)).isoformat(), "text": text}
     rows = [[line(0, 0, "Session A/B"), line(1, 30, "x")], [line(2, 31, "y"), line(3, 95, "z")]]
+    rows.append([line(9, -3600, "long ago")])
     found = _table(spark, tmp_path, "over", builds.watched(_stream(spark, tmp_path, rows, "build_id string, line_no long, ts timestamp, text string")))
     assert [(r["reason"], r["at_s"]) for r in found.collect()] == [("activity", 20.0)]
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    from tryloom.streaming import builds
+
+    line = lambda build, n, s: {"build_id": build, "line_no": n, "ts": (BEGIN + timedelta(seconds=s)).isoformat(), "text": "Session A/B"}
+    rows = [[line("x", 0, 0)], [line("y", 0, 3600)], [line("z", 0, 7200)], [line("w", 0, 0), line("w", 1, 1)]]
+    run = builds.watched(_stream(spark, tmp_path, rows, "build_id string, line_no long, ts timestamp, text string")).writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    run.processAllAvailable()
+    late = builds.late_rows(run)
+    run.stop()
+    # x and y broke their idle budgets by timers, as no further line came; z is still open
+    assert {(r["build_id"], r["reason"], round(r["at_s"])) for r in spark.table("late").collect()} == {("x", "activity", 20), ("y", "activity", 20)}
+    assert late == 2

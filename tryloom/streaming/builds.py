@@ -1,7 +1,7 @@
 """Live build logs: the rules of ``operators.logs`` over a stream of lines.
 
 Each build is one key. Lines carry event time; a watermark says how late one may
-be, and later ones are counted apart. Order within a build is by line number.
+be; Spark drops and counts later ones (``late_rows``). Order within a build is by line number.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tryloom.operators.logs import ACTIVITY_S, LOOPS, STARTUP_EXTRA_S, WALL_S, events
 
@@ -41,7 +41,7 @@ class BuildWatch(StatefulProcessor):
         found = [(at, rank, reason) for at, rank, reason in ((wall, 0, "wall"), (idle, 2, "activity")) if at <= now]
         return (min(found)[2], min(found)[0]) if found else None
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         lines = pd.concat(list(rows)).sort_values("line_no")
         if self.over.exists():
             return
@@ -84,17 +84,17 @@ class BuildWatch(StatefulProcessor):
         self.over.update((at + self.keep_s,))
         self.handle.registerTimer(int((at + self.keep_s) * 1000))
 
-    def handleExpiredTimer(self, key, timer, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.over.exists():
             self.over.clear()
             return
         if not self.state.exists():
             return
         s = dict(zip(("start", "last", "last_line", "phase", "key", "run", "done"), self.state.get(), strict=True))
-        due = self._due(s, expired.getExpiryTimeInMs() / 1000)
+        due = self._due(s, expiredTimerInfo.getExpiryTimeInMs() / 1000)
         if due and not s["done"]:
             yield self._row(key, due[0], due[1], s["start"])
-            self._finish(expired.getExpiryTimeInMs() / 1000)
+            self._finish(expiredTimerInfo.getExpiryTimeInMs() / 1000)
 
     def close(self) -> None:
         pass
@@ -123,13 +123,9 @@ def cpu_windows(samples: DataFrame, watermark: str = WATERMARK, window: str = "1
     return per.select("build_id", F.col("w.end").alias("window_end"), F.when(span > 0, (F.col("c1") - F.col("c0")) / span).alias("duty"))
 
 
-def late_lines(lines: DataFrame, watermark_s: int = 60) -> DataFrame:
-    """Lines that came more than the watermark behind the newest of their build: counted by build."""
-    newest = F.max("ts").over
-    from pyspark.sql import Window
-
-    seen = newest(Window.partitionBy("build_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1))
-    return lines.withColumn("_seen", seen).where(F.unix_seconds("_seen") - F.unix_seconds("ts") > watermark_s).groupBy("build_id").agg(F.count("*").alias("late"))
+def late_rows(run: StreamingQuery) -> int:
+    """Rows that came behind the watermark, which the state operators of a running query have dropped so far."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for progress in run.recentProgress for op in progress["stateOperators"])
 
 
 class TreeCpu(StatefulProcessor):
@@ -139,7 +135,7 @@ class TreeCpu(StatefulProcessor):
         self.most = handle.getMapState("most", "pid long", "cpu_s double")
         self.total = handle.getValueState("total", "cpu_s double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         samples = pd.concat(list(rows)).sort_values(["ts", "pid"])
         total = self.total.get()[0] if self.total.exists() else 0.0
         out = []
