@@ -1,7 +1,8 @@
 """Build logs as events, and the rules that turn them into loci, loops, stalls and kills.
 
 A log has ``build_id``, ``line_no``, ``t_s`` (seconds since the build began) and
-``text``. Windows are by build.
+``text``. A build may be of any length: what a window would carry through it
+goes by blocks of its lines, or is cut to a few rows before it is shuffled.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tryloom.functions.scalars import root_sessions  # noqa: F401  (part of the log vocabulary)
+from tryloom.operators.ordered import running_count, with_previous
 
 # How the build tool words its lines.
 ANSI = r"\x1b\[[0-9;]*[A-Za-z]"
@@ -58,14 +60,20 @@ def _by_line() -> Window:
 
 def loops(found: DataFrame) -> DataFrame:
     """``events`` with ``run``: how many warnings of the same place have come with no other line between."""
-    key = F.struct("loop_theory", "loop_line", "loop_command")
-    w = _by_line()
+    return _with_runs(found).drop("_p")
+
+
+def _with_runs(found: DataFrame) -> DataFrame:
+    """``loops`` with the line before as ``_p``."""
+    place = ["kind", "loop_theory", "loop_line", "loop_command"]
+    rows = with_previous(found, [*place, *[c for c in ("t_s", "line_no") if c in found.columns]], "_p", "build_id", "line_no")
     is_loop = F.col("kind") == "loop"
-    same = is_loop & F.coalesce((F.lag("kind").over(w) == "loop") & (F.lag(key).over(w) == key), F.lit(False))
-    rows = found.withColumn("_fresh", (~same).cast("int"))
-    rows = rows.withColumn("_island", F.sum("_fresh").over(w))
-    place = F.row_number().over(Window.partitionBy("build_id", "_island").orderBy("line_no"))
-    return rows.withColumn("run", F.when(is_loop, place).otherwise(0)).drop("_fresh", "_island")
+    same = is_loop & F.coalesce((F.col("_p.kind") == "loop") & (F.struct(*[f"_p.{c}" for c in place[1:]]) == F.struct(*place[1:])), F.lit(False))
+    fresh = running_count(rows.withColumn("_fresh", ~same), F.col("_fresh"), "_before", "build_id", "line_no")
+    # A run's first line is fresh itself, so the run's number is one more than what came before it.
+    island = F.col("_before") + F.col("_fresh").cast("long")
+    nth = F.row_number().over(Window.partitionBy("build_id", "_island").orderBy("line_no"))
+    return fresh.withColumn("_island", island).withColumn("run", F.when(is_loop, nth).otherwise(0)).drop("_fresh", "_before", "_island")
 
 
 def kills(found: DataFrame, ends: DataFrame | None = None, activity: float = ACTIVITY_S, wall: float = WALL_S, threshold: int = LOOPS, load: float = 1.0) -> DataFrame:
@@ -75,16 +83,16 @@ def kills(found: DataFrame, ends: DataFrame | None = None, activity: float = ACT
     has passed since the last line (with more before the first phase line). At equal times the order is wall,
     loop, activity. ``ends`` (``build_id``, ``end_s``) says how long a log was followed; else it ends at its last line.
     """
-    w = _by_line()
-    started = F.max("is_phase").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = loops(found).withColumns({"_next": F.lead("t_s").over(w), "_on": started})
-    if ends is not None:
-        rows = rows.join(ends, "build_id", "left").withColumn("_next", F.coalesce("_next", "end_s"))
-    idle = F.when(F.col("_on"), activity).otherwise(activity + STARTUP_EXTRA_S) * load
-    first = F.when(F.coalesce(F.col("_next") - F.col("t_s"), F.lit(0.0)) >= idle, F.col("t_s") + idle)
+    begun = found.groupBy("build_id").agg(F.min(F.when(F.col("is_phase"), F.col("line_no"))).alias("_begun"), F.max_by("t_s", "line_no").alias("_last_s"), F.max("line_no").alias("_last_line"))
+    rows = _with_runs(found).join(begun, "build_id")
+    idle = lambda line: F.when(line >= F.col("_begun"), activity).otherwise(activity + STARTUP_EXTRA_S) * load
+    # a gap shows at the line that ends it
+    first = F.when(F.col("t_s") - F.col("_p.t_s") >= idle(F.col("_p.line_no")), F.col("_p.t_s") + idle(F.col("_p.line_no")))
     looped = F.when(F.col("run") >= threshold * load, F.col("t_s"))
-    last = F.coalesce("_next", "t_s")
-    per = rows.groupBy("build_id").agg(F.min(first).alias("a"), F.min(looped).alias("l"), F.max(last).alias("end"))
+    per = rows.groupBy("build_id").agg(F.min(first).alias("a"), F.min(looped).alias("l"), F.max("t_s").alias("end"), F.first("_last_s").alias("_last_s"), F.first("_last_line").alias("_last_line"), F.first("_begun").alias("_begun"))
+    if ends is not None:
+        open_ = F.when(F.col("end_s") - F.col("_last_s") >= idle(F.col("_last_line")), F.col("_last_s") + idle(F.col("_last_line")))
+        per = per.join(ends, "build_id", "left").withColumns({"a": F.least("a", open_), "end": F.greatest("end", "end_s")})
     trigger = lambda at, rank, name: F.when(at.isNotNull(), F.struct(at.cast("double").alias("at_s"), F.lit(rank).alias("rank"), F.lit(name).alias("reason")))
     over = F.when(F.col("end") >= wall * load, F.lit(wall * load))
     least = F.array_min(F.array_compact(F.array(trigger(over, 0, "wall"), trigger(F.col("l"), 1, "loop_progress"), trigger(F.col("a"), 2, "activity"))))
@@ -133,9 +141,11 @@ def error_loci(found: DataFrame) -> DataFrame:
 
 def failure_block(found: DataFrame, most: int = 6) -> DataFrame:
     """The first run of error lines, its first non-blank ones."""
-    rows = found.where("startswith(text, '***')").withColumn("_island", F.col("line_no") - F.row_number().over(_by_line()))
-    first = rows.withColumn("_first", F.min("_island").over(Window.partitionBy("build_id"))).where("_island = _first AND trim(error) <> ''")
-    cut = first.withColumn("_n", F.row_number().over(_by_line())).where(F.col("_n") <= most)
+    error = F.startswith("text", F.lit("***"))
+    first = found.where(error).groupBy("build_id").agg(F.min("line_no").alias("_from"))
+    after = found.where(~error).join(first, "build_id").where("line_no > _from").groupBy("build_id").agg(F.min("line_no").alias("_to"))
+    run = found.where(error & (F.trim("error") != "")).join(first, "build_id").join(after, "build_id", "left").where("_to IS NULL OR line_no < _to")
+    cut = run.withColumn("_n", F.row_number().over(_by_line())).where(F.col("_n") <= most)
     return cut.groupBy("build_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "error"))), lambda x: x["error"]), "\n").alias("block"))
 
 

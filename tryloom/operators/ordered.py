@@ -28,29 +28,29 @@ def number_rows(df: DataFrame, keys: list[str], block: Column, order: list[str],
     return ranked.withColumn(out, (F.col("_start") + F.col("_rank") - 1).cast("long")).drop("_start", "_rank", "_block")
 
 
-def _blocks(df: DataFrame) -> DataFrame:
-    return df.withColumn("_block", F.floor(F.col("seq") / BLOCK))
+def _blocks(df: DataFrame, seq: str = "seq") -> DataFrame:
+    return df.withColumn("_block", F.floor(F.col(seq) / BLOCK))
 
 
-def running_count(df: DataFrame, flag: Column, out: str, key: str = "corpus_id") -> DataFrame:
+def running_count(df: DataFrame, flag: Column, out: str, key: str = "corpus_id", seq: str = "seq") -> DataFrame:
     """``out``: how many rows before this one, in ``seq`` order, have ``flag``."""
-    rows = _blocks(df.withColumn("_flag", F.coalesce(flag, F.lit(False)).cast("long")))
+    rows = _blocks(df.withColumn("_flag", F.coalesce(flag, F.lit(False)).cast("long")), seq)
     counts = rows.groupBy(key, "_block").agg(F.sum("_flag").alias("_n"))
     before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = Window.partitionBy(key, "_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(key, "_block").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     within = F.coalesce(F.sum("_flag").over(inside), F.lit(0))
     counted = rows.withColumn("_within", within).join(starts, [key, "_block"])
     return counted.withColumn(out, F.col("_start") + F.col("_within")).drop("_start", "_within", "_flag", "_block")
 
 
-def with_previous(df: DataFrame, columns: list[str], out: str = "prev", key: str = "corpus_id") -> DataFrame:
+def with_previous(df: DataFrame, columns: list[str], out: str = "prev", key: str = "corpus_id", seq: str = "seq") -> DataFrame:
     """``out``: a struct of ``columns`` of the row before, null for a corpus's first."""
-    rows = _blocks(df)
+    rows = _blocks(df, seq)
     row = F.struct(*columns)
-    last = rows.groupBy(key, "_block").agg(F.max_by(row, "seq").alias("_last"))
+    last = rows.groupBy(key, "_block").agg(F.max_by(row, seq).alias("_last"))
     edges = last.withColumn("_edge", F.lag("_last").over(Window.partitionBy(key).orderBy("_block"))).drop("_last")
-    inside = F.lag(row).over(Window.partitionBy(key, "_block").orderBy("seq"))
+    inside = F.lag(row).over(Window.partitionBy(key, "_block").orderBy(seq))
     return rows.withColumn("_inside", inside).join(edges, [key, "_block"]).withColumn(out, F.coalesce("_inside", "_edge")).drop("_inside", "_edge", "_block")
 
 
