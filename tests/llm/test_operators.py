@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,14 +132,23 @@ def test_nearest(spark):
 
 
 def test_nearest_measures_recall(spark):
-    """Lists that are too few at first are raised until true neighbours are found."""
-    v = np.random.default_rng(4).normal(size=(6000, 32)).astype("f4")
-    vectors = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<float>")
-    got = ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=10, copies=1, boundary=1.0, prune=1.0).collect()
-    scores = v[::20].astype("f8") @ v.astype("f8").T
-    scores[np.arange(300), np.arange(0, 6000, 20)] = -np.inf
+    """Lists that are too few at first are raised until true neighbours are found, on clustered vectors, and most vectors are not read."""
+    rng = np.random.default_rng(4)
+    n = 50_000
+    v = (rng.normal(size=(500, 24))[rng.integers(0, 500, n)] + 0.5 * rng.normal(size=(n, 24))).astype("f4")
+    vectors = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(v.reshape(-1), 24).cast(pa.list_(pa.float32()))}))
+    vectors = vectors.repartition(8)
+    queries = vectors.where("vec_id % 250 = 0")
+    got = ann.nearest(vectors, queries, k=10, copies=2, boundary=1.02, prune=1.0).collect()
+    scores = v[::250].astype("f8") @ v.astype("f8").T
+    scores[np.arange(n // 250), np.arange(0, n, 250)] = -np.inf
     best = np.argpartition(-scores, 9, axis=1)[:, :10]
-    assert len(got) == 3000 and sum(r["vec_id"] in best[r["query_id"] // 20] for r in got) / 3000 >= 0.9
+    assert len(got) == n // 25 and sum(r["vec_id"] in best[r["query_id"] // 250] for r in got) / len(got) >= 0.9
+    # the share of all vectors that a query is compared with
+    made = ann.index(vectors, queries, 10, 2, 1.02, 1.0)
+    sizes = made.posted.groupBy("list").agg(F.count("*").alias("n"))
+    read = made.routes().join(sizes, "list").groupBy("rep").agg(F.sum("n").alias("n")).agg(F.avg("n")).first()[0]
+    assert len(made.centroids.points) == n // ann.LIST_SIZE and read / n < 0.2
 
 
 def test_language_id(spark):

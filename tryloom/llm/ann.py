@@ -289,22 +289,32 @@ def reading(centroids: Centroids, points: np.ndarray, held: pd.DataFrame, ratio:
     return float(ratio), least
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, copies: int = 4, boundary: float = 1.05, prune: float = 1.15) -> DataFrame:
-    """``query_id``, ``rank``, ``vec_id`` and ``score`` of the ``k`` nearest of each of ``queries`` among ``vectors``.
+@dataclass
+class Index:
+    """Vectors by value (``reps``), their posting lists, who asks, and how many lists a query reads."""
 
-    ``boundary`` and ``copies`` govern the replication into further lists,
-    ``prune`` the least choice of the lists that a query reads, which is widened
-    until the measured recall is at least ``RECALL``.
-    """
+    good: DataFrame
+    reps: DataFrame
+    centroids: Centroids
+    posted: DataFrame
+    asked: DataFrame
+    wanted: DataFrame
+    ratio: float
+    least: int
+
+    def routes(self) -> DataFrame:
+        return routed(self.wanted, self.centroids, True, self.ratio, least=self.least)
+
+
+def index(vectors: DataFrame, queries: DataFrame, k: int, copies: int, boundary: float, prune: float) -> Index | None:
+    """Posting lists of all of ``vectors``, and the lists to read for ``queries``, settled by recall; None without a vector."""
     good = written(usable(vectors), "vectors")
     reps = written(good.groupBy("v").agg(F.min("vec_id").alias("rep")), "vector-reps")
     squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     whole = reps.agg(F.count("*").alias("n"), F.max(squares).alias("most")).first()
-    schema = "query_id long, rank int, vec_id long, score double"
     if not whole["n"]:
-        return vectors.sparkSession.createDataFrame([], schema)
+        return None
     centroids = fit(reps, whole["n"], math.sqrt(whole["most"]))
-
     posted = written(routed(reps, centroids, False, boundary, copies).drop("near"), "postings")
     asked = usable(queries).join(reps, "v").select(F.col("vec_id").alias("query_id"), "rep").distinct()
     wanted = reps.join(asked.select("rep").distinct(), "rep", "left_semi")
@@ -316,13 +326,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, copies: int = 4
         if len(held):
             held["q"] = pd.Index(ids).get_indexer(held["q"])
             prune, least = reading(centroids, centroids.extended(points, True), held, prune)
-    routes = written(routed(wanted, centroids, True, prune, least=least), "routes")
+    return Index(good, reps, centroids, posted, asked, wanted, prune, least)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, copies: int = 4, boundary: float = 1.05, prune: float = 1.15) -> DataFrame:
+    """``query_id``, ``rank``, ``vec_id`` and ``score`` of the ``k`` nearest of each of ``queries`` among ``vectors``.
+
+    ``boundary`` and ``copies`` govern the replication into further lists,
+    ``prune`` the least choice of the lists that a query reads, which is widened
+    until the measured recall is at least ``RECALL``.
+    """
+    made = index(vectors, queries, k, copies, boundary, prune)
+    if made is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    routes = written(made.routes(), "routes")
     # Each list has its own number of shards of vectors and of parts of queries; every part meets every shard.
     groups = lambda rows, most, name: rows.groupBy("list").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
-    cuts = F.broadcast(cut(groups(posted, SHARD_SIZE, "shards").join(groups(routes, QUERIES_SIZE, "parts"), "list")))  # a row a list
+    cuts = F.broadcast(cut(groups(made.posted, SHARD_SIZE, "shards").join(groups(routes, QUERIES_SIZE, "parts"), "list")))  # a row a list
     own = lambda name: F.pmod(F.xxhash64("rep"), F.col(name)).cast("int")
     all_ = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-    dealt = posted.join(cuts, "list").select("list", "rep", "v", own("shards").alias("shard"), all_("parts").alias("part"))
+    dealt = made.posted.join(cuts, "list").select("list", "rep", "v", own("shards").alias("shard"), all_("parts").alias("part"))
     sent = routes.join(cuts, "list").select("list", "near", "rep", "v", own("parts").alias("part"), all_("shards").alias("shard"))
 
     # One more than k: the query's own id is among them.
@@ -335,9 +358,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, copies: int = 4
     others = answers(dealt, sent.where(F.col("near") >= LEAST_LISTS).join(bounds, "rep"), k + 1)
     found = best(once(first.unionByName(others)), "q", F.desc("score"), "rep")
     # The smallest ids of each vector; the limit also holds within each task, before the shuffle.
-    members = best(good.select("v", "vec_id").distinct(), "v", "vec_id").join(reps, "v").select("rep", "vec_id")
+    members = best(made.good.select("v", "vec_id").distinct(), "v", "vec_id").join(made.reps, "v").select("rep", "vec_id")
     each = best(found.join(members, "rep").select("q", "vec_id", "score"), "q", F.desc("score"), "vec_id")
-    rows = asked.withColumnRenamed("rep", "q").join(each, "q").where("vec_id <> query_id")
+    rows = made.asked.withColumnRenamed("rep", "q").join(each, "q").where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
