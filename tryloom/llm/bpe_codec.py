@@ -38,6 +38,8 @@ from tryloom.llm.shared import table
 LONG_PIECE = 64
 #: Pieces, and squares of their sizes, handed to ``SHORT`` at once; it keeps every step's ids.
 PIECES_A_QUERY, SQUARES_A_QUERY = 40_000, 20_000_000
+#: Bytes of text in a group; the larger it is, the fewer pieces are encoded more than once.
+TEXT_BYTES = 40 << 20
 #: Bytes handed to ``LONG`` at once, one piece at least.
 BYTES_A_QUERY = 500_000
 
@@ -297,7 +299,7 @@ def byte_pair_codec(docs: DataFrame, vocabulary: str, pattern: str, keep: str =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(vocabulary, pattern)
-        for group in grouped(batches, ["_key"]):
+        for group in grouped(batches, ["_key"], most=TEXT_BYTES):
             out: list[list] = [[] for _ in columns[1:]]
             for ids, text in tool.texts(group):
                 row = [len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()]

@@ -23,7 +23,7 @@ _SPACED = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _WHITE_THEN_BLANK = r"[\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 
 #: A group of texts is closed before it passes this many bytes of text.
-GROUP_BYTES = 40 << 20
+GROUP_BYTES = 8 << 20
 
 
 def spaced_chunks(text: str) -> list[str]:
@@ -92,10 +92,14 @@ def bounded(batches: Iterable[pa.RecordBatch], most: int = GROUP_BYTES) -> Itera
                 waiting.append(batch.slice(begin, i - begin))
                 yield _joined(waiting)
                 waiting, size, begin = [], 0, i
+                pa.default_memory_pool().release_unused()
             size += n
         waiting.append(batch.slice(begin))
     if size or any(b.num_rows for b in waiting):
         yield _joined(waiting)
+    # A worker serves further tasks, of other operators too.
+    waiting.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:

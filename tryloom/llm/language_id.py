@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tryloom.llm.chunks import Group, bounded, column, grouped
-from tryloom.llm.shared import table
+from tryloom.llm.shared import small_batches, table
 
 #: Rows of the hashed n-gram table.
 BUCKETS = 1 << 16
 #: Words times languages that one Viterbi block may hold.
-BLOCK_CELLS = 4 << 20
+BLOCK_CELLS = 1 << 20
 #: Bytes of text in a group, and words whose n-grams are held at once.
-TEXT_BYTES, WORDS_HELD = 12 << 20, 40_000
+TEXT_BYTES, WORDS_HELD = 6 << 20, 40_000
 #: First code points of the script ranges (fixed values) and their numbers:
 #: 0 Latin, 1 Greek, 2 Cyrillic, 3 Armenian, 4 Hebrew, 5 Arabic, 6 Indic,
 #: 7 Thai and Lao, 8 Hangul, 9 Kana, 10 Han, 11 other.
@@ -256,6 +256,7 @@ def language_id(docs: DataFrame, model: Model, keep: list[str], penalty: float =
 
     kinds = ["string", "double", "array<struct<lang:string,first_word:long,n_words:long>>"]
     fields = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep] + [f"`{n}` {t}" for n, t in zip(names[len(keep) :], kinds, strict=False)]
+    small_batches(docs)
     columns = [F.col(f"`{k}`") for k in (keep if "text" in keep else [*keep, "text"])]
     return docs.select(*columns).mapInArrow(predict, ", ".join(fields))
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tryloom.llm.chunks import bounded, column
-from tryloom.llm.shared import cut, fresh, id_side, table, written
+from tryloom.llm.shared import cut, fresh, id_side, small_batches, table, written
 
 #: Keys in each of the two collections, and minhashes in a key.
 KEYS, ROWS = 11, 2
@@ -192,6 +192,7 @@ def labelled(nodes: DataFrame, parts: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` and ``n_rows`` of every document."""
+    small_batches(docs)
     signed = written(signatures(docs, words), "signatures")
     rows = signed.groupBy("doc_id").agg(F.min(F.struct("digest", "n_shingles", "keys")).alias("s"), F.count("*").alias("n_rows")).select("doc_id", "n_rows", "s.*")
     node = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "keys")).alias("s")).select("digest", F.col("s.doc_id").alias("node"), F.col("s.keys").alias("keys"))

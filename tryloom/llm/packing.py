@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tryloom.llm.chunks import grouped
-from tryloom.llm.shared import table, written
+from tryloom.llm.shared import small_batches, table, written
 from tryloom.llm.word_bpe import encoder
 
 #: Documents whose ids stand in one batch.
 DOCS_A_BATCH = 512
 #: Bytes of text in a group.
-TEXT_BYTES = 32 << 20
+TEXT_BYTES = 6 << 20
 #: Up to so many tasks, their offsets (24 bytes each) are broadcast.
 PARTS_BROADCAST = 200_000
 
@@ -71,6 +71,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, key: str) -> DataFr
 
 def packed(docs: DataFrame, vocabulary: str, length: int = 4096, end_id: int = 2, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """One row per piece, with its sequence, its offset there and, if asked, its ``ids``."""
+    small_batches(docs)
     runs = written(tokenized(docs, vocabulary, end_id, key), "packing")
     totals = runs.groupBy("part").agg(F.sum("doc_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per task of the first pass

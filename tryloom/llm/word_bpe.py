@@ -22,7 +22,7 @@ from tryloom.llm.chunks import Ragged
 #: Words of more bytes are merged by the library, whose time does not grow with their square.
 LONG_WORD = 64
 #: Words (and ids) that a worker remembers between groups before it starts anew.
-WORDS_KEPT, IDS_KEPT = 400_000, 8_000_000
+WORDS_KEPT, IDS_KEPT = 80_000, 1_000_000
 #: Fields handed to the library at once; bounds its memory.
 FIELDS_A_CALL = 20_000
 _NONE = np.iinfo(np.int32).max
@@ -50,9 +50,9 @@ class WordEncoder:
         end, ids = model["end_of_word_suffix"], model["vocab"]
         if model["type"] != "BPE" or not end or model["unk_token"] is not None:
             raise ValueError("a BPE with a word-end suffix and no unknown token is expected")
-        self.library = Tokenizer.from_file(vocabulary)
-        if self.library.get_vocab_size() > 1 << 16:
+        if max(ids.values()) >= 1 << 16:
             raise ValueError("ids over 65535 are not supported")
+        self.vocabulary = vocabulary
         self.find_words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         pairs = np.array([ids[a] << 16 | ids[b] for a, b in model["merges"]], np.uint32)
         order = np.argsort(pairs, kind="stable")
@@ -62,6 +62,10 @@ class WordEncoder:
         self.last = np.array([ids[c + end] for c in byte_characters()], np.uint16)
         self.forget()
 
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_file(self.vocabulary)
+
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.lengths = [np.empty(0, np.uint16)], [np.empty(0, np.int64)]
