@@ -23,6 +23,8 @@ _MODULES = {
     "op8_pii": "pii",
     "op9_chat_format": "chat_format",
     "op10_token_counts": "token_counts",
+    "op12_prefix_trie": "prefix_trie",
+    "op13_warc": "warc",
     "page_sequences": "media",
 }
 
@@ -44,6 +46,7 @@ def oracle_sql() -> dict[str, str]:
     found = {}
     for name, module in _MODULES.items():
         sql = getattr(importlib.import_module(f"{__name__}.{module}"), "ORACLE_SQL", None)
+        sql = sql.get(name) if isinstance(sql, dict) else sql
         if sql:
             found[name] = sql
     return found
