@@ -23,6 +23,7 @@ _MODULES = {
     "op8_pii": "pii",
     "op9_chat_format": "chat_format",
     "op10_token_counts": "token_counts",
+    "op11_runs": "runs",
     "op12_prefix_trie": "prefix_trie",
     "op13_warc": "warc",
     "page_sequences": "media",
