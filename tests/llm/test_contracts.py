@@ -277,7 +277,8 @@ def plain_pii(texts, rounds=3, support=5, least=0.9):
         return "address" if "@" in t else "number" if bare and len(digits(t)) >= 7 else "digits" if bare else "mixed"
 
     def named(word):
-        return sha(word) if len(word) > 64 else word.lower()
+        word = word.lower()
+        return sha(word) if len(word) > 64 else word
 
     token, base, seen = regex.compile(pii.TOKEN), [], []
     for row, (_, text) in enumerate(texts):

@@ -14,8 +14,8 @@ mark instances that the base expressions missed. Base spans always stay.
 Texts are read once; what follows works on tokens. Edges of the graph are
 distinct pairs, counted within each task before they are shuffled.
 
-Cases: a null text counts as empty and has no span; texts are scanned whole;
-repeated rows give repeated rows but support a pattern once; an empty table
+Cases: a null text counts as empty and has no span; texts are scanned whole, in
+time that grows with their tokens and spans times a logarithm; repeated rows give repeated rows but support a pattern once; an empty table
 gives an empty result; other columns of the input are ignored. Spans of
 different kinds may overlap.
 """
@@ -81,8 +81,9 @@ def coarse(token: Column) -> Column:
 
 
 def named(word: Column) -> Column:
-    """A word as a pattern names it: in lower case, a long one by its digest."""
-    return F.when(F.length(word) > LONG_WORD, F.sha2(word, 256)).otherwise(F.lower(word))
+    """A word as a pattern names it: in lower case, a long one by the digest of that."""
+    word = F.lower(word)
+    return F.when(F.length(word) > LONG_WORD, F.sha2(word, 256)).otherwise(word)
 
 
 def tokens(text: Column) -> Column:
@@ -110,6 +111,28 @@ def tokens(text: Column) -> Column:
     return bound(found, every)
 
 
+def first_meeting(found: Column, spans: Column) -> Column:
+    """``found`` with ``whole``: the text of the base span that each token meets, of the first kind that has one.
+
+    A kind's spans stand in order and apart, so the one that may meet a token is
+    found by halving: time grows with the tokens times the logarithm of the spans.
+    """
+    strides = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+    side = lambda own: F.struct(own.alias("s"), F.filter(strides, lambda n: n <= F.size(own)).alias("strides"))
+    sides = [side(spans[k]).alias(k) for k in KINDS]
+
+    def hit(side: Column, t: Column) -> Column:
+        # how many spans end at or before the token's start
+        step = lambda at, n: F.when((at + n <= F.size(side["s"])) & (F.get(side["s"], at + n - 1)["end"] <= t["start"]), at + n).otherwise(at)
+        one = F.get(side["s"], F.aggregate(side["strides"], F.lit(0), step))
+        return F.when(one["start"] < t["end"], one["text"])
+
+    def each(held: Column) -> Column:
+        return F.transform(held["t"], lambda t: F.struct(*[t[c].alias(c) for c in ("start", "end", "instance", "class", "patterns")], F.coalesce(*[hit(held[k], t) for k in KINDS]).alias("whole")))
+
+    return bound(F.struct(found.alias("t"), *sides), each)
+
+
 def scored(edges: DataFrame, rounds: int = 3, least_support: int = 5, least_score: float = 0.9) -> DataFrame:
     """``pattern`` and ``score`` of the patterns of high confidence.
 
@@ -135,16 +158,13 @@ def personal_data(docs: DataFrame, rounds: int = 3, least_support: int = 5, leas
     """
     text = F.coalesce("text", F.lit(""))
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "pii", "context")]
-    row, tokens_, spans_ = (fresh(docs, name) for name in ("_row", "_tokens", "_spans"))
+    row, tokens_ = (fresh(docs, name) for name in ("_row", "_tokens"))
     read = docs.select(*others, base_spans(text).alias("pii"), tokens(text).alias(tokens_))
-    place = lambda s: [s["start"].alias("start"), s["end"].alias("end")]
-    bare = F.struct(*[F.transform(F.col("pii")[k], lambda s: F.struct(*place(s))).alias(k) for k in KINDS])
-    spans = F.concat(*[F.transform(F.col("pii")[k], lambda s: F.struct(*place(s), s["text"].alias("text"))) for k in KINDS])
-    rows = written(read.select(*others, F.monotonically_increasing_id().alias(row), bare.alias("pii"), spans.alias(spans_), tokens_), "pii")
+    bare = F.struct(*[F.transform(F.col("pii")[k], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in KINDS])
+    rows = written(read.select(*others, F.monotonically_increasing_id().alias(row), bare.alias("pii"), first_meeting(F.col(tokens_), F.col("pii")).alias(tokens_)), "pii")
 
     # A candidate that meets a base span is the whole of it.
-    whole = F.get(F.filter("spans", lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start"))), 0)["text"]
-    seen = rows.select(F.col(row).alias("row"), F.col(spans_).alias("spans"), F.explode(tokens_).alias("t")).select("row", "t.*", whole.alias("whole"))
+    seen = rows.select(F.col(row).alias("row"), F.explode(tokens_).alias("t")).select("row", "t.*")
     seen = seen.select("row", "start", "end", F.coalesce("whole", "instance").alias("instance"), F.col("whole").isNotNull().alias("seed"), "class", F.explode("patterns").alias("pattern"))
     weight = F.coalesce(*[F.when(F.col("class") == k, w) for k, w in UNSEEN.items()], F.lit(1.0))
     edges = cut(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.min(weight).alias("weight")))
