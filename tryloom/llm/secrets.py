@@ -9,8 +9,8 @@ run the rule's expression. A rule without a mandatory trigram scans every text.
 A posting names a text by a hash of it, so copies share postings. Equal hashes
 of unlike texts could only add candidates, and every candidate is verified.
 
-Cases: a null text counts as empty and has no span; texts are scanned whole;
-repeated rows give repeated rows; an empty table gives an empty result; other
+Cases: a null text counts as empty and has no span; texts are scanned whole, by
+every rule in linear time; repeated rows give repeated rows; an empty table gives an empty result; other
 columns of the input are ignored. Spans of different kinds may overlap.
 """
 
@@ -32,12 +32,25 @@ ASSIGN = rf"(?i:{_KEY})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret. ``least`` is the least length of ``group`` of a match."""
+    """A kind of secret. ``least`` is the least length of ``group`` of a match.
+
+    A pattern that begins with the letters ``opening`` and a run of ``run`` (a
+    class that holds these) can match only from the first opening in a run: if it
+    fails there, it fails from all later ones, which see less of the same run. It
+    is sought once a run, so that long runs of openings take linear time.
+    """
 
     kind: str
     pattern: str
     least: int = 0
     group: int = 0
+    opening: str = ""
+    run: str = ""
+
+    @property
+    def sought(self) -> str:
+        """What is sought in texts: the pattern, behind what stands before it in its run."""
+        return rf"(?<!{self.run})(?:(?!{self.opening}){self.run})*+{self.pattern}" if self.opening else self.pattern
 
 
 #: The first three are the base kinds, in the order of their ranks.
@@ -50,7 +63,7 @@ RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{16,}"),
     Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", opening="eyJ", run="[A-Za-z0-9_-]"),
 )
 N_BASE = 3
 
@@ -205,6 +218,14 @@ def _long_enough(rule: Rule):
     return lambda s: F.length(value(s["text"])) >= rule.least
 
 
+def _spans(rule: Rule, guard: Column | None) -> Column:
+    spans = matches(F.col("text"), rule.sought, guard)
+    if rule.opening:
+        before = lambda s: F.locate(rule.opening, s["text"]) - 1
+        spans = F.transform(spans, lambda s: F.struct((s["start"] + before(s)).alias("start"), s["end"].alias("end"), F.substring(s["text"], before(s) + 1, F.length(s["text"])).alias("text"), s["gap"].alias("gap")))
+    return F.filter(spans, _long_enough(rule)) if rule.least else spans
+
+
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, into: str = "secrets") -> DataFrame:
     """``docs`` with ``into``: for each rule the array of its verified spans.
 
@@ -220,10 +241,7 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, into: str = "
     out = []
     for i, rule in enumerate(rules):
         guard = F.col(numbers).bitwiseAND(F.lit(1 << i)) != 0 if trigram_query(rule.pattern) else None
-        spans = matches(F.col("text"), rule.pattern, guard)
-        if rule.least:
-            spans = F.filter(spans, _long_enough(rule))
-        out.append(F.coalesce(spans, no_matches()).alias(rule.kind))
+        out.append(F.coalesce(_spans(rule, guard), no_matches()).alias(rule.kind))
     return with_rules.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(*out).alias(into))
 
 
