@@ -11,7 +11,8 @@ Payloads are stored losslessly as binary PGM images: rows of 64 samples of 8
 bits. Features are computed from samples that were read back from the stored
 form.
 
-Cases: a null text or page is empty, and an empty text's payload is one row of
+Cases: any string is a page, read in linear time (``markup`` says what becomes of
+malformed tags); a null text or page is empty, and an empty text's payload is one row of
 zeros; texts are stored whole; equal payloads are one medium, however many
 references there are; a reference whose digest is unknown stays, with null media
 columns; an empty table gives an empty result; other columns of the input are
@@ -23,7 +24,6 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tryloom.llm.chunks import bounded, column
+from tryloom.llm.markup import scan
 from tryloom.llm.shared import table, written
 
 #: Samples in a row of a stored image.
@@ -44,19 +45,19 @@ ELEMENT = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", p
 _ELEMENT = "struct<position:int,kind:string,text:string,ref:string,caption:string>"
 
 
-class _Sequence(HTMLParser):
-    """Texts and media references of a page, in order."""
+class Sequence:
+    """Texts and media references of a page, in order, from its tags and text as ``markup.scan`` gives them."""
 
     MEDIA = {"img": "image", "audio": "audio", "video": "video", "source": "source"}
     SILENT = {"script", "style", "template", "noscript"}
     BLOCKS = {"p", "div", "br", "li", "ul", "ol", "tr", "td", "th", "table", "section", "article", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "hr"}
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.out: list[dict] = []
         self.held: list[str] = []
         self.silent = 0
         self.caption: list[str] | None = None
+        self.captioned = False
         self.waiting: str | None = None
         self.figures = 0
 
@@ -96,36 +97,31 @@ class _Sequence(HTMLParser):
         self.drop_waiting()
 
     def block(self, tag: str) -> None:
-        if self.caption is not None and not "".join(self.caption).strip():
+        if self.caption is not None and not self.captioned:
             return  # a block that opens within an empty caption belongs to it
         self.close_caption()
         self.flush()
         if tag == "figure":
             self.drop_waiting()
 
-    def handle_starttag(self, tag, attrs):
+    def opened(self, tag: str, attributes: dict[str, str | None], alone: bool) -> None:
         if tag in self.SILENT:
-            self.silent += 1
+            self.silent += not alone
         elif tag in self.MEDIA:
-            found = dict(attrs)
-            if found.get("src"):
+            if attributes.get("src"):
                 self.close_caption()
                 self.flush()
-                self.add(self.MEDIA[tag], ref=found["src"], caption=self.waiting or found.get("alt") or found.get("title"))
+                self.add(self.MEDIA[tag], ref=attributes["src"], caption=self.waiting or attributes.get("alt") or attributes.get("title"))
                 self.waiting = None
         elif tag == "figcaption":
             self.close_caption()
             self.flush()
-            self.caption = []
+            self.caption, self.captioned = [], False
         elif tag in self.BLOCKS:
             self.block(tag)
             self.figures += tag == "figure"
 
-    def handle_startendtag(self, tag, attrs):
-        if tag not in self.SILENT:
-            self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
+    def closed(self, tag: str) -> None:
         if tag in self.SILENT:
             self.silent = max(0, self.silent - 1)
         elif tag == "figcaption":
@@ -138,18 +134,21 @@ class _Sequence(HTMLParser):
         elif tag in self.BLOCKS and self.caption is None:
             self.block(tag)
 
-    def handle_data(self, data):
+    def text(self, data: str) -> None:
         if self.silent:
             return
-        (self.held if self.caption is None else self.caption).append(data)
+        if self.caption is None:
+            self.held.append(data)
+        else:
+            self.caption.append(data)
+            self.captioned = self.captioned or bool(data.strip())
 
 
 def sequence(html: str | None) -> list[dict]:
-    parser = _Sequence()
-    parser.feed(html or "")
-    parser.close()
-    parser.finish()
-    return parser.out
+    page = Sequence()
+    scan(html or "", page.opened, page.closed, page.text)
+    page.finish()
+    return page.out
 
 
 def sequences(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
