@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import base64
 import functools
+import glob
 import hashlib
 import os
+import shutil
 import tempfile
 from collections.abc import Iterator
 
@@ -136,6 +138,10 @@ class Codec:
                     merged.append(rank)
         # what a query cannot hold in memory goes to a folder of this worker, made when it is needed
         spill = f"{tempfile.gettempdir()}/pieces-{os.getpid()}"
+        for left in glob.glob(f"{tempfile.gettempdir()}/pieces-*"):
+            # a worker is ended without notice, so the next one removes what it has left
+            if not os.path.exists(f"/proc/{left.rpartition('-')[2]}"):
+                shutil.rmtree(left, ignore_errors=True)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": spill, "preserve_insertion_order": False})
         self._load("merges", {"pair": pa.array(pairs, pa.uint32()), "merged": pa.array(merged, pa.uint16())})
         # As text, each byte is the character of its number.

@@ -192,7 +192,11 @@ def labelled(nodes: DataFrame, parts: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` and ``n_rows`` of every document."""
-    small_batches(docs)
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, words, percent)
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     signed = written(signatures(docs, words), "signatures")
     rows = signed.groupBy("doc_id").agg(F.min(F.struct("digest", "n_shingles", "keys")).alias("s"), F.count("*").alias("n_rows")).select("doc_id", "n_rows", "s.*")
     node = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "keys")).alias("s")).select("digest", F.col("s.doc_id").alias("node"), F.col("s.keys").alias("keys"))

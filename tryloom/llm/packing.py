@@ -71,8 +71,8 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, key: str) -> DataFr
 
 def packed(docs: DataFrame, vocabulary: str, length: int = 4096, end_id: int = 2, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """One row per piece, with its sequence, its offset there and, if asked, its ``ids``."""
-    small_batches(docs)
-    runs = written(tokenized(docs, vocabulary, end_id, key), "packing")
+    with small_batches(docs.sparkSession):
+        runs = written(tokenized(docs, vocabulary, end_id, key), "packing")
     totals = runs.groupBy("part").agg(F.sum("doc_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per task of the first pass
     bases = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,15 +28,35 @@ def checkpoint_root(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: This driver's folder below the shared one.
+_OWN = f"tables-{uuid.uuid4().hex}"
+
+
+def folder(spark: SparkSession) -> str:
+    """Where this driver's intermediate tables lie: below the shared folder. It is deleted when the driver's JVM ends."""
+    path = f"{checkpoint_root(spark)}/{_OWN}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(at):
+        system.mkdirs(at)
+        system.deleteOnExit(at)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this driver; results that still read them must have been written before."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder(spark))
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
     This cuts the lineage, survives the loss of an executor, and lets later
-    reads prune columns. The folder belongs to the application's checkpoint
-    folder and goes with it.
+    reads prune columns. The table goes when the driver ends, or with ``clear``.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -46,15 +68,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 #: Rows of texts in a batch that Spark hands to Python at once.
-TEXT_ROWS = "2000"
+TEXT_ROWS = 2000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def small_batches(df: DataFrame) -> None:
-    """Texts are long for rows, so their batches hold fewer of them where the session leaves Spark's own number."""
-    conf = df.sparkSession.conf
-    if conf.get(_BATCH) == "10000":
-        conf.set(_BATCH, TEXT_ROWS)
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
+    """Within it, jobs hand at most ``rows`` rows to Python at once; after it, the session is as before.
+
+    For steps that are written at once: Spark reads the setting when a job runs.
+    """
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

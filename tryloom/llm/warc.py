@@ -16,7 +16,7 @@ than it says, or a digest that differs is an error that names file and offset.
 Only ids and digests of pages are grouped; pages themselves are shuffled only if
 the payloads that occur more than once are too many to be broadcast.
 
-Cases: a null payload is empty; a null url is left out; a url keeps any
+Cases: a null payload is empty; a null url, or a table without urls, leaves it out; a url keeps any
 character (percent-encoded in the header); a null id comes after all others, and
 a payload that only such rows have has responses with a null id; rows that repeat
 an id with the same payload are of the same type; a payload takes any length that
@@ -40,7 +40,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tryloom.llm.shared import checkpoint_root, id_side, table, written
+from tryloom.llm.shared import folder as own_folder
+from tryloom.llm.shared import id_side, table, written
 
 VERSION = b"WARC/1.1"
 #: The profile of records that repeat a payload (a fixed value).
@@ -101,7 +102,8 @@ def member(data: bytes, level: int = 6) -> bytes:
 def typed(pages: DataFrame, least: int = 0) -> DataFrame:
     """``page_id``, ``url``, ``payload`` (bytes), ``record_type`` and ``response_id`` (for revisits) of each page."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", payload.alias("payload"), F.unhex(F.sha2(payload, 256)).alias("digest"))
+    url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
+    rows = pages.select("page_id", url.alias("url"), payload.alias("payload"), F.unhex(F.sha2(payload, 256)).alias("digest"))
     several = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("digest", "first_id")
     firsts = written(several, "warc-firsts").withColumn("known", F.lit(True))
     joined = rows.join(id_side(firsts), "digest", "left")
@@ -110,7 +112,7 @@ def typed(pages: DataFrame, least: int = 0) -> DataFrame:
 
 
 def archived(pages: DataFrame, folder: str, least: int = 0, roll: int = ROLL) -> DataFrame:
-    """Writes ``pages`` (``page_id``, ``url``, ``html``) below ``folder``, which all executors share, and returns the manifest."""
+    """Writes ``pages`` (``page_id``, ``html`` and, if there, ``url``) below ``folder``, which all executors share, and returns the manifest."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = opened(folder)
@@ -275,10 +277,9 @@ def records(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
 
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of ``pages`` through an archive and back."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages = table(spark, sf_dir, "pages")
     kind = pages.schema["page_id"].dataType
-    folder = f"{checkpoint_root(spark)}/warc-{uuid.uuid4().hex}"
-    found = records(archived(pages, folder), with_payload=False)
+    found = records(archived(pages, f"{own_folder(spark)}/warc-{uuid.uuid4().hex}"), with_payload=False)
     return found.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page_id").cast(kind).alias("refers_to"))
 
 
