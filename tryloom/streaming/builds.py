@@ -1,7 +1,11 @@
 """Live build logs: the rules of ``operators.logs`` over a stream of lines.
 
 Each build is one key. Lines carry event time; a watermark says how late one may
-be; Spark drops and counts later ones (``late_rows``). Order within a build is by line number.
+be. Lines are applied in the order of their numbers, however they fall into
+batches: one that comes early is held until those before it are there, or until
+the watermark has passed it, after which they can only be late. A number that was
+applied or is held already is a repetition and counts once. Time must not fall
+with the line's number. ``gate`` counts the lines that come too late.
 """
 
 from __future__ import annotations
@@ -14,99 +18,122 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tryloom.operators.logs import ACTIVITY_S, LOOPS, STARTUP_EXTRA_S, WALL_S, events
+from tryloom.streaming.cpu import cpu_windows, tree_cpu  # noqa: F401  (part of what is watched of a build)
 
 WATERMARK = "1 minute"
-_STATE = "start double, last double, last_line long, phase boolean, key string, run int, done boolean"
+_FIELDS = ("start", "last", "next", "phase", "key", "run")
+_STATE = "start double, last double, next long, phase boolean, key string, run int"
+_LINE = "at double, kind string, is_phase boolean, loop_key string, final boolean"
 
 
 class BuildWatch(StatefulProcessor):
-    """Emits the first budget that a build breaks: at a line that completes a loop, or at a timer."""
+    """Emits the first budget that a build breaks: at a line that completes a loop or ends a gap, or at a timer.
 
-    def __init__(self, activity: float = ACTIVITY_S, wall: float = WALL_S, threshold: int = LOOPS, load: float = 1.0, keep_s: float = 3600.0):
-        self.activity, self.wall, self.threshold, self.load, self.keep_s = activity, wall, threshold, load, keep_s
+    ``first`` is the number of a log's first line; without it, the first line is
+    the least that is held when the watermark passes it.
+    """
+
+    def __init__(self, activity: float = ACTIVITY_S, wall: float = WALL_S, threshold: int = LOOPS, load: float = 1.0, keep_s: float = 3600.0, first: int | None = None):
+        self.activity, self.wall, self.threshold, self.load, self.keep_s, self.first = activity, wall, threshold, load, keep_s, first
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("build", _STATE)
+        self.held = handle.getMapState("held", "line_no long", _LINE)
         # a build that is over: what is left of it, until lines for it can only be late
         self.over = handle.getValueState("over", "until double")
 
-    def _row(self, key, reason: str, at: float, start: float) -> pd.DataFrame:
-        return pd.DataFrame({"build_id": [str(key[0])], "reason": [reason], "at_s": [at - start]})
-
-    def _due(self, s: dict, now: float) -> tuple[str, float] | None:
-        """The budget broken by ``now`` and when it was; at equal times the wall's."""
-        wall = s["start"] + self.wall * self.load
-        idle = s["last"] + (self.activity + (0 if s["phase"] else STARTUP_EXTRA_S)) * self.load
-        found = [(at, rank, reason) for at, rank, reason in ((wall, 0, "wall"), (idle, 2, "activity")) if at <= now]
-        return (min(found)[2], min(found)[0]) if found else None
+    def _idle(self, s: dict) -> float:
+        """When the idle time is over that began with the last line."""
+        return s["last"] + (self.activity + (0 if s["phase"] else STARTUP_EXTRA_S)) * self.load
+
+    def _due(self, s: dict, now: float) -> tuple[float, int, str] | None:
+        """The budget broken by ``now``: when, and in which order at equal times."""
+        found = ((s["start"] + self.wall * self.load, 0, "wall"), (self._idle(s), 2, "activity"))
+        return min((f for f in found if f[0] <= now), default=None)
+
+    def _apply(self, s: dict | None, line: tuple) -> tuple[dict, tuple[float, int, str] | None]:
+        """The state after a line, and the budget that is broken at it or before it."""
+        at, kind, is_phase, loop_key, _ = line
+        s = s or {"start": at, "last": at, "next": 0, "phase": False, "key": "", "run": 0}
+        broken = [self._due(s, at)]
+        s["run"] = 0 if kind != "loop" else s["run"] + 1 if s["run"] and loop_key == s["key"] else 1
+        s["key"] = loop_key
+        if s["run"] >= self.threshold * self.load:
+            broken.append((at, 1, "loop_progress"))
+        s["last"], s["phase"] = at, s["phase"] or is_phase
+        return s, min((b for b in broken if b), default=None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        lines = pd.concat(list(rows)).sort_values("line_no")
+        lines = pd.concat(list(rows))
         if self.over.exists():
             return
-        if self.state.exists():
-            s = dict(zip(("start", "last", "last_line", "phase", "key", "run", "done"), self.state.get(), strict=True))
-        else:
-            first = float(lines["at"].iloc[0])
-            s = {"start": first, "last": first, "last_line": -1, "phase": False, "key": "", "run": 0, "done": False}
-        for line in lines.itertuples():
-            if s["done"] or line.line_no <= s["last_line"]:
-                continue
-            at = float(line.at)
-            due = self._due(s, at)
-            s["last_line"] = int(line.line_no)
-            if line.kind == "loop":
-                s["run"] = s["run"] + 1 if line.loop_key == s["key"] and s["run"] else 1
-                s["key"] = line.loop_key
-            else:
-                s["run"] = 0
-            looped = s["run"] >= self.threshold * self.load
-            if due and not (looped and due[0] == "activity" and due[1] >= at):
-                yield self._row(key, due[0], due[1], s["start"])
-                s["done"] = True
-            elif looped:
-                yield self._row(key, "loop_progress", at, s["start"])
-                s["done"] = True
-            s["last"], s["phase"] = at, s["phase"] or bool(line.is_phase)
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if s["done"]:
-            self._finish(float(lines["at"].max()))
-        else:
-            self.state.update(tuple(s.values()))
-            idle = s["last"] + (self.activity + (0 if s["phase"] else STARTUP_EXTRA_S)) * self.load
-            self.handle.registerTimer(int(min(idle, s["start"] + self.wall * self.load) * 1000) + 1)
-
-    def _finish(self, at: float) -> None:
-        """Drops a build's state; a mark stays for ``keep_s`` of event time, so that its further lines open no new one."""
-        self.state.clear()
-        self.over.update((at + self.keep_s,))
-        self.handle.registerTimer(int((at + self.keep_s) * 1000))
+        s = dict(zip(_FIELDS, self.state.get(), strict=True)) if self.state.exists() else None
+        known = {n for (n,) in self.held.keys()}
+        for n, at, kind, is_phase, loop_key, final in zip(*(lines[c].tolist() for c in ("line_no", "at", "kind", "is_phase", "loop_key", "final")), strict=True):
+            if n not in known and not (s and n < s["next"]):
+                known.add(n)
+                self.held.updateValue((int(n),), (float(at), kind, bool(is_phase), loop_key, bool(final)))
+        yield from self._advance(key, s, timerValues.getCurrentWatermarkInMs() / 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() / 1000
         if self.over.exists():
-            self.over.clear()
+            if self.over.get()[0] <= now:
+                self.over.clear()
             return
-        if not self.state.exists():
+        s = dict(zip(_FIELDS, self.state.get(), strict=True)) if self.state.exists() else None
+        if s or self.held.exists():
+            yield from self._advance(key, s, now)
+
+    def _advance(self, key, s: dict | None, now: float) -> Iterator[pd.DataFrame]:
+        """Applies the held lines that nothing can come before any more, then what the time has broken."""
+        broken, ended, waits = None, False, None
+        for (n,), line in sorted(self.held.iterator()):
+            if n != (s["next"] if s else self.first) and line[0] > now:
+                waits = line[0]
+                break
+            s, broken = self._apply(s, line)
+            s["next"] = n + 1
+            self.held.removeKey((n,))
+            ended = bool(line[4])
+            if broken or ended:
+                break
+        if s and not broken and not ended:
+            broken = self._due(s, now)
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if broken:
+            yield pd.DataFrame({"build_id": [str(key[0])], "reason": [broken[2]], "at_s": [broken[0] - s["start"]]})
+        if broken or ended:
+            # A mark stays for a time, so that further lines of the build open no new one.
+            until = max(now, s["last"]) + self.keep_s
+            self.state.clear()
+            self.held.clear()
+            self.over.update((until,))
+            self.handle.registerTimer(int(until * 1000) + 1)
             return
-        s = dict(zip(("start", "last", "last_line", "phase", "key", "run", "done"), self.state.get(), strict=True))
-        due = self._due(s, expiredTimerInfo.getExpiryTimeInMs() / 1000)
-        if due and not s["done"]:
-            yield self._row(key, due[0], due[1], s["start"])
-            self._finish(expiredTimerInfo.getExpiryTimeInMs() / 1000)
+        if s:
+            self.state.update(tuple(s[f] for f in _FIELDS))
+            due = min(self._idle(s), s["start"] + self.wall * self.load)
+            waits = due if waits is None else min(waits, due)
+        if waits is not None:
+            self.handle.registerTimer(int(waits * 1000) + 1)
 
     def close(self) -> None:
         pass
 
 
 def watched(lines: DataFrame, watermark: str = WATERMARK, **budgets: float) -> DataFrame:
-    """``build_id``, ``reason`` and ``at_s`` of every build of a stream that breaks a budget.
+    """``build_id``, ``reason`` and ``at_s`` of every build of a stream that breaks a budget: what ``logs.kills`` says of the whole logs.
 
-    ``lines`` has ``build_id``, ``line_no``, ``ts`` and ``text``. Needs the RocksDB state store.
+    ``lines`` has ``build_id``, ``line_no``, ``ts`` and ``text``, and may have ``final``: whether the build ended with
+    the line. A build without such a line is followed on and breaks a budget in the end. Needs the RocksDB state store.
     """
-    rows = events(lines.withColumn("t_s", F.lit(0.0))).withWatermark("ts", watermark)
-    used = rows.select("build_id", "line_no", "ts", F.unix_micros("ts").cast("double").alias("_us"), "kind", "is_phase", F.concat_ws("|", "loop_theory", "loop_line", "loop_command").alias("loop_key")).withColumn("at", F.col("_us") / 1e6).drop("_us")
+    final = F.coalesce("final", F.lit(False)) if "final" in lines.columns else F.lit(False)
+    rows = events(lines.withColumns({"t_s": F.lit(0.0), "final": final})).withWatermark("ts", watermark)
+    place = F.concat_ws("|", "loop_theory", "loop_line", "loop_command").alias("loop_key")
+    used = rows.select("build_id", "line_no", "ts", (F.unix_micros("ts").cast("double") / 1e6).alias("at"), "kind", "is_phase", place, "final")
     return used.groupBy("build_id").transformWithStateInPandas(BuildWatch(**budgets), "build_id string, reason string, at_s double", "append", "eventTime")
 
 
@@ -116,49 +143,11 @@ def sessions_started(lines: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     return rows.dropDuplicatesWithinWatermark(["build_id", "session"]).select("build_id", "session", "verb", "ts")
 
 
-def cpu_windows(samples: DataFrame, watermark: str = WATERMARK, window: str = "15 seconds", slide: str = "5 seconds") -> DataFrame:
-    """Cores that each build used over sliding windows of its samples (``build_id``, ``ts``, ``cpu_s`` of the tree)."""
-    per = samples.withWatermark("ts", watermark).groupBy("build_id", F.window("ts", window, slide).alias("w")).agg(F.min("cpu_s").alias("c0"), F.max("cpu_s").alias("c1"), F.min("ts").alias("t0"), F.max("ts").alias("t1"))
-    span = (F.unix_micros("t1") - F.unix_micros("t0")) / 1e6
-    return per.select("build_id", F.col("w.end").alias("window_end"), F.when(span > 0, (F.col("c1") - F.col("c0")) / span).alias("duty"))
-
-
 def late_rows(run: StreamingQuery) -> int:
-    """Rows that came behind the watermark, which the state operators of a running query have dropped so far."""
+    """Rows that came behind the watermark, as the state operators of a running query have dropped them in its last updates; ``gate.late_counts`` has all of them."""
     return sum(op.get("numRowsDroppedByWatermark", 0) for progress in run.recentProgress for op in progress["stateOperators"])
 
 
-class TreeCpu(StatefulProcessor):
-    """CPU of a build's whole process tree so far, at each sample: of each process the most that it has shown."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.most = handle.getMapState("most", "pid long", "cpu_s double")
-        self.total = handle.getValueState("total", "cpu_s double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        samples = pd.concat(list(rows)).sort_values(["ts", "pid"])
-        total = self.total.get()[0] if self.total.exists() else 0.0
-        out = []
-        for at, group in samples.groupby("ts", sort=True):
-            for pid, cpu in zip(group["pid"].tolist(), group["cpu_s"].tolist(), strict=True):
-                known = self.most.getValue((pid,))[0] if self.most.containsKey((pid,)) else 0.0
-                if cpu > known:
-                    total += cpu - known
-                    self.most.updateValue((pid,), (cpu,))
-            out.append((str(key[0]), at, total))
-        self.total.update((total,))
-        yield pd.DataFrame(out, columns=["build_id", "ts", "cpu_s"])
-
-    def close(self) -> None:
-        pass
-
-
-def tree_cpu(samples: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """``build_id``, ``ts`` and ``cpu_s`` (of the tree) from a stream of samples of processes (``build_id``, ``pid``, ``ts``, ``cpu_s``), for ``cpu_windows``."""
-    rows = samples.withWatermark("ts", watermark).select("build_id", F.col("pid").cast("long").alias("pid"), "ts", F.col("cpu_s").cast("double").alias("cpu_s"))
-    return rows.groupBy("build_id").transformWithStateInPandas(TreeCpu(), "build_id string, ts timestamp, cpu_s double", "append", "eventTime")
-
-
 def rolling(attempts: DataFrame, path: str, checkpoint: str):
     """Keeps the episodes of a growing corpus, closed and open, as a Parquet folder; ``rolled`` reads it.
 
