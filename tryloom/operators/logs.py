@@ -7,10 +7,13 @@ goes by blocks of its lines, or is cut to a few rows before it is shuffled.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tryloom.functions.scalars import root_sessions  # noqa: F401  (part of the log vocabulary)
+from tryloom.operators import ordered
 from tryloom.operators.ordered import running_count, with_previous
 
 # How the build tool words its lines.
@@ -82,16 +85,63 @@ def kills(found: DataFrame, ends: DataFrame | None = None, activity: float = ACT
     A wall budget breaks when it has passed, a loop at the warning that completes it, an idle time when it
     has passed since the last line (with more before the first phase line). At equal times the order is wall,
     loop, activity. ``ends`` (``build_id``, ``end_s``) says how long a log was followed; else it ends at its last line.
+
+    One pass over blocks of a build's lines leaves a row a block; these are folded in order, each with the last lines before it.
     """
-    begun = found.groupBy("build_id").agg(F.min(F.when(F.col("is_phase"), F.col("line_no"))).alias("_begun"), F.max_by("t_s", "line_no").alias("_last_s"), F.max("line_no").alias("_last_line"))
-    rows = _with_runs(found).join(begun, "build_id")
-    idle = lambda line: F.when(line >= F.col("_begun"), activity).otherwise(activity + STARTUP_EXTRA_S) * load
-    # a gap shows at the line that ends it
-    first = F.when(F.col("t_s") - F.col("_p.t_s") >= idle(F.col("_p.line_no")), F.col("_p.t_s") + idle(F.col("_p.line_no")))
-    looped = F.when(F.col("run") >= threshold * load, F.col("t_s"))
-    per = rows.groupBy("build_id").agg(F.min(first).alias("a"), F.min(looped).alias("l"), F.max("t_s").alias("end"), F.first("_last_s").alias("_last_s"), F.first("_last_line").alias("_last_line"), F.first("_begun").alias("_begun"))
+    need = max(1, math.ceil(threshold * load))  # warnings of one place in a row
+    short, long = activity * load, (activity + STARTUP_EXTRA_S) * load
+    place = F.when(F.col("kind") == "loop", F.concat_ws("|", "loop_theory", "loop_line", "loop_command"))
+    rows = found.select("build_id", "line_no", F.col("t_s").cast("double").alias("t_s"), F.coalesce("is_phase", F.lit(False)).alias("is_phase"), place.alias("place"), F.floor(F.col("line_no") / ordered.BLOCK).alias("block"))
+    w = Window.partitionBy("build_id", "block").orderBy("line_no")
+    upto = w.rowsBetween(Window.unboundedPreceding, -1)
+    # the last places up to this line, and how many of them there are in the block
+    lately = F.array(*[F.lag("place", k).over(w) for k in range(need - 1, 0, -1)], F.col("place"))
+    rows = rows.withColumns({"n": F.row_number().over(w), "before_s": F.lag("t_s").over(w), "begun": F.coalesce(F.max("is_phase").over(upto), F.lit(False)), "lately": lately})
+    repeats = F.col("place").isNotNull() & (F.col("n") >= need) & F.forall("lately", lambda p: F.coalesce(p == F.col("place"), F.lit(False)))
+    gap = F.col("t_s") - F.col("before_s")
+    idle = F.when(F.col("begun"), short).otherwise(long)
+    head = F.when(F.col("n") < need, F.struct("n", "place", "t_s"))
+    parts = rows.groupBy("build_id", "block").agg(
+        F.min(F.when(gap >= idle, F.col("before_s") + idle)).alias("a"),
+        F.min(F.when(gap >= short, F.col("before_s") + short)).alias("a_begun"),
+        F.min(F.when(repeats, F.col("t_s"))).alias("l"),
+        F.max("t_s").alias("end"),
+        F.min_by("t_s", "line_no").alias("first_s"),
+        F.max_by("t_s", "line_no").alias("last_s"),
+        F.max("is_phase").alias("phase"),
+        F.array_sort(F.collect_list(head)).alias("head"),
+        F.max_by(F.struct("lately", "n"), "line_no").alias("tail"),
+    )
+    whole = parts.groupBy("build_id").agg(F.array_sort(F.collect_list(F.struct("block", *[c for c in parts.columns if c not in ("build_id", "block")]))).alias("blocks"))
+    none = F.lit(None).cast("double")
+    start = F.struct(none.alias("a"), none.alias("l"), none.alias("end"), none.alias("last_s"), F.lit(False).alias("phase"), F.array().cast("array<string>").alias("places"))
+
+    def fold(acc: Column, b: Column) -> Column:
+        since = F.when(acc["phase"], short).otherwise(long)
+        waited = F.when(b["first_s"] - acc["last_s"] >= since, acc["last_s"] + since)
+        both = F.concat(acc["places"], F.transform(b["head"], lambda x: x["place"]))
+        at = F.size(acc["places"])
+
+        def spans(x: Column) -> Column:
+            last = F.slice(both, F.greatest(at + x["n"] - need + 1, F.lit(1)), F.lit(need))
+            return x["place"].isNotNull() & (at + x["n"] >= need) & F.forall(last, lambda p: F.coalesce(p == x["place"], F.lit(False)))
+
+        first = F.array_min(F.transform(F.filter(b["head"], spans), lambda x: x["t_s"]))
+        own = F.slice(b["tail"]["lately"], F.greatest(need - b["tail"]["n"] + 1, F.lit(1)), F.lit(need))
+        kept = F.concat(acc["places"], own)
+        return F.struct(
+            F.least(acc["a"], waited, F.when(acc["phase"], b["a_begun"]).otherwise(b["a"])).alias("a"),
+            F.least(acc["l"], first, b["l"]).alias("l"),
+            F.greatest(acc["end"], b["end"]).alias("end"),
+            b["last_s"].alias("last_s"),
+            (acc["phase"] | b["phase"]).alias("phase"),
+            F.slice(kept, F.greatest(F.size(kept) - need + 2, F.lit(1)), F.lit(need - 1)).alias("places"),
+        )
+
+    per = whole.select("build_id", F.aggregate("blocks", start, fold).alias("s")).select("build_id", "s.a", "s.l", "s.end", "s.last_s", "s.phase")
     if ends is not None:
-        open_ = F.when(F.col("end_s") - F.col("_last_s") >= idle(F.col("_last_line")), F.col("_last_s") + idle(F.col("_last_line")))
+        since = F.when(F.col("phase"), short).otherwise(long)
+        open_ = F.when(F.col("end_s") - F.col("last_s") >= since, F.col("last_s") + since)
         per = per.join(ends, "build_id", "left").withColumns({"a": F.least("a", open_), "end": F.greatest("end", "end_s")})
     trigger = lambda at, rank, name: F.when(at.isNotNull(), F.struct(at.cast("double").alias("at_s"), F.lit(rank).alias("rank"), F.lit(name).alias("reason")))
     over = F.when(F.col("end") >= wall * load, F.lit(wall * load))
@@ -127,9 +177,16 @@ def last_loop_key(found: DataFrame) -> DataFrame:
     return rows.groupBy("build_id").agg(F.max_by(F.struct("loop_theory", "loop_line", "loop_command", "loop_elapsed"), "line_no").alias("k")).select("build_id", "k.*")
 
 
+def _first_lines(rows: DataFrame, most: int) -> DataFrame:
+    """The ``most`` lines of each build with the least numbers, as ``_n``: first of its blocks of lines, then of what these leave."""
+    block = F.floor(F.col("line_no") / ordered.BLOCK)
+    near = rows.withColumn("_b", block).withColumn("_n", F.row_number().over(Window.partitionBy("build_id", "_b").orderBy("line_no"))).where(F.col("_n") <= most)
+    return near.drop("_b", "_n").withColumn("_n", F.row_number().over(_by_line())).where(F.col("_n") <= most)
+
+
 def error_heads(found: DataFrame) -> DataFrame:
     """The first two non-blank error lines, joined."""
-    rows = found.where("trim(error) <> ''").withColumn("_n", F.row_number().over(_by_line())).where("_n <= 2")
+    rows = _first_lines(found.where("trim(error) <> ''").select("build_id", "line_no", "error"), 2)
     return rows.groupBy("build_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.trim("error").alias("e")))), lambda x: x["e"]), " | ").alias("error_head"))
 
 
@@ -145,7 +202,7 @@ def failure_block(found: DataFrame, most: int = 6) -> DataFrame:
     first = found.where(error).groupBy("build_id").agg(F.min("line_no").alias("_from"))
     after = found.where(~error).join(first, "build_id").where("line_no > _from").groupBy("build_id").agg(F.min("line_no").alias("_to"))
     run = found.where(error & (F.trim("error") != "")).join(first, "build_id").join(after, "build_id", "left").where("_to IS NULL OR line_no < _to")
-    cut = run.withColumn("_n", F.row_number().over(_by_line())).where(F.col("_n") <= most)
+    cut = _first_lines(run.select("build_id", "line_no", "error"), most)
     return cut.groupBy("build_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "error"))), lambda x: x["error"]), "\n").alias("block"))
 
 
@@ -221,27 +278,56 @@ def assembled(found: DataFrame, outcomes: DataFrame, **budgets: float) -> DataFr
     return rows.select("build_id", outcome.alias("outcome"), F.when(F.col("reason").isNotNull(), 124).otherwise(F.col("exit_code")).alias("exit_code"), F.col("reason").alias("timeout_reason"), head.alias("error_head"), "error_loci", "sessions")
 
 
-def cumulative_cpu(samples: DataFrame) -> DataFrame:
+#: Seconds of a build's samples in a block.
+SAMPLES_S = 4 * 3600.0
+
+
+def _samples_block(seconds: float) -> Column:
+    return F.floor(F.col("t_s") / seconds)
+
+
+def _so_far(rows: DataFrame, keys: list[str], value: str, how, join, seconds: float) -> DataFrame:
+    """``rows`` with ``value`` replaced by ``how`` of it over all rows of ``keys`` up to this time: in blocks, and carried over them from one row a block."""
+    blocks = rows.withColumn("_block", _samples_block(seconds))
+    inside = Window.partitionBy(*keys, "_block").orderBy("t_s").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.groupBy(*keys, "_block").agg(how(value).alias("_v")).withColumn("_v", how("_v").over(before))
+    near = blocks.withColumn(value, how(value).over(inside)).join(carried, [*keys, "_block"])
+    return near.withColumn(value, F.when(F.col("_v").isNull(), F.col(value)).otherwise(join(F.col(value), F.col("_v")))).drop("_v", "_block")
+
+
+def cumulative_cpu(samples: DataFrame, block_s: float = SAMPLES_S) -> DataFrame:
     """``build_id``, ``t_s`` and ``cpu_s``: CPU of the whole tree so far.
 
-    Of each process the most it has shown; one that is gone keeps what it had.
+    Of each process the most it has shown; one that is gone keeps what it had. A task holds a block of a build's time.
     """
-    upto = Window.partitionBy("build_id", "pid").orderBy("t_s").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    most = samples.withColumn("_m", F.max("cpu_s").over(upto)).groupBy("build_id", "pid", "t_s").agg(F.max("_m").alias("_m"))
-    # What each process adds at each sample; their running sum is the tree's.
-    grown = most.withColumn("_d", F.col("_m") - F.coalesce(F.lag("_m").over(Window.partitionBy("build_id", "pid").orderBy("t_s")), F.lit(0.0)))
-    per = grown.groupBy("build_id", "t_s").agg(F.sum("_d").alias("_d"))
-    return per.select("build_id", "t_s", F.sum("_d").over(Window.partitionBy("build_id").orderBy("t_s")).alias("cpu_s"))
+    shown = samples.groupBy("build_id", "pid", "t_s").agg(F.max("cpu_s").alias("cpu_s"))
+    most = _so_far(shown, ["build_id", "pid"], "cpu_s", F.max, F.greatest, block_s)
+    # What each process adds at each sample; their running sum is the tree's. Only a block's first sample needs the block before.
+    rows = most.withColumn("_block", _samples_block(block_s))
+    w = Window.partitionBy("build_id", "pid", "_block").orderBy("t_s")
+    edges = rows.groupBy("build_id", "pid", "_block").agg(F.max("cpu_s").alias("_e")).withColumn("_e", F.lag("_e").over(Window.partitionBy("build_id", "pid").orderBy("_block")))
+    grown = rows.withColumn("_l", F.lag("cpu_s").over(w)).join(edges, ["build_id", "pid", "_block"])
+    per = grown.groupBy("build_id", "t_s").agg(F.sum(F.col("cpu_s") - F.coalesce("_l", "_e", F.lit(0.0))).alias("cpu_s"))
+    return _so_far(per, ["build_id"], "cpu_s", F.sum, lambda own, carried: own + carried, block_s)
+
 
+def duty_cycles(cpu: DataFrame, window: float = CPU_WINDOW_S, least_span: float = 5.0, block_s: float = SAMPLES_S) -> DataFrame:
+    """``duty``: cores used over a trailing window; null with one sample, a short span or a falling count.
 
-def duty_cycles(cpu: DataFrame, window: float = CPU_WINDOW_S, least_span: float = 5.0) -> DataFrame:
-    """``duty``: cores used over a trailing window; null with one sample, a short span or a falling count."""
-    w = Window.partitionBy("build_id").orderBy("t_s").rangeBetween(-int(window), 0)
+    Blocks of a build's time overlap: each is given what the window of its first sample reaches back to.
+    """
+    block_s = max(block_s, window)
+    own = _samples_block(block_s)
+    # a row within a window of the next block's begin goes there too
+    next_ = F.when(F.col("t_s") + int(window) >= (own + 1) * block_s, own + 1)
+    rows = cpu.withColumn("_own", own).withColumn("_block", F.explode(F.array_compact(F.array(own, next_))))
+    w = Window.partitionBy("build_id", "_block").orderBy("t_s").rangeBetween(-int(window), 0)
     c0, t0, n = F.first("cpu_s").over(w), F.first("t_s").over(w), F.count("*").over(w)
-    rows = cpu.withColumns({"_c0": c0, "_t0": t0, "_n": n})
+    rows = rows.withColumns({"_c0": c0, "_t0": t0, "_n": n}).where("_own = _block")
     span = F.col("t_s") - F.col("_t0")
     good = (F.col("_n") >= 2) & (span >= least_span) & (F.col("cpu_s") >= F.col("_c0"))
-    return rows.withColumn("duty", F.when(good, (F.col("cpu_s") - F.col("_c0")) / span)).drop("_c0", "_t0", "_n")
+    return rows.withColumn("duty", F.when(good, (F.col("cpu_s") - F.col("_c0")) / span)).drop("_c0", "_t0", "_n", "_own", "_block")
 
 
 def contention(duty: Column, cap: float = 4.0) -> Column:

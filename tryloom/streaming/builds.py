@@ -29,11 +29,12 @@ _LINE = "at double, kind string, is_phase boolean, loop_key string, final boolea
 class BuildWatch(StatefulProcessor):
     """Emits the first budget that a build breaks: at a line that completes a loop or ends a gap, or at a timer.
 
-    ``first`` is the number of a log's first line; without it, the first line is
-    the least that is held when the watermark passes it.
+    ``first`` is the number of a log's first line, which is applied at once. A log
+    that begins with another, or any if it is null, begins with the least number
+    that is held when the watermark passes it.
     """
 
-    def __init__(self, activity: float = ACTIVITY_S, wall: float = WALL_S, threshold: int = LOOPS, load: float = 1.0, keep_s: float = 3600.0, first: int | None = None):
+    def __init__(self, activity: float = ACTIVITY_S, wall: float = WALL_S, threshold: int = LOOPS, load: float = 1.0, keep_s: float = 3600.0, first: int | None = 0):
         self.activity, self.wall, self.threshold, self.load, self.keep_s, self.first = activity, wall, threshold, load, keep_s, first
 
     def init(self, handle: StatefulProcessorHandle) -> None:
