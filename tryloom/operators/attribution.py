@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tryloom.functions.argv import build_options, load_dirs, targets
 from tryloom.functions.scalars import root_sessions
+from tryloom.operators.components import components
 from tryloom.operators.diffs import KEY, file_verdicts, files, lines, parent, theory_moves
 from tryloom.operators.episodes import EPISODE
 from tryloom.sources.shared import settled
@@ -51,21 +52,8 @@ def collisions(dirs: DataFrame) -> DataFrame:
 
 
 def move_aliases(moves: DataFrame) -> DataFrame:
-    """``short`` and ``label``: directories that theories moved between, named after the last move's destination.
-
-    Components come from labels that spread to the least directory name; there
-    are as many rounds as the longest chain of moves.
-    """
-    edges = moves.select(F.col("old_dir").alias("a"), F.col("new_dir").alias("b")).distinct()
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    part = both.select(F.col("a").alias("dir")).distinct().withColumn("part", F.col("dir"))
-    while True:
-        near = both.join(part.withColumnRenamed("dir", "b"), "b").groupBy(F.col("a").alias("dir")).agg(F.min("part").alias("least"))
-        moved = settled(part.join(near, "dir").select("dir", F.least("part", "least").alias("part"), (F.col("least") < F.col("part")).alias("new")))
-        changed = moved.where("new").limit(1).count()
-        part = moved.drop("new")
-        if not changed:
-            break
+    """``short`` and ``label``: directories that theories moved between, named after the last move's destination."""
+    part = components(moves.select(F.col("old_dir").alias("a"), F.col("new_dir").alias("b"))).withColumnRenamed("node", "dir")
     last = moves.join(part, moves["new_dir"] == part["dir"]).groupBy("part").agg(F.max_by("new_dir", F.struct("corpus_id", "seq", "file_no")).alias("dest"))
     named = part.join(last, "part").select(last_part(F.col("dir")).alias("short"), last_part(F.col("dest")).alias("label"))
     return named.where("short <> label").groupBy("short").agg(F.min("label").alias("label"))

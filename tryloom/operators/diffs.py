@@ -214,17 +214,24 @@ def projected(side: Column, depth: Column, guessed: Column) -> Column:
     def block(acc: Column, own: Column) -> Column:
         return bound(F.aggregate(own, state(acc, none), line), lambda d: state(d, F.concat(acc["out"], d["out"])))
 
-    places = F.filter(F.sequence(F.lit(0), (F.size(side) / LINES_A_BLOCK).cast("int")), lambda i: i * LINES_A_BLOCK < F.size(side))
-    blocks = F.transform(places, lambda i: F.slice(side, i * LINES_A_BLOCK + 1, LINES_A_BLOCK))
-    return F.aggregate(blocks, start, block, lambda acc: F.struct(acc["bad"].alias("bad"), acc["out"].alias("out")))
+    def walked(all_: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), (F.size(all_) / LINES_A_BLOCK).cast("int")), lambda i: i * LINES_A_BLOCK < F.size(all_))
+        blocks = F.transform(places, lambda i: F.slice(all_, i * LINES_A_BLOCK + 1, LINES_A_BLOCK))
+        return F.aggregate(blocks, start, block, lambda acc: F.struct(acc["bad"].alias("bad"), acc["out"].alias("out")))
+
+    # worked out once, not for each block
+    return bound(side, walked)
 
 
 def _changed(hunk_lines: Column, sign: Column, depth: Column, guessed: Column) -> Column:
     """``bad`` and the non-empty projections ``p`` of the lines of one sign, context lines carrying the state."""
-    seen = F.filter(hunk_lines, lambda ln: F.startswith(ln, F.lit(" ")) | F.startswith(ln, sign))
-    read = projected(F.transform(seen, lambda ln: F.substring(ln, 2, 1 << 30)), depth, guessed)
-    own = lambda out: F.transform(F.filter(F.zip_with(seen, out, lambda ln, p: F.struct(ln.alias("ln"), p.alias("p"))), lambda x: F.startswith(x["ln"], sign) & (x["p"] != "")), lambda x: x["p"])
-    return bound(read, lambda r: F.struct(r["bad"].alias("bad"), own(r["out"]).alias("p")))
+    own = lambda seen, out: F.transform(F.filter(F.zip_with(seen, out, lambda ln, p: F.struct(ln.alias("ln"), p.alias("p"))), lambda x: F.startswith(x["ln"], sign) & (x["p"] != "")), lambda x: x["p"])
+
+    def read(seen: Column) -> Column:
+        found = projected(F.transform(seen, lambda ln: F.substring(ln, 2, 1 << 30)), depth, guessed)
+        return bound(found, lambda r: F.struct(r["bad"].alias("bad"), own(seen, r["out"]).alias("p")))
+
+    return bound(F.filter(hunk_lines, lambda ln: F.startswith(ln, F.lit(" ")) | F.startswith(ln, sign)), read)
 
 
 def code_evidence(found: DataFrame) -> DataFrame:

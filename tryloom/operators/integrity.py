@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tryloom.operators.diffs import KEY, files, hunks, normalised, short_hunks
+from tryloom.operators.diffs import KEY, bound, files, hunks, normalised, short_hunks
 from tryloom.operators.episodes import base_trees
 from tryloom.operators.ordered import with_last, with_previous
 
@@ -102,17 +102,17 @@ def replayed(attempts: DataFrame, entries: DataFrame, blobs: DataFrame) -> DataF
     old = entries.select(F.col("tree").alias("base"), F.col("path").alias("path_old"), F.col("blob_id").alias("old_id"))
     new = entries.select("tree", F.col("path").alias("path_new"), F.col("blob_id").alias("new_id"))
     both = rows.join(old, ["base", "path_old"], "left").join(new, ["tree", "path_new"], "left").join(blobs.select(F.col("blob_id").alias("old_id"), "content"), "old_id", "left")
-    text = F.split(F.coalesce("content", F.lit("")), "\n", -1)
-    empty = F.array().cast("array<string>")
-    start = F.struct(F.lit(1).alias("at"), empty.alias("out"))
+    put = lambda h: F.transform(F.filter(h["lines"], lambda ln: ~F.startswith(ln, F.lit("-"))), lambda ln: F.substring(ln, 2, 1 << 30))
+    first = lambda h: h["old_start"] + F.when(h["old_len"] == 0, 1).otherwise(0)
+    after = lambda h: F.coalesce(first(h) + h["old_len"], F.lit(1))
 
-    def step(acc: Column, h: Column) -> Column:
-        first = h["old_start"] + F.when(h["old_len"] == 0, 1).otherwise(0)
-        kept = F.slice(text, acc["at"], F.greatest(first - acc["at"], F.lit(0)))
-        put = F.transform(F.filter(h["lines"], lambda ln: ~F.startswith(ln, F.lit("-"))), lambda ln: F.substring(ln, 2, 1 << 30))
-        return F.struct((first + h["old_len"]).alias("at"), F.concat(acc["out"], kept, put).alias("out"))
+    def assembled(x: Column) -> Column:
+        # Each hunk copies the old lines since the hunk before it, so the file is copied once.
+        old = lambda begin, end: F.slice(x["text"], begin, F.greatest(end - begin, F.lit(0)))
+        parts = F.transform(x["hs"], lambda h, i: F.concat(old(after(F.when(i > 0, F.get(x["hs"], i - 1))), first(h)), put(h)))
+        return F.concat(F.flatten(parts), old(after(F.element_at(x["hs"], -1)), F.size(x["text"]) + 1))
 
-    made = F.aggregate("hs", start, step, lambda acc: F.concat(acc["out"], F.slice(text, acc["at"], F.greatest(F.size(text) - acc["at"] + 1, F.lit(0)))))
+    made = bound(F.struct("hs", F.split(F.coalesce("content", F.lit("")), "\n", -1).alias("text")), assembled)
     body = F.array_join(made, "\n")
     known = F.col("content").isNotNull() & F.col("new_id").isNotNull()
     return both.withColumn("made_id", blob_id(body)).select(*KEY, "file_no", "path_new", F.when(~known, "skipped").when(F.col("made_id") == F.col("new_id"), "ok").otherwise("bad").alias("verdict"))

@@ -89,18 +89,33 @@ def two_proportion_test(days: DataFrame) -> DataFrame:
     return t.select("n_a", "n_b", *[F.round(c, 6).alias(n) for n, c in out.items()])
 
 
+#: Up to so many days (40 bytes each) go with every replicate as one row.
+DAYS_BROADCAST = 100_000
+
+
 def bootstrap(days: DataFrame, replicates: int = 10_000, seed: str = "trials") -> DataFrame:
     """``replicate`` and ``gap`` with whole days drawn again.
 
-    Draw i of a replicate takes the day whose rank is a hash of seed,
-    replicate and i, so any engine draws alike. Only sums of days travel.
+    Draw i of a replicate takes the day whose rank is a hash of seed, replicate
+    and i, so any engine draws alike. A replicate is one row: it draws from an
+    array of the days' sums, which are counted before they are broadcast; only
+    beyond ``DAYS_BROADCAST`` draws are rows that are joined to the days.
     """
-    spark = days.sparkSession
-    ranked = days.withColumns({"rank": F.row_number().over(Window.orderBy("day")) - 1, "n_days": F.count("*").over(Window.partitionBy(F.lit(1)))})  # a row a day
-    draws = spark.range(replicates).select(F.col("id").alias("replicate")).join(ranked.select(F.col("rank").alias("i"), "n_days"), how="cross")
-    key = F.concat_ws(":", F.lit(seed), F.col("replicate").cast("string"), F.col("i").cast("string"))
-    drawn = draws.select("replicate", F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.col("n_days")).alias("rank"))
-    sums = drawn.join(ranked, "rank").groupBy("replicate").agg(*[F.sum(c).alias(c) for c in ("n_a", "x_a", "n_b", "x_b")])
+    figures = ("n_a", "x_a", "n_b", "x_b")
+    n = days.count()
+    rank = lambda replicate, i: F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), replicate.cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(max(n, 1)))
+    all_ = days.sparkSession.range(replicates).withColumnRenamed("id", "replicate")
+    if n <= DAYS_BROADCAST:
+        whole = days.agg(F.array_sort(F.collect_list(F.struct("day", *[F.col(c).cast("long").alias(c) for c in figures]))).alias("days"))
+        rows = all_.join(F.broadcast(whole), how="cross")  # one row
+        drawn = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get("days", rank(F.col("replicate"), i).cast("int")))
+        start = F.struct(*[F.lit(0).cast("long").alias(c) for c in figures])
+        total = F.aggregate(drawn, start, lambda acc, d: F.struct(*[(acc[c] + d[c]).alias(c) for c in figures]))
+        sums = rows.where(F.lit(n > 0)).select("replicate", total.alias("t")).select("replicate", "t.*")
+    else:
+        ranked = days.withColumn("rank", F.row_number().over(Window.orderBy("day")) - 1)  # a row a day
+        draws = all_.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        sums = draws.select("replicate", rank(F.col("replicate"), F.col("i")).alias("rank")).join(ranked, "rank").groupBy("replicate").agg(*[F.sum(c).alias(c) for c in figures])
     return sums.where("n_a > 0 AND n_b > 0").select("replicate", (F.col("x_a") / F.col("n_a") - F.col("x_b") / F.col("n_b")).alias("gap"))
 
 

@@ -256,7 +256,8 @@ def timeout_class(reason: Column) -> Column:
 def timeout_text(reason: Column, key: Column, count: Column, wall: Column, idle: Column, progress: Column, notes: Column) -> Column:
     """What is said of a kill. ``key`` has the last place warned of (``loop_theory`` and so on), ``progress`` a theory and its ``pct``; either may be null.
 
-    Only a completed loop is called one; the other kills say where the last warning was.
+    Only a completed loop is called one; the other kills say where the last warning was. The wording is
+    fixed values: readers of records match it. ``explained`` has the same as columns.
     """
     last = lambda comma: F.concat(F.lit(' (last: "'), key["loop_command"], F.lit('" at '), key["loop_theory"], F.lit(" line "), key["loop_line"], F.lit(comma), key["loop_elapsed"], F.lit("s)"))
     tail = F.when(F.size(notes) > 0, F.concat(F.lit("  ("), F.array_join(notes, "; "), F.lit(")"))).otherwise("")
@@ -296,6 +297,26 @@ def _so_far(rows: DataFrame, keys: list[str], value: str, how, join, seconds: fl
     return near.withColumn(value, F.when(F.col("_v").isNull(), F.col(value)).otherwise(join(F.col(value), F.col("_v")))).drop("_v", "_block")
 
 
+def explained(found: DataFrame, killed: DataFrame, wall: float = WALL_S, all_heaps: Column | None = None, duty: DataFrame | None = None) -> DataFrame:
+    """What is known of each kill (``build_id``, ``reason``, ``at_s``), as columns.
+
+    ``class``, the last place warned of (``theory``, ``line``, ``command``,
+    ``seconds``), the ``locus`` and the ``notes``: where the budget went, what
+    startup took of it, and whether the machine was busy, which needs ``duty``
+    (``build_id``, ``duty``, ``cpu_s``) at the time of the kill.
+    """
+    stuck = found.where("kind = 'progress' AND theory IS NOT NULL").groupBy("build_id").agg(F.max_by("theory", "line_no").alias("_stuck"))
+    rows = killed.join(last_loop_key(found), "build_id", "left").join(session_timeline(found, all_heaps), "build_id", "left").join(stuck, "build_id", "left")
+    rows = rows.join(duty.select("build_id", "duty", "cpu_s"), "build_id", "left") if duty is not None else rows.withColumns({c: F.lit(None).cast("double") for c in ("duty", "cpu_s")})
+    within = session_of(F.coalesce("loop_theory", "_stuck"))
+    busy = contention_note(F.when(F.col("duty").isNotNull(), contention(F.col("duty"))["verdict"]), F.col("duty"), F.col("cpu_s"), F.col("at_s"))
+    notes = F.array(*[F.coalesce(n, F.lit("")) for n in (budget_note(F.col("sessions"), within), startup_note(F.col("sessions"), F.lit(wall)), busy)])
+    return rows.select(
+        "build_id", "reason", "at_s", timeout_class(F.col("reason")).alias("class"), F.col("loop_theory").alias("theory"), F.col("loop_line").alias("line"), F.col("loop_command").alias("command"), F.col("loop_elapsed").cast("double").alias("seconds"),
+        stuck_locus(F.col("loop_theory"), F.col("loop_line"), F.col("reason")).alias("locus"), F.filter(notes, lambda n: n != "").alias("notes"),
+    )
+
+
 def cumulative_cpu(samples: DataFrame, block_s: float = SAMPLES_S) -> DataFrame:
     """``build_id``, ``t_s`` and ``cpu_s``: CPU of the whole tree so far.
 

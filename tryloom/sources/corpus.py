@@ -14,16 +14,19 @@ from tryloom.schemas import RECORD
 def scan(spark: SparkSession, path: str, large: bool = False) -> DataFrame:
     """A JSONL corpus with ``corpus_id`` (its file) and ``seq`` (its place, counted over non-blank lines).
 
-    A file is read whole to keep its order exactly. ``large`` reads lines in
-    parallel instead and orders by timestamp and build id.
+    A file is read whole. ``large`` reads its lines in parallel instead and numbers
+    them by the file's blocks, in the order in which they stand, so that no row holds a file.
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     schema = f"{RECORD}, _corrupt_record string"
-    text = spark.read.text(path, wholetext=not large).select(F.regexp_extract(F.input_file_name(), "[^/]*$", 0).alias("corpus_id"), "value")
+    name = F.regexp_extract(F.input_file_name(), "[^/]*$", 0).alias("corpus_id")
     if large:
-        rows = text.where(F.trim("value") != "").select("corpus_id", F.from_json("value", schema, options).alias("r")).select("corpus_id", "r.*")
-        return number_rows(rows, ["corpus_id"], F.substring("timestamp", 1, 10), ["timestamp", "build_id"])
-    lines = text.select("corpus_id", F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("seq", "line"))
+        # Within a block, lines are read in order by one task.
+        text = spark.read.text(path).select(name, "value", F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"))
+        numbered = number_rows(text.where(F.col("value").rlike(r"\S")), ["corpus_id"], F.col("_at"), ["_id"])
+        return numbered.select("corpus_id", "seq", F.from_json("value", schema, options).alias("r")).select("corpus_id", "seq", "r.*")
+    text = spark.read.text(path, wholetext=True).select(name, "value")
+    lines = text.select("corpus_id", F.posexplode(F.filter(F.split("value", "\n"), lambda x: x.rlike(r"\S"))).alias("seq", "line"))
     return lines.select("corpus_id", F.col("seq").cast("long"), F.from_json("line", schema, options).alias("r")).select("corpus_id", "seq", "r.*")
 
 
