@@ -81,6 +81,24 @@ def test_a_hunk_of_a_hundred_thousand_lines(spark):
     assert (found["verdict"], found["n"], found["last"]) == ("code", 25_000, "+lemma l24999") and time.time() - began < 90
 
 
+def test_a_hunk_that_replaces_fifty_thousand_lines(spark):
+    """Sides are compared by halving: what both hold is no evidence, the rest stands in order and as often."""
+    body = [f"-old {i}" for i in range(50_000)] + [f"+{'old' if i % 2 else 'new'} {i}" for i in range(50_000)] + ["+new 0"]
+    began = time.time()
+    found = diffs.file_verdicts(diffs.files(attempts(spark, [{"diff": one_hunk("A.thy", body)}]))).first()["evidence"]
+    want = [f"-old {i}" for i in range(0, 50_000, 2)] + [f"+new {i}" for i in range(0, 50_000, 2)] + ["+new 0"]
+    assert list(found) == want and time.time() - began < 60
+
+
+@pytest.mark.parametrize("few", [0, 64])
+def test_what_a_side_lacks(spark, monkeypatch, few):
+    monkeypatch.setattr(diffs, "FEW_LINES", few)
+    rng = random.Random(few)
+    rows = [([rng.choice("abcdefgh") for _ in range(rng.randint(0, 12))], [rng.choice("abcdefgh") for _ in range(rng.randint(0, 9))]) for _ in range(200)]
+    got = spark.createDataFrame(rows, "a array<string>, b array<string>").select("a", "b", diffs.lacking(F.col("a"), F.col("b")).alias("x")).collect()
+    assert all(r["x"] == [p for p in r["a"] if p not in r["b"]] for r in got)
+
+
 def test_draws_agree_with_joined_draws(spark, monkeypatch):
     days = spark.createDataFrame([(f"2026-01-{d:02}", d % 5 + 1, d % 3, d % 4 + 2, d % 2) for d in range(1, 29)], "day string, n_a long, x_a long, n_b long, x_b long")
     rows = lambda df: [(r["replicate"], round(r["gap"], 9)) for r in df.orderBy("replicate").collect()]

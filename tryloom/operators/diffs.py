@@ -234,6 +234,23 @@ def _changed(hunk_lines: Column, sign: Column, depth: Column, guessed: Column) -
     return bound(F.filter(hunk_lines, lambda ln: F.startswith(ln, F.lit(" ")) | F.startswith(ln, sign)), read)
 
 
+#: Lines up to which a side is searched from its beginning, and beyond which by halving.
+FEW_LINES = 64
+
+
+def lacking(own: Column, other: Column) -> Column:
+    """The elements of ``own`` that ``other`` lacks, in order and as often as they stand there."""
+
+    def sought(held: Column) -> Column:
+        # how many elements of the sorted side come before p
+        step = lambda p: lambda at, n: F.when((at + n <= F.size(held["s"])) & (F.get(held["s"], at + n - 1) < p), at + n).otherwise(at)
+        return F.filter(own, lambda p: ~F.coalesce(F.get(held["s"], F.aggregate(held["strides"], F.lit(0), step(p))) == p, F.lit(False)))
+
+    strides = F.filter(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), lambda n: n <= F.size(other))
+    many = bound(F.struct(F.sort_array(other).alias("s"), strides.alias("strides")), sought)
+    return F.when(F.size(other) > FEW_LINES, many).otherwise(F.filter(own, lambda p: ~F.array_contains(other, p)))
+
+
 def code_evidence(found: DataFrame) -> DataFrame:
     """``hunks`` with ``evidence``: projections on one side that the other lacks, signed.
 
@@ -256,7 +273,7 @@ def code_evidence(found: DataFrame) -> DataFrame:
     none = F.lit(None).cast("struct<old:array<string>,new:array<string>>")
     walked = F.coalesce(F.aggregate(ways, none, reading), sides(text("-"), text("+")))
     simple = (depth == 0) & ~F.exists("lines", lambda ln: ln.rlike(_TOKEN))
-    only = lambda a, b, sign: F.transform(F.filter(a, lambda p: ~F.array_contains(b, p)), lambda p: F.concat(F.lit(sign), p))
+    only = lambda a, b, sign: F.transform(lacking(a, b), lambda p: F.concat(F.lit(sign), p))
 
     def evidence(r: Column) -> Column:
         # Sides that differ in how often a line stands there, and in nothing else, have no evidence.
