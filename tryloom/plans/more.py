@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tryloom.functions import scalars
-from tryloom.operators import episodes, integrity, lengths, logs, size
+from tryloom.operators import attribution, episodes, integrity, lengths, logs, size
 from tryloom.plans import mapping, queries
 from tryloom.plans.queries import _ATTEMPTS, _EPISODES, _FIT, _SIDES, query
 from tryloom.plans.varied import _trees
@@ -169,4 +169,29 @@ def largest_record_fields(spark, sf_dir):
     return size.largest_fields(size.field_bytes(conform(mapping.attempts(spark, sf_dir)).select(*FIELDS)))
 
 
+_OUTSIDE = "CASE event_id % 4 WHEN 0 THEN concat('diff --git a/tools/b.py b/tools/b.py', chr(10), '--- a/tools/b.py', chr(10), '+++ b/tools/b.py', chr(10), '@@ -1,1 +1,2 @@', chr(10), ' x', chr(10), '+y', event_id, chr(10)) WHEN 1 THEN concat('diff --git a/t/s', user_id % 6, '/A.thy b/t/s', user_id % 6, '/A.thy', chr(10), '--- a/t/s', user_id % 6, '/A.thy', chr(10), '+++ b/t/s', user_id % 6, '/A.thy', chr(10), '@@ -1,1 +1,2 @@', chr(10), ' x', chr(10), '+lemma l', event_id, chr(10)) ELSE '' END"
+
+
+def _outside(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, attribution.Attribution]:
+    """Attempts that are episodes of their own: a tool's code, a theory, a target that nothing maps, and nothing at all."""
+    rows = mapping._read(spark, sf_dir, "events").select(
+        F.concat(F.lit("e"), "event_id").alias("corpus_id"), F.lit(0).cast("long").alias("seq"), F.concat(F.lit("b"), "event_id").alias("build_id"), F.lit("fail").alias("outcome"), F.expr(_OUTSIDE).alias("diff"),
+        F.expr("CASE WHEN event_id % 4 = 2 THEN array('isabelle', 'build', 'Z') END").alias("command"),
+    )
+    made = episodes.segment(conform(rows))
+    return made, attribution.fit(made)
+
+
+@query("tooling_episodes", "SELECT CASE event_id % 4 WHEN 0 THEN 'tooling' WHEN 1 THEN concat('s', user_id % 6) ELSE 'none' END AS project, CASE event_id % 4 WHEN 1 THEN 'diff' ELSE 'none' END AS route, count(*) AS episodes FROM events GROUP BY 1, 2")
+def tooling_episodes(spark, sf_dir):
+    rows, at = _outside(spark, sf_dir)
+    return attribution.project(rows, at).groupBy("project", "route").agg(F.count("*").alias("episodes"))
+
+
+@query("failing_residue", "SELECT count(*) FILTER (WHERE event_id % 4 > 1) AS none, count(*) FILTER (WHERE event_id % 4 = 0) AS tooling, 1::BIGINT AS unmapped, 'failing' AS status FROM events")
+def failing_residue(spark, sf_dir):
+    rows, at = _outside(spark, sf_dir)
+    return attribution.residue(rows, attribution.project(rows, at), attribution.target_usage(rows, at))
+
+
 __all__ = ["record_bytes"]
