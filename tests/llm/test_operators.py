@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -108,8 +109,35 @@ def test_minor_members_meet_everything(spark):
     sets = {1: list(range(20)), 2: list(range(1, 20)), 3: list(range(50, 70)), 4: [*range(50, 69), 99]}
     shingles = spark.createDataFrame(list(sets.items()), "node long, shingles array<long>")
     nodes = spark.createDataFrame([(n, n, True) for n in sets], "node long, component long, minor boolean")
-    pairs = near_dups.prefix_pairs(nodes, shingles, 80)
-    assert {(r["a"], r["b"]) for r in near_dups.confirmed(pairs, shingles, 80).collect()} == {(1, 2), (3, 4)}
+    buckets = spark.createDataFrame([(7, n) for n in sets], "key long, node long")
+    for frequent in (0, 256):  # with each shingle split by buckets, and with none
+        pairs = near_dups.prefix_pairs(nodes, shingles, buckets, 80, frequent)
+        assert {(r["a"], r["b"]) for r in near_dups.confirmed(pairs, shingles, 80).collect()} == {(1, 2), (3, 4)}
+
+
+def test_few_words_make_frequent_shingles(spark):
+    """Texts over a dozen words: their rarest shingles are shared by thousands, and only the planted copies are similar."""
+    rng = random.Random(5)
+    texts = [[rng.randrange(12) for _ in range(rng.randint(20, 30))] for _ in range(8000)]
+    texts += [[*t, 12 + i] for i, t in enumerate(texts[:400])]
+    sets = [set(zip(t, t[1:], strict=False)) for t in texts]
+    rows = spark.createDataFrame([(i, " ".join(f"w{x}" for x in t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    began = time.monotonic()
+    got = by_id(near_dups.near_duplicates(rows.repartition(4), words=2))
+    assert time.monotonic() - began < 90
+    # brute force, by a matrix of the sets
+    places = {x: i for i, x in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(sets), len(places)), np.float32)
+    for i, x in enumerate(sets):
+        held[i, [places[y] for y in x]] = 1
+    size, label = held.sum(axis=1), list(range(len(sets)))
+    for begin in range(0, len(sets), 1000):
+        common = held[begin : begin + 1000] @ held.T
+        for i, j in zip(*np.nonzero(100 * common >= 80 * (size[begin : begin + 1000, None] + size - common)), strict=True):
+            a, b = sorted((int(i) + begin, int(j)))
+            label[b] = min(label[b], label[a])
+    assert sum(x != i for i, x in enumerate(label)) >= 400
+    assert {i: got[i]["component_id"] for i in got} == dict(enumerate(label))
 
 
 def test_nearest(spark):

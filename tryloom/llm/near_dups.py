@@ -140,14 +140,23 @@ def confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     return both.where(fits).select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def prefix_pairs(nodes: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a``, ``b`` of ``nodes`` (``node``, ``component``, ``minor``) that may be similar enough; none that is gets lost.
+#: Sets that a shingle may be among the first of; the pairs of one that is more frequent are sought in the tables' buckets.
+FREQUENT = 256
+
+
+def prefix_pairs(nodes: DataFrame, shingles: DataFrame, buckets: DataFrame, percent: int, frequent: int = FREQUENT) -> DataFrame:
+    """Pairs ``a``, ``b`` of ``nodes`` (``node``, ``component``, ``minor``) that share one of ``buckets`` (``key``, ``node``) and may be similar enough; none that is gets lost.
 
     Sets of ``na`` and ``nb`` shingles need a certain overlap. With all
     shingles in one order, the rarest first, both sets then share one among
     their first, as many as each may miss and one more. So what a set has to
     itself excludes it without a comparison. One of a pair is minor, and
     components differ.
+
+    A shingle that is among the first of more than ``frequent`` sets (as where
+    all texts have a dozen words) is split by the buckets of these sets: only
+    sets of one bucket are compared there. Other pairs of a shingle are not
+    asked for a bucket.
     """
     rows = nodes.join(shingles, "node").select("node", "component", "minor", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     counts = rows.groupBy("s").agg(F.count("*").alias("df"))
@@ -155,10 +164,17 @@ def prefix_pairs(nodes: DataFrame, shingles: DataFrame, percent: int) -> DataFra
     # the most that a set can miss: with a partner that is a subset of it
     first = F.slice("order", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
     heads = cut(ranked.select("node", "component", "minor", "n", F.posexplode(first).alias("at", "x")).where("x.df > 1").select("node", "component", "minor", "n", "at", "x.s"))
-    side = lambda x: heads.select("s", F.col("node").alias(x), *[F.col(c).alias(c[0] + x) for c in ("component", "minor", "n")], F.col("at").alias(f"p{x}"))
+    often = heads.groupBy("s").agg(F.count("*").alias("df"), F.count_if("minor").alias("minors")).where(f"df > {frequent} AND minors > 0").select("s")
+    many = id_side(cut(often))
     need = F.ceil(percent * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
     fits = (F.col("ca") != F.col("cb")) & (~F.col("mb") | (F.col("a") < F.col("b"))) & (F.col("pa") <= F.col("na") - need) & (F.col("pb") <= F.col("nb") - need)
-    pairs = side("a").where("ma").join(side("b"), "s").where(fits)
+
+    def met(rows: DataFrame, *by: str) -> DataFrame:
+        side = lambda x: rows.select(*by, F.col("node").alias(x), *[F.col(c).alias(c[0] + x) for c in ("component", "minor", "n")], F.col("at").alias(f"p{x}"))
+        return side("a").where("ma").join(side("b"), list(by)).where(fits).select("a", "b")
+
+    split = heads.join(many, "s", "left_semi").join(buckets.select("key", "node"), "node")
+    pairs = met(heads.join(many, "s", "left_anti"), "s").unionByName(met(split, "s", "key"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -225,7 +241,7 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     sizes = open_rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     several = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("most")).where("parts > 1").select("key", F.col("most.component").alias("main"))
     mixed = open_rows.join(several, "key").groupBy("node").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("main")).alias("minor"))
-    across = cut(prefix_pairs(cut(mixed), shingles, percent))
+    across = cut(prefix_pairs(cut(mixed), shingles, members, percent))
     more = confirmed(across, shingles, percent)
     star = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
     parts = components(star.unionByName(more))
