@@ -140,6 +140,26 @@ def test_few_words_make_frequent_shingles(spark):
     assert {i: got[i]["component_id"] for i in got} == dict(enumerate(label))
 
 
+def test_graph_search_finds_the_lists():
+    """Of clustered centroids, those within the bound are found, and few others are looked at."""
+    rng = np.random.default_rng(1)
+    for many in (1, 2, 9, 30, 2000):
+        middle = rng.normal(size=(many // 32 + 1, 16))
+        draw = lambda n: middle[rng.integers(0, len(middle), n)] + 0.6 * rng.normal(size=(n, 16))  # noqa: B023, E731
+        points, asked = draw(many), draw(200)
+        found = ann.Centroids(points, ann.neighbours(points, 24), 1.0)
+        assert found.graph.shape[1] <= 25
+        for ratio, least in ((1.0, 1), (1.15, 8), (3.0, many + 5)):
+            row, at, reach = found.within(asked, ratio, least)
+            whole = np.sqrt(((asked[:, None] - points[None]) ** 2).sum(axis=2))
+            bound = np.maximum(whole.min(axis=1) * ratio, np.sort(whole, axis=1)[:, min(least, many) - 1])
+            true = set(zip(*(x.tolist() for x in np.nonzero(whole <= bound[:, None])), strict=True))
+            got = set(zip(row.tolist(), at.tolist(), strict=True))
+            assert len(got) == len(row) and np.allclose(reach, whole[row, at])
+            assert len(got & true) >= (0.95 if many == 2000 and least < many else 0.999) * len(true)
+    assert found.within(asked[:0], 1.1)[0].size == 0
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(600, 8)).astype("f4")

@@ -52,6 +52,8 @@ CELLS = 4 << 20
 LEAST_LISTS = 8
 #: Queries that recall is measured on, at most, and the recall that they must have.
 PROBES, RECALL = 200, 0.95
+#: Centroids of a point's pool that are expanded at once, and its nearest that are expanded in any case.
+EXPANDED, POOL = 2, 4
 #: Vectors searched for together.
 BLOCK = 1024
 
@@ -75,37 +77,60 @@ class Centroids:
 
         The centroid is at most ``ratio`` times as far as the nearest one, or
         among the nearest ``least``. A best-first search of the graph expands
-        every such centroid.
+        every such centroid, a few of a point at a time and all points at once;
+        it looks at the neighbours of these, and at no other centroid.
         """
         many, size = len(self.points), len(points)
-        rows = np.arange(size)
+
+        def bounds(reach: np.ndarray, least: int) -> np.ndarray:
+            """How far each row's distances, in order, may go."""
+            return np.maximum(reach[:, :1] * ratio**2 + 1e-12, reach[:, [least - 1]] if least <= reach.shape[1] else np.inf)
+
         squares = (self.points**2).sum(axis=1)
         own = (points**2).sum(axis=1)
         # Entries spread over the centroids, which stand in order of the halving.
         entries = np.unique(np.linspace(0, many - 1, min(many, 8 + math.isqrt(many))).astype(int))
-        reach = np.full((size, many), np.inf)
-        reach[:, entries] = np.maximum(own[:, None] + squares[entries] - 2 * points @ self.points[entries].T, 0)
-        frontier = reach.copy()
-        last = min(least, many) - 1
-        for _ in range(many):
-            best = frontier.argmin(axis=1)
-            bound = reach.min(axis=1) * ratio**2 + 1e-12
-            if last:
-                bound = np.maximum(bound, np.partition(reach, last, axis=1)[:, last])
-            going = rows[(frontier[rows, best] <= bound) & np.isfinite(frontier[rows, best])]
-            if not len(going):
-                break
-            frontier[going, best[going]] = np.inf
-            near = self.graph[best[going]]
-            found = np.maximum(own[going][:, None] + squares[near] - 2 * np.einsum("qd,qkd->qk", points[going], self.points[near]), 0)
-            fresh = np.isinf(reach[going[:, None], near])
-            reach[going[:, None], near] = found
-            frontier[going[:, None], near] = np.where(fresh, found, frontier[going[:, None], near])
-        bound = reach.min(axis=1) * ratio**2 + 1e-12
-        if last:
-            bound = np.maximum(bound, np.partition(reach, last, axis=1)[:, last])
-        row, at = np.nonzero((reach <= bound[:, None]) & np.isfinite(reach))
-        return row, at, np.sqrt(reach[row, at])
+        seen = np.zeros((size, many), bool)
+        seen[:, entries] = True
+        # Each point's pool: what it has met within its bound, nearest first, and what of it is not expanded yet.
+        ids = np.broadcast_to(entries, (size, len(entries)))
+        reach = np.maximum(own[:, None] + squares[entries] - 2 * points @ self.points[entries].T, 0)
+        fresh = np.ones(ids.shape, bool)
+        going = np.arange(size)
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(going):
+            order = np.argsort(reach, axis=1, kind="stable")
+            reach = np.take_along_axis(reach, order, 1)
+            # A bound only falls, so what is beyond it is forgotten.
+            bound = bounds(reach, max(least, POOL))
+            inside = (reach <= bound) & np.isfinite(reach)
+            width = int(inside.sum(axis=1).max())
+            order, reach, inside = order[:, :width], reach[:, :width], inside[:, :width]
+            ids = np.take_along_axis(ids, order, 1)
+            fresh = np.take_along_axis(fresh, order, 1) & inside
+            more = fresh.any(axis=1)
+            if not more.all():
+                row, at = np.nonzero(inside & ~more[:, None] & (reach <= bounds(reach, least)))
+                done.append((going[row], ids[row, at], reach[row, at]))
+                going, ids, reach, fresh = going[more], ids[more], reach[more], fresh[more]
+                if not len(going):
+                    break
+            # The nearest that are not expanded yet.
+            turn = fresh & (np.cumsum(fresh, axis=1) <= EXPANDED)
+            fresh &= ~turn
+            row, at = np.nonzero(turn)
+            near = self.graph[ids[row, at]]
+            pair = np.unique((row[:, None] * many + near)[~seen[going[row][:, None], near]])
+            row, near = pair // many, pair % many
+            seen[going[row], near] = True
+            found = np.maximum(own[going[row]] + squares[near] - 2 * np.einsum("nd,nd->n", points[going[row]], self.points[near]), 0)
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            wide = int(place.max()) + 1 if len(row) else 0
+            met, far = np.zeros((len(going), wide), ids.dtype), np.full((len(going), wide), np.inf)
+            met[row, place], far[row, place] = near, found
+            ids, reach, fresh = np.hstack([ids, met]), np.hstack([reach, far]), np.hstack([fresh, np.ones(far.shape, bool)])
+        row, at, reach = (np.concatenate([d[i] for d in done]) if done else np.empty(0, int) for i in range(3))
+        return row, at, np.sqrt(reach)
 
 
 def balanced(points: np.ndarray, lists: int, rounds: int = 6) -> np.ndarray:
@@ -162,6 +187,24 @@ def usable(vectors: DataFrame) -> DataFrame:
     return good.where(F.size("v") == (most["d"] if most else 0))
 
 
+def neighbours(points: np.ndarray, degree: int) -> np.ndarray:
+    """For each of ``points``, at most ``degree`` others and the next one of a ring."""
+    squares = (points**2).sum(axis=1)
+    many = len(squares)
+    # Half of a centroid's neighbours are its nearest; the others stand at ranks in geometric steps, so that few steps lead anywhere.
+    ranks = np.unique(np.concatenate([np.arange(degree // 2), np.geomspace(max(1, degree // 2), max(1, many - 2), degree - degree // 2).astype(int)]))
+    ranks = ranks[ranks < many - 1]
+    # Last comes the next centroid of a ring, so that a search can reach every list.
+    graph = np.empty((many, len(ranks) + 1), int)
+    graph[:, -1] = np.roll(np.arange(many), -1)
+    step = max(1, CELLS // many)
+    for begin in range(0, many, step):
+        reach = squares - 2 * points[begin : begin + step] @ points.T
+        reach[np.arange(len(reach)), np.arange(begin, begin + len(reach))] = np.inf
+        graph[begin : begin + step, :-1] = np.argsort(reach, axis=1, kind="stable")[:, ranks]
+    return graph
+
+
 def fit(reps: DataFrame, n: int, norm: float, list_size: int = LIST_SIZE, degree: int = 24) -> Centroids:
     """Centroids from a sample of the ``n`` vectors, drawn by a hash of their ids.
 
@@ -172,16 +215,7 @@ def fit(reps: DataFrame, n: int, norm: float, list_size: int = LIST_SIZE, degree
     drawn = matrix(reps.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").toArrow().column("v"))
     found = Centroids(np.empty((0, 0)), np.empty((0, 0), int), norm)
     found.points = balanced(found.extended(drawn, False), lists)
-    squares = (found.points**2).sum(axis=1)
-    many, near = len(squares), min(degree, len(squares) - 1)
-    found.graph = np.zeros((many, max(1, near)), int)
-    step = max(1, CELLS // many)
-    for begin in range(0, many, step) if near else ():
-        reach = squares - 2 * found.points[begin : begin + step] @ found.points.T
-        reach[np.arange(len(reach)), np.arange(begin, begin + len(reach))] = np.inf
-        found.graph[begin : begin + step] = np.argsort(reach, axis=1, kind="stable")[:, :near]
-    if near:  # a ring, so that a search can reach every list
-        found.graph[:, -1] = np.roll(np.arange(many), -1)
+    found.graph = neighbours(found.points, degree)
     return found
 
 
