@@ -140,7 +140,7 @@ def confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     return both.where(fits).select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-#: Sets that a shingle may be among the first of; the pairs of one that is more frequent are sought in the tables' buckets.
+#: Minor sets that a shingle may be among the first of; the pairs of one that is more frequent are sought in the tables' buckets.
 FREQUENT = 256
 
 
@@ -153,10 +153,10 @@ def prefix_pairs(nodes: DataFrame, shingles: DataFrame, buckets: DataFrame, perc
     itself excludes it without a comparison. One of a pair is minor, and
     components differ.
 
-    A shingle that is among the first of more than ``frequent`` sets (as where
-    all texts have a dozen words) is split by the buckets of these sets: only
-    sets of one bucket are compared there. Other pairs of a shingle are not
-    asked for a bucket.
+    A shingle that is among the first of more than ``frequent`` minor sets (as
+    where all texts have a dozen words) is split by the buckets of its sets:
+    only sets of one bucket are compared there. Another shingle's pairs are not
+    asked for a bucket; they are at most ``frequent`` for each of its sets.
     """
     rows = nodes.join(shingles, "node").select("node", "component", "minor", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     counts = rows.groupBy("s").agg(F.count("*").alias("df"))
@@ -164,7 +164,7 @@ def prefix_pairs(nodes: DataFrame, shingles: DataFrame, buckets: DataFrame, perc
     # the most that a set can miss: with a partner that is a subset of it
     first = F.slice("order", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
     heads = cut(ranked.select("node", "component", "minor", "n", F.posexplode(first).alias("at", "x")).where("x.df > 1").select("node", "component", "minor", "n", "at", "x.s"))
-    often = heads.groupBy("s").agg(F.count("*").alias("df"), F.count_if("minor").alias("minors")).where(f"df > {frequent} AND minors > 0").select("s")
+    often = heads.where("minor").groupBy("s").agg(F.count("*").alias("minors")).where(F.col("minors") > frequent).select("s")
     many = id_side(cut(often))
     need = F.ceil(percent * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
     fits = (F.col("ca") != F.col("cb")) & (~F.col("mb") | (F.col("a") < F.col("b"))) & (F.col("pa") <= F.col("na") - need) & (F.col("pb") <= F.col("nb") - need)
