@@ -109,9 +109,9 @@ def test_minor_members_meet_everything(spark):
     sets = {1: list(range(20)), 2: list(range(1, 20)), 3: list(range(50, 70)), 4: [*range(50, 69), 99]}
     shingles = spark.createDataFrame(list(sets.items()), "node long, shingles array<long>")
     nodes = spark.createDataFrame([(n, n, True) for n in sets], "node long, component long, minor boolean")
-    buckets = spark.createDataFrame([(7, n) for n in sets], "key long, node long")
-    for frequent in (0, 256):  # with each shingle split by buckets, and with none
-        pairs = near_dups.prefix_pairs(nodes, shingles, buckets, 80, frequent)
+    classes = spark.createDataFrame([(n, [7] * 2 * near_dups.KEYS) for n in sets], "node long, keys array<long>")
+    for frequent in (0, 256):  # with each shingle split by keys, and with none
+        pairs = near_dups.prefix_pairs(nodes, shingles, classes, 80, frequent)
         assert {(r["a"], r["b"]) for r in near_dups.confirmed(pairs, shingles, 80).collect()} == {(1, 2), (3, 4)}
 
 

@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tryloom.llm.chunks import bounded, column
@@ -140,12 +140,12 @@ def confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     return both.where(fits).select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-#: Minor sets that a shingle may be among the first of; the pairs of one that is more frequent are sought in the tables' buckets.
+#: Minor sets that a shingle may be among the first of; one that is more frequent is split by the sets' keys.
 FREQUENT = 256
 
 
-def prefix_pairs(nodes: DataFrame, shingles: DataFrame, buckets: DataFrame, percent: int, frequent: int = FREQUENT) -> DataFrame:
-    """Pairs ``a``, ``b`` of ``nodes`` (``node``, ``component``, ``minor``) that share one of ``buckets`` (``key``, ``node``) and may be similar enough; none that is gets lost.
+def prefix_pairs(nodes: DataFrame, shingles: DataFrame, classes: DataFrame, percent: int, frequent: int = FREQUENT) -> DataFrame:
+    """Pairs ``a``, ``b`` of ``nodes`` (``node``, ``component``, ``minor``) that may be similar enough; none that is and shares a table (by the ``keys`` of ``classes``) gets lost.
 
     Sets of ``na`` and ``nb`` shingles need a certain overlap. With all
     shingles in one order, the rarest first, both sets then share one among
@@ -154,9 +154,10 @@ def prefix_pairs(nodes: DataFrame, shingles: DataFrame, buckets: DataFrame, perc
     components differ.
 
     A shingle that is among the first of more than ``frequent`` minor sets (as
-    where all texts have a dozen words) is split by the buckets of its sets:
-    only sets of one bucket are compared there. Another shingle's pairs are not
-    asked for a bucket; they are at most ``frequent`` for each of its sets.
+    where all texts have a dozen words) is split by the keys of the first
+    collection, which sets of one table share, and its pairs also share a key of
+    the second. Another shingle's pairs are not asked for a key; they are at
+    most ``frequent`` for each of its sets.
     """
     rows = nodes.join(shingles, "node").select("node", "component", "minor", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     counts = rows.groupBy("s").agg(F.count("*").alias("df"))
@@ -169,12 +170,14 @@ def prefix_pairs(nodes: DataFrame, shingles: DataFrame, buckets: DataFrame, perc
     need = F.ceil(percent * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
     fits = (F.col("ca") != F.col("cb")) & (~F.col("mb") | (F.col("a") < F.col("b"))) & (F.col("pa") <= F.col("na") - need) & (F.col("pb") <= F.col("nb") - need)
 
-    def met(rows: DataFrame, *by: str) -> DataFrame:
-        side = lambda x: rows.select(*by, F.col("node").alias(x), *[F.col(c).alias(c[0] + x) for c in ("component", "minor", "n")], F.col("at").alias(f"p{x}"))
-        return side("a").where("ma").join(side("b"), list(by)).where(fits).select("a", "b")
+    def met(rows: DataFrame, by: list[str], more: Column, *own: str) -> DataFrame:
+        side = lambda x: rows.select(*by, F.col("node").alias(x), *[F.col(c).alias(c[0] + x) for c in ("component", "minor", "n", *own)], F.col("at").alias(f"p{x}"))
+        return side("a").where("ma").join(side("b"), by).where(fits & more).select("a", "b")
 
-    split = heads.join(many, "s", "left_semi").join(buckets.select("key", "node"), "node")
-    pairs = met(heads.join(many, "s", "left_anti"), "s").unionByName(met(split, "s", "key"))
+    # A set's keys come in one row; 11 of the first collection stand for the 121 tables.
+    keyed = heads.join(many, "s", "left_semi").join(classes.select("node", "keys"), "node")
+    split = keyed.select("s", "node", "component", "minor", "n", "at", F.slice("keys", KEYS + 1, KEYS).alias("second"), F.explode(F.slice("keys", 1, KEYS)).alias("key"))
+    pairs = met(heads.join(many, "s", "left_anti"), ["s"], F.lit(True)).unionByName(met(split, ["s", "key"], F.arrays_overlap("sa", "sb"), "second"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -241,7 +244,7 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     sizes = open_rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     several = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("most")).where("parts > 1").select("key", F.col("most.component").alias("main"))
     mixed = open_rows.join(several, "key").groupBy("node").agg(F.first("component").alias("component"), F.max(F.col("component") != F.col("main")).alias("minor"))
-    across = cut(prefix_pairs(cut(mixed), shingles, members, percent))
+    across = cut(prefix_pairs(cut(mixed), shingles, classes, percent))
     more = confirmed(across, shingles, percent)
     star = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
     parts = components(star.unionByName(more))
