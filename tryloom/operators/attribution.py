@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from tryloom.functions.argv import build_options, load_dirs, targets
 from tryloom.functions.scalars import root_sessions
 from tryloom.operators.components import components
-from tryloom.operators.diffs import KEY, file_verdicts, files, lines, parent, theory_moves
+from tryloom.operators.diffs import KEY, file_verdicts, files, kinds, lines, parent, theory_dirs, theory_moves
 from tryloom.operators.episodes import EPISODE
-from tryloom.sources.shared import settled
+from tryloom.sources.shared import landed
 
 #: How many times as often a target must go with one directory as with any other (a fixed value).
 DOMINANCE = 3
@@ -40,9 +40,30 @@ def last_part(path: Column) -> Column:
     return F.regexp_extract(path, "[^/]*$", 0)
 
 
-def session_dirs(found: DataFrame) -> DataFrame:
+def touched(attempts: DataFrame) -> DataFrame:
+    """``command`` and ``dirs``, the directories of a diff's theories, with how many records have both: ``n``."""
+    return attempts.select("command", theory_dirs(F.col("diff")).alias("dirs")).where(F.size("dirs") > 0).groupBy("command", "dirs").agg(F.count("*").alias("n"))
+
+
+def commands(attempts: DataFrame) -> DataFrame:
+    """Distinct commands and how many records have each: what they say is worked out once for each."""
+    return landed(attempts.where("command IS NOT NULL").groupBy("command").agg(F.count("*").alias("n")), "commands")
+
+
+def marked(attempts: DataFrame) -> DataFrame:
+    """``files`` that moved, and those that declare targets, with their bodies."""
+    root = last_part(F.col("path_new")).isin("ROOT", "ROOTS")
+    return files(attempts).where(root | (F.col("path_old") != F.col("path_new"))).select(*KEY, "file_no", "path_old", "path_new", "suffix", F.when(root, F.col("body")).alias("body"))
+
+
+def session_dirs(touched: DataFrame) -> DataFrame:
     """Directories that hold a theory in some diff."""
-    return found.where("suffix = '.thy'").select(parent(F.col("path_new")).alias("dir")).distinct()
+    return touched.select(F.explode("dirs").alias("dir")).distinct()
+
+
+def last_moves(found: DataFrame) -> DataFrame:
+    """``theory_moves``, the last one between two directories."""
+    return theory_moves(found).groupBy("old_dir", "new_dir").agg(F.max(F.struct(*KEY, "file_no")).alias("at")).select("old_dir", "new_dir", "at.*")
 
 
 def collisions(dirs: DataFrame) -> DataFrame:
@@ -67,15 +88,14 @@ def declared_targets(found: DataFrame, dirs: DataFrame) -> DataFrame:
     return named.groupBy("target").agg(F.max_by("dir", F.struct("corpus_id", "seq", "file_no", "at")).alias("dir"))
 
 
-def co_occurring_targets(attempts: DataFrame, found: DataFrame, dirs: DataFrame) -> DataFrame:
+def co_occurring_targets(touched: DataFrame, dirs: DataFrame) -> DataFrame:
     """``target`` and ``dir`` where one directory goes with a target far more often than any other.
 
     Only records that touch exactly one directory count; a tie never passes.
     """
-    touched = found.where("suffix = '.thy'").select(*KEY, parent(F.col("path_new")).alias("dir")).distinct().join(dirs, "dir", "left_semi")
-    single = touched.groupBy(*KEY).agg(F.count("*").alias("_n"), F.min("dir").alias("dir")).where("_n = 1").drop("_n")
-    pairs = attempts.select(*KEY, F.explode(targets(F.col("command"))).alias("target")).join(single, KEY)
-    counts = pairs.groupBy("target", "dir").agg(F.count("*").alias("n"))
+    known = touched.where("command IS NOT NULL").select("command", "dirs", "n", F.explode("dirs").alias("dir")).join(dirs, "dir", "left_semi")
+    single = known.groupBy("command", "dirs", "n").agg(F.count("*").alias("_n"), F.min("dir").alias("dir")).where("_n = 1")
+    counts = single.select("dir", "n", F.explode(targets(F.col("command"))).alias("target")).groupBy("target", "dir").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("target").orderBy(F.desc("n"), "dir")
     ranked = counts.withColumns({"rank": F.row_number().over(order), "runner": F.coalesce(F.lead("n").over(order), F.lit(0))})
     return ranked.where((F.col("rank") == 1) & (F.col("n") >= F.greatest(F.lit(1), F.col("runner") * DOMINANCE))).select("target", "dir")
@@ -96,20 +116,22 @@ def load_overrides(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 
 def fit(attempts: DataFrame, overrides: tuple[DataFrame, DataFrame] | None = None) -> Attribution:
-    found = files(attempts)
-    first = settled(session_dirs(found))
-    clash = settled(collisions(first))
-    moves = settled(theory_moves(found))
-    dirs = settled(first.unionByName(moves.select(F.explode(F.array("old_dir", "new_dir")).alias("dir"))).distinct())
+    """The tables of an attribution. ``attempts`` are read twice: for what records touch, and for moves and declarations."""
+    pairs = landed(touched(attempts), "touched")
+    found = landed(marked(attempts), "marked")
+    first = landed(session_dirs(pairs), "dirs")
+    clash = landed(collisions(first), "collisions")
+    moves = landed(last_moves(found), "moves")
+    dirs = landed(first.unionByName(moves.select(F.explode(F.array("old_dir", "new_dir")).alias("dir"))).distinct(), "dirs")
     aliases = move_aliases(moves)
-    declared = settled(declared_targets(found, dirs))
-    named = declared.unionByName(co_occurring_targets(attempts, found, dirs).join(declared, "target", "left_anti"))
+    declared = landed(declared_targets(found, dirs), "declared")
+    named = declared.unionByName(co_occurring_targets(pairs, dirs).join(declared, "target", "left_anti"))
     if overrides:
         aliases = overrides[0].unionByName(aliases.join(overrides[0], "short", "left_anti"))
         named = overrides[1].unionByName(named.join(overrides[1], "target", "left_anti"))
-    aliases = settled(aliases)
-    # The tables have a row a directory or target: settled, so that what joins them plans and runs once.
-    return Attribution(dirs, settled(labels(dirs, clash, aliases)), settled(named), aliases, clash)
+    aliases = landed(aliases, "aliases")
+    # The tables have a row a directory or target: written, so that what joins them knows how small they are.
+    return Attribution(dirs, landed(labels(dirs, clash, aliases), "labels"), landed(named, "targets"), aliases, clash)
 
 
 def labels(dirs: DataFrame, clash: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -135,36 +157,42 @@ def locus_labels(loci: DataFrame, at: Attribution) -> DataFrame:
     Of several directories the longest, then the first in order. A path that ends in none has no label.
     """
     path = F.regexp_replace(F.regexp_extract("theory", _PATH, 1), "/+$", "")
-    rows = loci.withColumns({"_id": F.xxhash64("theory"), "_path": path})
-    names = rows.select("theory", "_path").distinct()
+    names = loci.select("theory").where("theory <> ''").distinct().withColumn("_path", path)
     tails = names.where("_path <> ''").select("theory", F.explode(suffixes(F.col("_path"))).alias("dir")).join(at.labels, "dir")
-    best = tails.groupBy("theory").agg(F.min_by("label", F.struct(-F.length("dir"), F.col("dir"))).alias("_by_path"))
+    best = tails.groupBy("theory").agg(F.min_by("label", F.struct(-F.length("dir"), F.col("dir"))).alias("label"))
     qualified = names.where("_path = '' AND contains(theory, '.')").select("theory", F.substring_index("theory", ".", 1).alias("target"))
-    by_name = qualified.join(at.targets, "target").join(at.labels, "dir").select("theory", F.col("label").alias("_by_name"))
-    return rows.join(best, "theory", "left").join(by_name, "theory", "left").withColumn("label", F.coalesce("_by_path", "_by_name")).drop("_by_path", "_by_name", "_id", "_path")
+    # A name has a path or none, so it is in one of the two.
+    by_name = qualified.join(at.targets, "target").join(at.labels, "dir").select("theory", "label")
+    return loci.join(landed(best.unionByName(by_name), "names"), "theory", "left")
 
 
-def loaded_outside(attempts: DataFrame, at: Attribution) -> DataFrame:
-    """Keys of records whose load directories reach no known directory. Records without any are not outside.
+def _outside(known: DataFrame, at: Attribution) -> DataFrame:
+    """Those of ``commands`` whose load directories reach no known directory. Commands without any are not outside.
 
     A load directory reaches a session directory if some end of it is a beginning of that, or that of it.
     """
-    loads = attempts.select(*KEY, F.explode(load_dirs(F.col("command"))).alias("load"))
-    tails = loads.select(*KEY, "load", F.explode(suffixes(F.col("load"))).alias("tail"))
+    loads = known.select("command", F.explode(load_dirs(F.col("command"))).alias("load"))
+    tails = loads.select("load").distinct().select("load", F.explode(suffixes(F.col("load"))).alias("tail"))
     begins = at.dirs.select(F.explode(prefixes(F.col("dir"))).alias("tail")).distinct()
-    one = tails.join(begins, "tail", "left_semi").select(*KEY)
-    whole = tails.select(*KEY, F.explode(prefixes(F.col("tail"))).alias("dir")).join(at.dirs, "dir", "left_semi").select(*KEY)
-    return loads.select(*KEY).distinct().join(one.unionByName(whole).distinct(), KEY, "left_anti")
+    one = tails.join(begins, "tail", "left_semi").select("load")
+    whole = tails.select("load", F.explode(prefixes(F.col("tail"))).alias("dir")).join(at.dirs, "dir", "left_semi").select("load")
+    reached = one.unionByName(whole).distinct().withColumn("_in", F.lit(True))
+    return landed(loads.join(reached, "load", "left").groupBy("command").agg(F.bool_or(F.coalesce("_in", F.lit(False))).alias("_in")).where("NOT _in").select("command"), "outside")
+
+
+def loaded_outside(attempts: DataFrame, at: Attribution) -> DataFrame:
+    """Keys of records whose command is one of ``_outside``."""
+    return attempts.select(*KEY, "command").join(_outside(commands(attempts), at), "command", "left_semi").select(*KEY)
 
 
-def command_labels(attempts: DataFrame, at: Attribution) -> DataFrame:
-    """Keys and ``label``: the one label its load directories name, else its one mapped target's; not if loaded from outside."""
-    inside = attempts.select(*KEY, "command").join(loaded_outside(attempts, at), KEY, "left_anti")
-    one = lambda rows: rows.groupBy(*KEY).agg(F.collect_set("label").alias("_l")).where(F.size("_l") == 1).select(*KEY, F.col("_l")[0].alias("label"))
-    named = one(inside.select(*KEY, F.explode(load_dirs(F.col("command"))).alias("dir")).join(at.labels, "dir"))
-    mapped = inside.select(*KEY, F.explode(targets(F.col("command"))).alias("target")).join(at.targets.where("dir IS NOT NULL"), "target").select(*KEY, "dir").distinct()
-    single = mapped.groupBy(*KEY).agg(F.count("*").alias("_n"), F.min("dir").alias("dir")).where("_n = 1").join(at.labels, "dir").select(*KEY, "label")
-    return named.unionByName(single.join(named, KEY, "left_anti"))
+def command_labels(known: DataFrame, at: Attribution) -> DataFrame:
+    """``command`` and ``label``: the one label its load directories name, else its one mapped target's; not if loaded from outside."""
+    inside = known.select("command").join(_outside(known, at), "command", "left_anti")
+    one = lambda rows: rows.groupBy("command").agg(F.collect_set("label").alias("_l")).where(F.size("_l") == 1).select("command", F.col("_l")[0].alias("label"))
+    named = one(inside.select("command", F.explode(load_dirs(F.col("command"))).alias("dir")).join(at.labels, "dir"))
+    mapped = inside.select("command", F.explode(targets(F.col("command"))).alias("target")).join(at.targets.where("dir IS NOT NULL"), "target").select("command", "dir").distinct()
+    single = mapped.groupBy("command").agg(F.count("*").alias("_n"), F.min("dir").alias("dir")).where("_n = 1").join(at.labels, "dir").select("command", "label")
+    return landed(named.unionByName(single.join(named, "command", "left_anti")), "command-labels")
 
 
 def project(attempts: DataFrame, at: Attribution) -> DataFrame:
@@ -173,18 +201,22 @@ def project(attempts: DataFrame, at: Attribution) -> DataFrame:
     Directories of code files come first, then those of errors, then, if no
     code file lies outside, the command's.
     """
-    rows = attempts.select(*EPISODE, *[c for c in KEY if c not in EPISODE])
-    code = file_verdicts(files(attempts)).where("verdict = 'code'").select(*KEY, parent(F.col("path_new")).alias("dir")).join(at.labels, "dir", "left")
-    by_code = code.join(rows, KEY).groupBy(*EPISODE).agg(F.collect_set("label").alias("_code"), F.bool_or(F.col("label").isNull()).alias("_other"))
-    named = attempts.select(*KEY, F.explode(F.array_append(F.transform(F.coalesce("error_loci", F.array().cast("array<array<string>>")), lambda x: F.get(x, F.lit(0))), F.coalesce("error_head", F.lit("")))).alias("theory"))
-    by_error = locus_labels(named, at).where("label IS NOT NULL").join(rows, KEY).groupBy(*EPISODE).agg(F.collect_set("label").alias("_error"))
-    by_command = command_labels(attempts, at).join(rows, KEY).groupBy(*EPISODE).agg(F.collect_set("label").alias("_command"))
-    every = rows.select(*EPISODE).distinct().join(by_code, EPISODE, "left").join(by_error, EPISODE, "left").join(by_command, EPISODE, "left")
-    some = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0
+    places = F.transform(F.filter(kinds(F.col("diff")), lambda f: f["code"]), lambda f: parent(f["path_new"]))
+    code = attempts.select(*EPISODE, F.explode(places).alias("dir")).join(at.labels, "dir", "left").select(*EPISODE, F.col("label").alias("code"), F.col("label").isNull().alias("other"))
+    named = attempts.select(*EPISODE, F.explode(F.array_append(F.transform(F.coalesce("error_loci", F.array().cast("array<array<string>>")), lambda x: F.get(x, F.lit(0))), F.coalesce("error_head", F.lit("")))).alias("theory"))
+    error = locus_labels(named.where("theory <> ''"), at).where("label IS NOT NULL").select(*EPISODE, F.col("label").alias("error"))
+    command = attempts.select(*EPISODE, "command").join(command_labels(commands(attempts), at), "command").select(*EPISODE, F.col("label").alias("command"))
+    # One grouping of all that is known: of labels only the first and the last, which tell one from several.
+    rows = attempts.select(*EPISODE)
+    for part in (code, error, command):
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    sides = ("code", "error", "command")
+    every = rows.groupBy(*EPISODE).agg(*[f(c).alias(n + c) for c in sides for f, n in ((F.min, "_"), (F.max, "_last_"))], F.bool_or("other").alias("_other"))
+    some = lambda c: F.col(f"_{c}").isNotNull()
     other = F.coalesce("_other", F.lit(False))
-    route = F.when(some("_code"), "diff").when(some("_error"), "error").when(some("_command") & ~other, "command").otherwise("none")
-    chosen = F.when(route == "diff", F.col("_code")).when(route == "error", F.col("_error")).when(route == "command", F.col("_command"))
-    name = F.when(F.size(chosen) == 1, chosen[0]).when(F.size(chosen) > 1, "mixed").when(other, "tooling").otherwise("none")
+    route = F.when(some("code"), "diff").when(some("error"), "error").when(some("command") & ~other, "command").otherwise("none")
+    one = lambda c: F.when(F.col(f"_{c}") == F.col(f"_last_{c}"), F.col(f"_{c}")).otherwise("mixed")
+    name = F.when(route == "diff", one("code")).when(route == "error", one("error")).when(route == "command", one("command")).when(other, "tooling").otherwise("none")
     return every.select(*EPISODE, name.alias("project"), route.alias("route"))
 
 
@@ -203,9 +235,9 @@ def proof_bearing(attempts: DataFrame, at: Attribution) -> DataFrame:
 
 def target_usage(attempts: DataFrame, at: Attribution) -> DataFrame:
     """Build targets with how often each is named and what the map says of it."""
-    outside = loaded_outside(attempts, at).withColumn("_out", F.lit(True))
-    used = attempts.select(*KEY, F.explode(targets(F.col("command"))).alias("target")).join(outside, KEY, "left")
-    counts = used.groupBy("target").agg(F.count("*").alias("n"), F.bool_and(F.coalesce("_out", F.lit(False))).alias("_outside"))
+    known = commands(attempts)
+    used = known.join(_outside(known, at).withColumn("_out", F.lit(True)), "command", "left").select("n", "_out", F.explode(targets(F.col("command"))).alias("target"))
+    counts = used.groupBy("target").agg(F.sum("n").alias("n"), F.bool_and(F.coalesce("_out", F.lit(False))).alias("_outside"))
     rows = counts.join(at.targets.withColumn("_known", F.lit(True)), "target", "left")
     verdict = F.when(F.col("_known") & F.col("dir").isNotNull(), "mapped").when(F.col("_known"), "excluded").when(F.col("_outside"), "outside").otherwise("not derived")
     return rows.select("target", "n", "dir", verdict.alias("verdict"))
@@ -218,10 +250,12 @@ def routes(projects: DataFrame) -> DataFrame:
 
 def residue(attempts: DataFrame, projects: DataFrame, usage: DataFrame) -> DataFrame:
     """One row: episodes labelled none and tooling, targets without a directory that those name, and a status."""
-    left = projects.where("project IN ('none', 'tooling')")
+    left = landed(projects.where("project IN ('none', 'tooling')").select(*EPISODE, "project"), "left")
     counts = left.agg(F.count_if(F.col("project") == "none").alias("none"), F.count_if(F.col("project") == "tooling").alias("tooling"))
-    named = attempts.join(left, EPISODE, "left_semi").select(F.explode(targets(F.col("command"))).alias("target"))
-    bites = named.join(usage.where("verdict = 'not derived'"), "target", "left_semi").agg(F.countDistinct("target").alias("unmapped"))
+    named = commands(attempts).select("command", F.explode(targets(F.col("command"))).alias("target"))
+    told = landed(named.join(usage.where("verdict = 'not derived'"), "target", "left_semi"), "told")
+    hit = attempts.select(*EPISODE, "command").join(told.select("command").distinct(), "command", "left_semi").join(left, EPISODE, "left_semi").select("command").distinct()
+    bites = told.join(hit, "command", "left_semi").agg(F.countDistinct("target").alias("unmapped"))
     return counts.join(F.broadcast(bites), how="cross").withColumn("status", F.when(F.col("unmapped") > 0, "failing").otherwise("ok"))  # one row with one row
 
 

@@ -13,10 +13,12 @@ from tryloom.operators.ordered import number_rows
 
 _PATH = "concat('t/s', user_id % 6, '/T', event_id % 4, CASE WHEN event_id % 11 = 0 THEN '.md' ELSE '.thy' END)"
 
+OUTCOME = "CASE event_type WHEN 'purchase' THEN 'ok' WHEN 'click' THEN 'ok' WHEN 'signup' THEN 'timeout' ELSE 'fail' END"
+
 #: Columns of an attempt but for ``seq``, from ``events``.
 ATTEMPT_COLUMNS = f"""
 concat('c', user_id % 4) AS corpus_id, event_id, ts, user_id, concat('i', user_id % 3) AS instance_id, concat('b', event_id) AS build_id,
-CASE event_type WHEN 'purchase' THEN 'ok' WHEN 'click' THEN 'ok' WHEN 'signup' THEN 'timeout' ELSE 'fail' END AS outcome,
+{OUTCOME} AS outcome,
 CASE WHEN event_type = 'signup' THEN CASE event_id % 3 WHEN 0 THEN 'loop_progress' WHEN 1 THEN 'wall' ELSE 'activity' END END AS timeout_reason,
 ROUND(value, 1) AS elapsed_s,
 CASE WHEN user_id % 5 = 0 THEN 'battery' ELSE 'ac' END AS power,
@@ -56,11 +58,25 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql(f"SELECT {ATTEMPT_COLUMNS} FROM {{events}}", events=_read(spark, sf_dir, "events"))
+#: What ``mapped`` reads.
+NUMBERED = ("event_id", "ts", "user_id", "event_type", "value", "seq")
+
+
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` with ``corpus_id``, ``outcome`` and ``seq``: narrow rows, so that these are what is shuffled."""
+    rows = _read(spark, sf_dir, "events").withColumns({"corpus_id": F.expr("concat('c', user_id % 4)"), "outcome": F.expr(OUTCOME)})
     return number_rows(rows, ["corpus_id"], F.to_date("ts"), ["ts", "event_id"])
 
 
+def mapped(rows: DataFrame, *more: str) -> DataFrame:
+    """The columns of attempts, of ``numbered`` rows."""
+    return rows.sparkSession.sql(f"SELECT {', '.join([ATTEMPT_COLUMNS, 'seq', *more])} FROM {{events}}", events=rows)
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapped(numbered(spark, sf_dir))
+
+
 def build_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(BUILD_LOG.replace("FROM lineitem", "FROM {lineitem}"), lineitem=_read(spark, sf_dir, "lineitem"))
 

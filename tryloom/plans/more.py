@@ -12,7 +12,7 @@ from tryloom.plans.queries import _ATTEMPTS, _EPISODES, _FIT, _SIDES, query
 from tryloom.plans.varied import _trees
 from tryloom.schemas import FIELDS, conform
 from tryloom.sources import corpus
-from tryloom.sources.shared import own_path, settled
+from tryloom.sources.shared import landed, own_path, settled
 
 
 @query("written_histogram", _EPISODES + " SELECT len_code AS length, count(*) AS trajectories FROM e WHERE is_closed AND len_code > 0 GROUP BY 1")
@@ -174,11 +174,9 @@ _OUTSIDE = "CASE event_id % 4 WHEN 0 THEN concat('diff --git a/tools/b.py b/tool
 
 def _outside(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, attribution.Attribution]:
     """Attempts that are episodes of their own: a tool's code, a theory, a target that nothing maps, and nothing at all."""
-    rows = mapping._read(spark, sf_dir, "events").select(
-        F.concat(F.lit("e"), "event_id").alias("corpus_id"), F.lit(0).cast("long").alias("seq"), F.concat(F.lit("b"), "event_id").alias("build_id"), F.lit("fail").alias("outcome"), F.expr(_OUTSIDE).alias("diff"),
-        F.expr("CASE WHEN event_id % 4 = 2 THEN array('isabelle', 'build', 'Z') END").alias("command"),
-    )
-    made = episodes.segment(conform(rows))
+    rows = mapping._read(spark, sf_dir, "events").select("event_id", "user_id", F.concat(F.lit("e"), "event_id").alias("corpus_id"), F.lit(0).cast("long").alias("seq"), F.lit("fail").alias("outcome"))
+    kept = landed(episodes.segment(rows), "attempts")  # read several times: texts are worked out when read
+    made = conform(kept.withColumns({"build_id": F.concat(F.lit("b"), "event_id"), "diff": F.expr(_OUTSIDE), "command": F.expr("CASE WHEN event_id % 4 = 2 THEN array('isabelle', 'build', 'Z') END")}).drop("event_id", "user_id"))
     return made, attribution.fit(made)
 
 

@@ -12,6 +12,7 @@ from tryloom.operators import attribution, audits, diffs, episodes, integrity, l
 from tryloom.operators.ordered import with_previous
 from tryloom.plans import mapping
 from tryloom.schemas import conform
+from tryloom.sources.shared import landed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -227,7 +228,9 @@ _COMMAND = "array('isabelle', 'build', '-d', CASE WHEN event_id % 13 = 0 THEN 's
 
 
 def _with_command(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return episodes.segment(conform(mapping.attempts(spark, sf_dir).withColumn("command", F.expr(_COMMAND))))
+    """Attempts with episodes and commands. They are read several times: rows are numbered once, their texts worked out when read."""
+    rows = episodes.segment(mapping.numbered(spark, sf_dir)).select(*mapping.NUMBERED, "episode_no")
+    return conform(mapping.mapped(landed(rows, "attempts"), "episode_no").withColumn("command", F.expr(_COMMAND)))
 
 
 @query("argv_fold", "SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'scratch/x' ELSE 't' END AS dirs, concat('S', user_id % 6) AS targets, 'bv' AS flags, concat('S', user_id % 6) AS sessions FROM events")

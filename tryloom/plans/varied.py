@@ -17,6 +17,7 @@ from tryloom.plans import mapping
 from tryloom.plans.queries import query
 from tryloom.schemas import conform
 from tryloom.sources.corpus import pool
+from tryloom.sources.shared import landed
 
 _DIR = "concat('t/s', user_id % 6)"
 _NEXT = "concat('t/s', (user_id + 1) % 6)"
@@ -56,9 +57,11 @@ _ROWS = f"WITH attempts AS (SELECT CAST(ROW_NUMBER() OVER (PARTITION BY user_id
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = mapping._read(spark, sf_dir, "events")
-    rows = spark.sql(f"SELECT {_COLUMNS}, {_COMMAND} AS command FROM {{events}}", events=events)
-    return conform(mapping.number_rows(rows, ["corpus_id"], F.to_date("ts"), ["ts", "event_id"]))
+    return _shaped(mapping.numbered(spark, sf_dir))
+
+
+def _shaped(rows: DataFrame) -> DataFrame:
+    return conform(rows.sparkSession.sql(f"SELECT {_COLUMNS}, {_COMMAND} AS command, seq FROM {{events}}", events=rows))
 
 
 _CODE = """SELECT corpus_id, seq, 0 AS file_no, CASE k WHEN 1 THEN concat(other, '/T', event_id % 4, '.thy') WHEN 6 THEN concat('t/s', (user_id + 1) % 6, '/M.thy') WHEN 7 THEN concat(dir, '/ROOT') ELSE thy END AS path_new,
@@ -99,7 +102,7 @@ _FACTS = _ROWS + """, m AS (SELECT corpus_id, seq, dir AS a, concat('t/s', (user
 
 
 def _fitted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, attribution.Attribution]:
-    rows = episodes.segment(attempts(spark, sf_dir))
+    rows = _shaped(landed(mapping.numbered(spark, sf_dir).select(*mapping.NUMBERED), "attempts"))
     excluded = spark.range(1).select(F.lit("X").alias("target"), F.lit(None).cast("string").alias("dir"))
     return rows, attribution.fit(rows, (spark.range(0).select(F.lit("").alias("short"), F.lit("").alias("label")), excluded))
 

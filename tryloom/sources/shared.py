@@ -35,3 +35,10 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` after a reliable checkpoint below ``shared_root``."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def landed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as it was written below ``shared_root``, for rows that are read several times, each time by a few columns."""
+    path = own_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
