@@ -18,7 +18,7 @@ from tryloom.sources.shared import landed, own_path, settled
 @query("written_histogram", _EPISODES + " SELECT len_code AS length, count(*) AS trajectories FROM e WHERE is_closed AND len_code > 0 GROUP BY 1")
 def written_histogram(spark, sf_dir):
     """The length histogram as both sinks have written it."""
-    hist = episodes.histogram(episodes.summary(queries._classified(spark, sf_dir)))
+    hist = landed(episodes.histogram(episodes.summary(queries._classified(spark, sf_dir))), "lengths")  # a row a length, for both
     csv, json = own_path(spark, "histogram"), own_path(spark, "histogram")
     corpus.write_histogram(hist, csv)
     corpus.write_histogram(hist, json, "json")
