@@ -59,13 +59,18 @@ def trials(episodes: DataFrame, length: str = "len_attempt") -> DataFrame:
     return episodes.where("is_closed AND proof_bearing").where(F.col(length) > 0).select("project", F.substring(F.col("started").cast("string"), 1, 10).alias("day"), (F.col(length) == 1).cast("int").alias("one_shot"))
 
 
+def daily(found: DataFrame) -> DataFrame:
+    """``trials`` by development and day: ``n`` of them, of which ``one_shot`` were so."""
+    return found.groupBy("project", "day").agg(F.count("*").alias("n"), F.sum("one_shot").alias("one_shot"))
+
+
 def choose_groups(found: DataFrame, a: str | None = None, b: str | None = None) -> DataFrame:
     """``found`` with ``side``: ``a`` for the most frequent development (ties: the first in order) or the one named, ``b`` for the others or the one named.
 
-    With fewer than two developments there is no row.
+    With fewer than two developments there is no row. ``found`` are trials, or ``daily`` ones, which count ``n`` times.
     """
     real = found.where(~F.col("project").isin(*SYNTHETIC))
-    counts = real.groupBy("project").agg(F.count("*").alias("n"))
+    counts = real.groupBy("project").agg((F.sum("n") if "n" in found.columns else F.count("*")).alias("n"))
     largest = counts.agg(F.min_by("project", F.struct(-F.col("n"), F.col("project"))).alias("_a"), F.count("*").alias("_groups"))
     rows = real.join(F.broadcast(largest), how="cross").where("_groups >= 2")  # one row
     is_a = F.col("project") == (F.lit(a) if a else F.col("_a"))
@@ -76,7 +81,8 @@ def choose_groups(found: DataFrame, a: str | None = None, b: str | None = None)
 def by_day(sided: DataFrame) -> DataFrame:
     """``day`` with trials and one-shots of either side."""
     pick = lambda s, v: F.sum(F.when(F.col("side") == s, v).otherwise(0))
-    return sided.groupBy("day").agg(pick("a", F.lit(1)).alias("n_a"), pick("a", F.col("one_shot")).alias("x_a"), pick("b", F.lit(1)).alias("n_b"), pick("b", F.col("one_shot")).alias("x_b"))
+    one = F.col("n") if "n" in sided.columns else F.lit(1)
+    return sided.groupBy("day").agg(pick("a", one).alias("n_a"), pick("a", F.col("one_shot")).alias("x_a"), pick("b", one).alias("n_b"), pick("b", F.col("one_shot")).alias("x_b"))
 
 
 def two_proportion_test(days: DataFrame) -> DataFrame:

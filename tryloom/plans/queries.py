@@ -45,7 +45,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return episodes.segment(diffs.classified(conform(mapping.attempts(spark, sf_dir))))
+    return diffs.classified(conform(mapping.mapped(episodes.segment(mapping.numbered(spark, sf_dir)), "episode_no")))
 
 
 def _episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,7 +327,9 @@ _SIDES = _TRIALS + ", big AS (SELECT arg_min(project, (-n, project)) AS a FROM (
 
 
 def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lengths.by_day(lengths.choose_groups(lengths.trials(_episodes(spark, sf_dir))))
+    """Read several times: landed as a row a day, after one pass over the episodes."""
+    counted = landed(lengths.daily(lengths.trials(_episodes(spark, sf_dir))), "trials")
+    return landed(lengths.by_day(lengths.choose_groups(counted)), "days")
 
 
 @query("trials_by_day", _SIDES + " SELECT * FROM dy")
