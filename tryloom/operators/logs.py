@@ -35,25 +35,26 @@ CPU_WINDOW_S, STALLED, RUNNING = 15.0, 0.05, 0.9
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, ANSI, "")
+    return F.when(F.contains(text, F.lit("\x1b[")), F.regexp_replace(text, ANSI, "")).otherwise(text)
 
 
 def events(log: DataFrame) -> DataFrame:
     """``log`` with ``kind`` and the fields of its line. Stateless, so a stream is read by the same code."""
     clean = log.withColumn("text", stripped(F.col("text")))
     t = F.col("text")
-    some = lambda p, i: F.nullif(F.regexp_extract(t, p, i), F.lit(""))
+    is_ = lambda kind: F.col("kind") == kind
+    # Each form holds some fixed words: a line without them is not searched. A field is read from lines of its kind alone.
+    has = lambda words, p: F.contains(t, F.lit(words)) & t.rlike(p)
+    some = lambda of, p, i: F.when(of, F.nullif(F.regexp_extract(t, p, i), F.lit("")))
     kind = (
-        F.when(t.rlike(LOOP), "loop").when(t.rlike(AT_COMMAND), "locus").when(t.rlike(ERROR), "error").when(t.rlike(PLAN), "plan")
-        .when(t.rlike(SESSION), "session").when(t.rlike(TIMING), "timing").when(t.rlike(ELAPSED), "elapsed").when(t.rlike(PROGRESS), "progress").otherwise("other")
+        F.when(has("running", LOOP), "loop").when(has("***", AT_COMMAND), "locus").when(has("***", ERROR), "error").when(has("Session", PLAN), "plan")
+        .when(has("...", SESSION), "session").when(has("Timing", TIMING), "timing").when(has("elapsed time", ELAPSED), "elapsed").when(has("theory", PROGRESS), "progress").otherwise("other")
     )
-    return clean.withColumns({
-        "kind": kind,
-        "is_phase": t.rlike(PHASE),
-        "loop_theory": some(LOOP, 4), "loop_line": some(LOOP, 3), "loop_command": some(LOOP, 1), "loop_elapsed": some(LOOP, 2),
-        "session": some(SESSION, 2), "verb": some(SESSION, 1),
-        "theory": F.when(kind == "progress", some(PROGRESS, 2)), "pct": F.when(kind == "progress", some(PROGRESS, 3).cast("int")),
-        "error": some(ERROR, 1), "locus_line": some(AT_COMMAND, 1), "locus_theory": some(AT_COMMAND, 2),
+    return clean.withColumns({"kind": kind, "is_phase": t.rlike(PHASE)}).withColumns({
+        "loop_theory": some(is_("loop"), LOOP, 4), "loop_line": some(is_("loop"), LOOP, 3), "loop_command": some(is_("loop"), LOOP, 1), "loop_elapsed": some(is_("loop"), LOOP, 2),
+        "session": some(is_("session"), SESSION, 2), "verb": some(is_("session"), SESSION, 1),
+        "theory": some(is_("progress"), PROGRESS, 2), "pct": some(is_("progress"), PROGRESS, 3).cast("int"),
+        "error": some(F.col("kind").isin("error", "locus"), ERROR, 1), "locus_line": some(is_("locus"), AT_COMMAND, 1), "locus_theory": some(is_("locus"), AT_COMMAND, 2),
     })
 
 
@@ -154,15 +155,30 @@ def session_timeline(found: DataFrame, all_heaps: Column | None = None) -> DataF
 
     Roles are null where ``all_heaps`` (of ``events``) says that every session stores one.
     """
+    return _told(found, all_heaps).select("build_id", "sessions")
+
+
+def _told(found: DataFrame, all_heaps: Column | None = None) -> DataFrame:
+    """``sessions`` of each build, the last place warned of (``loop_theory`` and so on) and the theory last seen (``_stuck``), in one pass.
+
+    The lines of a build are first grouped by session, so that a session's lines are never gathered.
+    """
     role = F.when(F.col("verb") == "Building", "dependency").otherwise("target")
     if all_heaps is not None:
         role = F.when(~all_heaps, role)
-    starts = found.where("kind = 'session'").groupBy("build_id", "session").agg(F.min(F.struct("line_no", F.round("t_s", 1).alias("started_s"), role.alias("role"))).alias("s"))
-    listed = starts.groupBy("build_id").agg(F.array_sort(F.collect_list(F.struct("s.line_no", F.col("session").alias("name"), "s.role", "s.started_s"))).alias("_s"))
-    plans = found.groupBy("build_id").agg(F.bool_or(F.col("kind") == "plan").alias("_plan"))
+    place = ["loop_theory", "loop_line", "loop_command", "loop_elapsed"]
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    parts = found.groupBy("build_id", "session").agg(
+        F.min(of("session", F.struct("line_no", F.round("t_s", 1).alias("started_s"), role.alias("role")))).alias("s"),
+        F.bool_or(F.col("kind") == "plan").alias("plan"),
+        F.max(of("loop", F.struct("line_no", *place))).alias("k"),
+        F.max(F.when(F.col("theory").isNotNull(), F.struct("line_no", "theory"))).alias("t"),
+    )
+    listed = F.array_sort(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("s.line_no", F.col("session").alias("name"), "s.role", "s.started_s"))))
+    rows = parts.groupBy("build_id").agg(listed.alias("_s"), F.bool_or("plan").alias("_plan"), F.max("k").alias("_k"), F.max("t").alias("_t"))
     out = F.transform("_s", lambda x: F.struct(x["name"].alias("name"), x["role"].alias("role"), x["started_s"].cast("double").alias("started_s")))
-    empty = F.array().cast("array<struct<name:string,role:string,started_s:double>>")
-    return plans.join(listed, "build_id", "left").select("build_id", F.coalesce(out, F.when(F.col("_plan"), empty)).alias("sessions"))
+    sessions = F.when((F.size("_s") > 0) | F.col("_plan"), out)
+    return rows.select("build_id", sessions.alias("sessions"), *[F.col(f"_k.{c}").alias(c) for c in place], F.col("_t.theory").alias("_stuck"))
 
 
 def last_progress(found: DataFrame) -> DataFrame:
@@ -272,8 +288,7 @@ def timeout_text(reason: Column, key: Column, count: Column, wall: Column, idle:
 def assembled(found: DataFrame, outcomes: DataFrame, **budgets: float) -> DataFrame:
     """One record a build: outcome from its exit code (``build_id``, ``exit_code``) and the budget it broke."""
     killed = kills(found, **budgets)
-    key = last_loop_key(found)
-    rows = outcomes.join(killed, "build_id", "left").join(error_heads(found), "build_id", "left").join(error_loci(found), "build_id", "left").join(session_timeline(found), "build_id", "left").join(key, "build_id", "left")
+    rows = outcomes.join(killed, "build_id", "left").join(error_heads(found), "build_id", "left").join(error_loci(found), "build_id", "left").join(_told(found).drop("_stuck"), "build_id", "left")
     outcome = F.when(F.col("reason").isNotNull(), "timeout").when(F.col("exit_code") == 0, "ok").otherwise("fail")
     head = F.when(F.col("reason").isNotNull(), timeout_head(F.col("reason"), F.col("loop_command"), F.col("loop_line"), F.col("loop_theory"), F.col("loop_elapsed"), F.lit(budgets.get("wall", WALL_S)))).otherwise(F.col("error_head"))
     return rows.select("build_id", outcome.alias("outcome"), F.when(F.col("reason").isNotNull(), 124).otherwise(F.col("exit_code")).alias("exit_code"), F.col("reason").alias("timeout_reason"), head.alias("error_head"), "error_loci", "sessions")
@@ -305,8 +320,7 @@ def explained(found: DataFrame, killed: DataFrame, wall: float = WALL_S, all_hea
     startup took of it, and whether the machine was busy, which needs ``duty``
     (``build_id``, ``duty``, ``cpu_s``) at the time of the kill.
     """
-    stuck = found.where("kind = 'progress' AND theory IS NOT NULL").groupBy("build_id").agg(F.max_by("theory", "line_no").alias("_stuck"))
-    rows = killed.join(last_loop_key(found), "build_id", "left").join(session_timeline(found, all_heaps), "build_id", "left").join(stuck, "build_id", "left")
+    rows = killed.join(_told(found, all_heaps), "build_id", "left")
     rows = rows.join(duty.select("build_id", "duty", "cpu_s"), "build_id", "left") if duty is not None else rows.withColumns({c: F.lit(None).cast("double") for c in ("duty", "cpu_s")})
     within = session_of(F.coalesce("loop_theory", "_stuck"))
     busy = contention_note(F.when(F.col("duty").isNotNull(), contention(F.col("duty"))["verdict"]), F.col("duty"), F.col("cpu_s"), F.col("at_s"))

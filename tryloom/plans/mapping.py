@@ -39,13 +39,14 @@ CASE WHEN event_id % 3 = 0 THEN concat('diagnosis: k', event_id % 10, '; expect:
 ATTEMPTS = f"SELECT CAST(ROW_NUMBER() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) - 1 AS BIGINT) AS seq, {ATTEMPT_COLUMNS} FROM events"
 
 _LINE_ORDER = "PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
+_LINE_TEXT = """CASE WHEN l_linenumber = 1 THEN concat('Session Unsorted/S', l_suppkey % 5)
+            WHEN l_returnflag = 'N' THEN concat('S: command "by" running for 15.0s (line ', 10 + l_orderkey % 3, ' of theory "S.T', l_orderkey % 4, '")')
+            WHEN l_returnflag = 'R' THEN concat('S: theory S.T', l_partkey % 4, ' ', l_partkey % 100, '%')
+            ELSE concat('*** At command "by" (line ', l_partkey % 50, ' of "~/p/t/s', l_suppkey % 6, '/T', l_partkey % 4, '.thy")') END"""
 BUILD_LOG = f"""
 SELECT l_orderkey AS build_id, CAST(ROW_NUMBER() OVER ({_LINE_ORDER}) AS BIGINT) AS line_no,
        SUM(l_quantity) OVER ({_LINE_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t_s,
-       CASE WHEN l_linenumber = 1 THEN concat('Session Unsorted/S', l_suppkey % 5)
-            WHEN l_returnflag = 'N' THEN concat('S: command "by" running for 15.0s (line ', 10 + l_orderkey % 3, ' of theory "S.T', l_orderkey % 4, '")')
-            WHEN l_returnflag = 'R' THEN concat('S: theory S.T', l_partkey % 4, ' ', l_partkey % 100, '%')
-            ELSE concat('*** At command "by" (line ', l_partkey % 50, ' of "~/p/t/s', l_suppkey % 6, '/T', l_partkey % 4, '.thy")') END AS text
+       {_LINE_TEXT} AS text
 FROM lineitem
 """
 
@@ -77,8 +78,9 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped(numbered(spark, sf_dir))
 
 
-def build_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(BUILD_LOG.replace("FROM lineitem", "FROM {lineitem}"), lineitem=_read(spark, sf_dir, "lineitem"))
+def build_log(spark: SparkSession, sf_dir: str, text: str = _LINE_TEXT) -> DataFrame:
+    """``text`` is worked out in the pass that numbers the lines."""
+    return spark.sql(BUILD_LOG.replace(_LINE_TEXT, text).replace("FROM lineitem", "FROM {lineitem}"), lineitem=_read(spark, sf_dir, "lineitem"))
 
 
 def cpu_samples(spark: SparkSession, sf_dir: str) -> DataFrame:

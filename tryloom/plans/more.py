@@ -88,8 +88,7 @@ def head_to_head_tails(spark, sf_dir):
 
 def _lines(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """The mapped build log with other texts."""
-    items = spark.sql(f"SELECT l_orderkey AS build_id, CAST(ROW_NUMBER() OVER ({mapping._LINE_ORDER}) AS BIGINT) AS line_no, {text} AS text FROM {{lineitem}}", lineitem=mapping._read(spark, sf_dir, "lineitem"))
-    return mapping.build_log(spark, sf_dir).drop("text").join(items, ["build_id", "line_no"])
+    return mapping.build_log(spark, sf_dir, text)
 
 
 def _log(text: str) -> str:

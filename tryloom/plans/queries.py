@@ -630,8 +630,7 @@ _SESSIONS = "CASE l_linenumber % 3 WHEN 0 THEN concat('Building D', l_suppkey %
 
 @query("session_timeline", f"WITH log AS (SELECT build_id, line_no, t_s, x AS text FROM (SELECT l.*, {_SESSIONS} AS x FROM ({mapping.BUILD_LOG}) l JOIN (SELECT l_orderkey, row_number() OVER ({mapping._LINE_ORDER}) AS k, l_linenumber, l_suppkey FROM lineitem) i ON i.l_orderkey = l.build_id AND i.k = l.line_no)), s AS (SELECT build_id, regexp_extract(text, '^(Building|Running) ([A-Z0-9]+)', 2) AS n, min(line_no) AS fst, arg_min(CASE WHEN text LIKE 'Building%' THEN 'dependency' ELSE 'target' END, line_no) AS role FROM log WHERE text NOT LIKE 'Session%' GROUP BY 1, 2) SELECT build_id, string_agg(concat(n, ':', role), ',' ORDER BY fst) AS sessions FROM s GROUP BY 1")
 def session_timeline(spark, sf_dir):
-    items = spark.sql(f"SELECT l_orderkey AS build_id, CAST(ROW_NUMBER() OVER ({mapping._LINE_ORDER}) AS BIGINT) AS line_no, {_SESSIONS} AS text FROM {{lineitem}}", lineitem=mapping._read(spark, sf_dir, "lineitem"))
-    rows = mapping.build_log(spark, sf_dir).drop("text").join(items, ["build_id", "line_no"])
+    rows = mapping.build_log(spark, sf_dir, _SESSIONS)
     found = logs.session_timeline(logs.events(rows)).where(F.size("sessions") > 0)
     return found.select("build_id", F.array_join(F.transform("sessions", lambda s: F.concat_ws(":", s["name"], s["role"])), ",").alias("sessions"))
 
