@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tryloom.functions.scalars import bound
+
 # The sections of a note and how one begins.
 KEYS = ("diagnosis", "change", "expect", "ref")
 _INLINE = r"(?i)(?:;[ \t]*|\.[ \t]+)(?=(?:diagnosis|change|expect|ref)[ \t]*:)"
@@ -29,18 +31,22 @@ def parse(note: Column) -> Column:
     names = (*KEYS, "notes")
     blank = F.struct(F.lit("notes").alias("key"), *[F.lit(None).cast("string").alias(n) for n in names])
 
+    def read(line: Column) -> Column:
+        """A line with the section that it opens, if any: a key is sought once, and only where there is a colon."""
+        word = F.when(F.contains(line, F.lit(":")), F.lower(F.regexp_extract(line, _KEY, 1))).otherwise("")
+        value = lambda w: F.when(w.isin(*KEYS), F.regexp_extract(line, _KEY, 2)).otherwise(line)
+        return bound(word, lambda w: F.struct(F.when(w.isin(*KEYS), w).alias("opens"), value(w).alias("text")))
+
     def step(acc: Column, line: Column) -> Column:
-        word = F.lower(F.regexp_extract(line, _KEY, 1))
-        opens = word.isin(*KEYS)
-        key = F.when(opens, word).otherwise(acc["key"])
-        rest = F.regexp_extract(line, _KEY, 2)
-        value = lambda n: F.when(key != n, acc[n]).when(opens, rest).when(acc[n].isNull(), line).otherwise(F.concat(acc[n], F.lit("\n"), line))
+        opens = line["opens"].isNotNull()
+        key = F.coalesce(line["opens"], acc["key"])
+        value = lambda n: F.when(key != n, acc[n]).when(opens | acc[n].isNull(), line["text"]).otherwise(F.concat(acc[n], F.lit("\n"), line["text"]))
         return F.struct(key.alias("key"), *[value(n).alias(n) for n in names])
 
     clean = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     done = lambda acc: F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(n).alias("key"), clean(acc[n]).alias("value")) for n in names]), lambda e: e["value"].isNotNull() & (e["value"] != "")))
-    found = F.aggregate(note_lines(note), blank, step, done)
-    return F.when(F.size(found) > 0, found)
+    found = F.aggregate(F.transform(note_lines(note), read), blank, step, done)
+    return bound(found, lambda f: F.when(F.size(f) > 0, f))
 
 
 def predicted(fields: Column) -> Column:
@@ -65,13 +71,20 @@ def near_misses(notes: DataFrame) -> DataFrame:
 def lint(note: Column) -> Column:
     """Complaints that need the note alone: ``stranded``, ``no_section``, ``unscored``, ``no_expect``."""
     fields = F.coalesce(parse(note), F.create_map().cast("map<string,string>"))
-    have = F.map_keys(fields)
-    seen = F.size(F.array_intersect(have, F.array(*map(F.lit, KEYS)))) > 0
-    stranded = F.array_except(F.array_distinct(F.transform(F.regexp_extract_all(note, F.lit(_ANYWHERE), F.lit(1)), F.lower)), have)
-    some, expect = F.size(stranded) > 0, F.array_contains(have, "expect")
-    return F.array_compact(F.array(
-        F.when(some, "stranded"),
-        F.when(~some & ~seen, "no_section"),
-        F.when(expect & predicted(fields).isNull(), "unscored"),
-        F.when(~expect & seen & ~F.array_contains(stranded, "expect"), "no_expect"),
-    ))
+
+    def told(note: Column, fields: Column, have: Column) -> Column:
+        named = F.when(F.contains(note, F.lit(":")), F.regexp_extract_all(note, F.lit(_ANYWHERE), F.lit(1))).when(note.isNotNull(), F.array().cast("array<string>"))
+        return bound(F.array_except(F.array_distinct(F.transform(named, F.lower)), have), lambda stranded: complaints(fields, have, stranded))
+
+    def complaints(fields: Column, have: Column, stranded: Column) -> Column:
+        seen = F.size(F.array_intersect(have, F.array(*map(F.lit, KEYS)))) > 0
+        some, expect = F.size(stranded) > 0, F.array_contains(have, "expect")
+        return F.array_compact(F.array(
+            F.when(some, "stranded"),
+            F.when(~some & ~seen, "no_section"),
+            F.when(expect & predicted(fields).isNull(), "unscored"),
+            F.when(~expect & seen & ~F.array_contains(stranded, "expect"), "no_expect"),
+        ))
+
+    # A note is read once, however often its parts are asked for.
+    return bound(F.struct(note.alias("note"), fields.alias("fields")), lambda n: bound(F.map_keys(n["fields"]), lambda have: told(n["note"], n["fields"], have)))

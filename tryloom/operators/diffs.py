@@ -6,11 +6,10 @@ come from one row without a shuffle. Lines end at line feeds alone.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tryloom.functions.scalars import bound
 from tryloom.schemas import LOCI
 
 KEY = ["corpus_id", "seq"]
@@ -174,11 +173,6 @@ def seed(ctx: Column) -> Column:
     return F.when(ctx.rlike(r"(?U)^\s*(?:" + "|".join(DOC_COMMANDS) + ")" + _WORD_END), F.greatest(F.lit(0), opened)).otherwise(F.lit(0))
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def spaced(text: Column) -> Column:
     """``text`` with each run of white space as one blank, and none at its ends."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
