@@ -348,9 +348,9 @@ dr AS (SELECT g.replicate, ('0x' || substr(md5('trials:' || g.replicate || ':' |
 gaps AS (SELECT replicate, sum(x_a) / sum(n_a) - sum(x_b) / sum(n_b) AS gap FROM dr JOIN rk USING (r) GROUP BY 1 HAVING sum(n_a) > 0 AND sum(n_b) > 0)"""
 
 
-@query("day_bootstrap", _REPLICATES.replace("{n}", "500") + " SELECT replicate, round(gap, 6) AS gap FROM gaps")
+@query("day_bootstrap", _REPLICATES.replace("{n}", "10000") + " SELECT replicate, round(gap, 6) AS gap FROM gaps")
 def day_bootstrap(spark, sf_dir):
-    return lengths.bootstrap(_days(spark, sf_dir), 500).select("replicate", F.round("gap", 6).alias("gap"))
+    return lengths.bootstrap(_days(spark, sf_dir)).select("replicate", F.round("gap", 6).alias("gap"))
 
 
 @query("bootstrap_interval", _REPLICATES.replace("{n}", "1000") + """, pl AS (SELECT gap, row_number() OVER (ORDER BY gap, replicate) - 1 AS i, count(*) OVER () AS n FROM gaps),
